@@ -38,6 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Write a wide or large table into the shared checkpoint folder as Parquet, and read it back."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Internal column names that no column of the frame has."""
     taken = {c.lower() for c in df.columns}
