@@ -1,4 +1,491 @@
 """Registered queries over the driver's tables, and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lexicons
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import augmentation, clustering, counts, features, learning, pipeline, process_mining, propagation, retrieval, tfidf
+from ..operators.adapters import HashingEncoder
+from ..operators.vectors import centroids, normalised, top_k, within
+from ..sources.io import read_table
+from .materialise import cut
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+EPS, MIN_SAMPLES = 1.1, 3  # see the notes on the test tables
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _string(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+# ---- process mining
+
+_PATHS = "with p as (select conv_id, string_agg(role, '>' order by turn) as path from conversations group by conv_id), c as (select path, count(*) as n from p group by path) "
+
+
+@query(_PATHS + "select path, n, round(n / sum(n) over (), 6) as probability from c")
+def process_paths(spark, sf):
+    found = process_mining.path_frequencies(read_table(spark, sf, "conversations"), "conv_id", ["turn"], "role")
+    return found.select(F.array_join("path", ">").alias("path"), "n", F.round("probability", 6).alias("probability"))
+
+
+@query(_PATHS + "select path, round(n / t, 6) as frequency from c, (select sum(n) as t from c) where n / t >= 0.01")
+def process_frequent_paths(spark, sf):
+    miner = process_mining.ProcessMining("conv_id", "turn", "role").fit(read_table(spark, sf, "conversations"))
+    return miner.get_all_paths(threshold=0.01).select(F.array_join("path", ">").alias("path"), F.round("frequency", 6).alias("frequency"))
+
+
+@query(
+    "with p as (select event_type as source, lead(event_type) over w as target, lead(1) over w as more from events window w as (partition by user_id order by ts, event_id)) "
+    "select source, target, count(*) as n from p where more = 1 group by source, target"
+)
+def process_transitions(spark, sf):
+    return process_mining.transitions(read_table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type")
+
+
+@query("select user_id as case_id, string_agg(event_type, '>' order by ts, event_id) as path from events group by user_id")
+def process_case_paths(spark, sf):
+    found = process_mining.paths(read_table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type")
+    return found.select("case_id", F.array_join("path", ">").alias("path"))
+
+
+# ---- cleaning
+
+_WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda w: w <> '')"
+
+
+def _lookup_sql(words: str, mapping: dict[str, str]) -> str:
+    table = "map {" + ", ".join(f"{_string(k)}: {_string(v)}" for k, v in mapping.items()) + "}"
+    return f"list_transform({words}, lambda w: coalesce({table}[w], w))"
+
+
+@query(
+    "select doc_id, array_to_string("
+    + _lookup_sql(
+        _lookup_sql(_lookup_sql(_WORDS.format(r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n|\r|\n', '. ', 'g'), '<.*?>', '', 'g'), '(\d+)([a-zA-Z]+)', '\1 \2', 'g')"), lexicons.CONTRACTIONS), lexicons.SLANG),
+        lexicons.EMOTICONS,
+    )
+    + ", ' ') as text from documents"
+)
+def clean_documents(spark, sf):
+    config = pipeline.Config(eol_replace=True, html=True, sep_digit_text=True, appos=True, slang=True, emoticons=True)
+    return read_table(spark, sf, "documents").select("doc_id", T.clean(F.col("text"), config).alias("text"))
+
+
+@query(
+    "select conv_id, turn, array_to_string(" + _lookup_sql(_WORDS.format(r"regexp_replace(text, '[\r\n]', '', 'g')"), dict.fromkeys(lexicons.EMOTICONS, "")) + ", ' ') as text from conversations"
+)
+def clean_conversations(spark, sf):
+    config = pipeline.Config(eol_remove=True, emoticons_del=True)
+    return read_table(spark, sf, "conversations").select("conv_id", "turn", T.clean(F.col("text"), config).alias("text"))
+
+
+@query(r"select page_id, regexp_replace(html, '<.*?>', '', 'g') as text from pages")
+def strip_html(spark, sf):
+    return read_table(spark, sf, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+
+
+@query(
+    "with c as (select doc_id, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as i from documents where text <> ''), "
+    "p as (select *, lag(c) over w as a, lag(c, 2) over w as b from c window w as (partition by doc_id order by i)), "
+    "k as (select doc_id, string_agg(c, '' order by i) as text from p where not (c <> chr(10) and a is not distinct from c and b is not distinct from c) group by doc_id) "
+    "select d.doc_id, coalesce(k.text, d.text) as text from documents d left join k using (doc_id)"
+)
+def squeeze_repeats(spark, sf):
+    return read_table(spark, sf, "documents").select("doc_id", T.squeeze_repeats(F.col("text")).alias("text"))
+
+
+# ---- tokens
+
+_TOKENS = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
+
+
+@query()
+def pipeline_transform(spark, sf):
+    config = {"punct": True, "stop_words": True, "extra_space": True, "email": "EMAIL", "url": "URL", "phone_number": "PHONE", "number": "NUMBER", "lemmas": True}
+    return pipeline.Pipeline(config).fit_transform(read_table(spark, sf, "documents"))
+
+
+@query()
+def pipeline_tokens(spark, sf):
+    config = {"punct": True, "single_char": True, "proper_noun": True, "extra_space": True}
+    return pipeline.Pipeline(config).fit(read_table(spark, sf, "documents")).tokenize()
+
+
+@query()
+def token_flags(spark, sf):
+    tokens = pipeline.Pipeline().fit(read_table(spark, sf, "documents")).docs.select(F.explode("tokens").alias("t"))
+    flags = ["is_punct", "is_space", "is_stop", "like_email", "like_url", "like_num", "proper_noun", "single_char", "phone_number"]
+    return tokens.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"t.{f}")).alias(f) for f in flags])
+
+
+# ---- counts and features
+
+
+@query(f"select word, count(*) as n from (select unnest({_WORDS.format('lower(text)')}) as word from documents) group by word")
+def word_counts(spark, sf):
+    return counts.count_words(read_table(spark, sf, "documents"))
+
+
+def _ngram_sql(n: int, text: str = "lower(text)") -> str:
+    return f"select doc_id, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' '))) as ngram from (select doc_id, {_WORDS.format(text)} as w from documents) where len(w) >= {n}"
+
+
+@query(f"select ngram, count(*) as n from ({_ngram_sql(2)}) group by ngram")
+def bigram_counts(spark, sf):
+    return counts.count_ngrams(read_table(spark, sf, "documents"), 2)
+
+
+KEY_WORDS = ["license", "general public license"]
+_EXCLUDED = "(n = 1 and ngram = 'license') or (n = 2 and ngram = 'general public') or (n = 3 and ngram = 'general public license')"
+
+
+@query(
+    "with g as ("
+    + " union all ".join(f"select {n} as n, ngram from ({_ngram_sql(n)})" for n in (1, 2, 3, 4))
+    + '), c as (select n, ngram, count(*) as "count" from g group by n, ngram), r as (select *, row_number() over (partition by n order by "count" desc, ngram) as k from c), '
+    + f"t as (select * from r where k <= {20 + len(KEY_WORDS)} and not ({_EXCLUDED})), "
+    + 'f as (select n, ngram, "count", (row_number() over (partition by n order by "count" desc, ngram))::int as rank from t) select * from f where rank <= 20'
+)
+def keyword_vocabulary(spark, sf):
+    return features.KeyWords(20, key_words=KEY_WORDS).vocabulary(read_table(spark, sf, "documents")).select("n", "rank", "ngram", "count")
+
+
+@query()
+def keyword_features(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return features.KeyWords(20, "count", KEY_WORDS).fit_transform(docs).select("doc_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+@query()
+def keyword_features_binary(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return features.KeyWords(20, "binary", KEY_WORDS).fit_transform(docs).select("doc_id", "features")
+
+
+@query()
+def pos_features(spark, sf):
+    annotated = cut(pipeline.Pipeline().annotate(read_table(spark, sf, "documents")))
+    return features.BagOfPOS("tag").transform(annotated).select("doc_id", "features")
+
+
+@query()
+def lda_features(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return features.LdaTopics(10).fit_transform(docs).select("doc_id", "features")
+
+
+@query()
+def encoder_features(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return features.EncoderFeatures(HashingEncoder()).transform(docs).select("doc_id", "features")
+
+
+_TOPIC_TERMS = (
+    "with t as (select source, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]{2,}')) as term from documents), "
+    "tf as (select source, term, count(*) as tf from t group by all), df as (select term, count(*) as df from tf group by term), "
+    "w as (select source, term, tf, tf * (ln((1 + (select count(distinct source) from tf)) / (1 + df)) + 1) as w from tf join df using (term)) "
+)
+
+
+@query(_TOPIC_TERMS + "select source, term, tf, round(w / sqrt(sum(w * w) over (partition by source)), 6) as weight from w")
+def topic_terms(spark, sf):
+    return tfidf.topic_terms(read_table(spark, sf, "documents"), "source", "text").withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    f"with d as (select doc_id, {_WORDS.format('lower(text)')} as w from documents), n as (select count(*) as n from d), "
+    "v as (select term, count(*) as df from (select unnest(list_distinct(w)) as term from d) group by term having count(*) >= 15 and count(*) <= 0.5 * (select n from n)), "
+    "tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from d) where term in (select term from v) group by all), "
+    "k as (select count(distinct doc_id) as n from tf), df as (select term, count(*) as df from tf group by term), "
+    "x as (select doc_id, term, tf * log2(n / df) as w from tf join df using (term), k) "
+    "select doc_id, term, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as weight from x"
+)
+def tfidf_documents(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    tokens = T.lower_words(F.col("text"))
+    return tfidf.document_terms(docs, "doc_id", tokens, tfidf.dictionary(docs, tokens)).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+# ---- vectors and clusters
+
+_UNIT = "v as (select vec_id, label, list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as v from embeddings)"
+
+
+def _embeddings(spark, sf):
+    return normalised(read_table(spark, sf, "embeddings"), "vec_id", "embedding", ("label",))
+
+
+_CENTROIDS = (
+    f"with {_UNIT}, e as (select label, unnest(v) as x, generate_subscripts(v, 1) - 1 as dim from v), "
+    "c as (select label, dim, avg(x) as mean, min(x) as low, max(x) as high from e group by all) "
+)
+
+
+@query(_CENTROIDS + "select label, dim::int as dim, round(mean, 6) as mean, round(low, 6) as low, round(high, 6) as high from c")
+def label_centroids(spark, sf):
+    c = centroids(_embeddings(spark, sf), "label", F.col("v"))
+    flat = c.select("label", F.posexplode(F.arrays_zip("centroid", "low", "high")).alias("dim", "x"))
+    return flat.select("label", "dim", *[F.round(f"x.{k}", 6).alias(a) for k, a in (("centroid", "mean"), ("low", "low"), ("high", "high"))])
+
+
+@query(_CENTROIDS + ", a as (select label, list(mean order by dim) as m from c group by label) select x.label as a, y.label as b, case when x.label = y.label then 0.0::double else round(list_cosine_distance(x.m, y.m), 6) end as distance from a x, a y")
+def centroid_distances(spark, sf):
+    return clustering.centroid_distances(_embeddings(spark, sf)).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    _CENTROIDS
+    + ", a as (select label, list(mean order by dim) as m, list(low order by dim) as low, list(high order by dim) as high from c group by label), "
+    "p as (select vec_id, a.label, list_distance(v.v, m) as d, "
+    "len(list_filter(list_zip(v.v, low), lambda z: z[1] >= z[2])) / len(v.v) > 0.5 and len(list_filter(list_zip(v.v, high), lambda z: z[1] <= z[2])) / len(v.v) > 0.5 as ok from v, a), "
+    "r as (select *, row_number() over (partition by vec_id order by d, label) as k from p), "
+    "b as (select vec_id, arg_min(label, k) as label from r where k <= 3 and ok group by vec_id) "
+    "select vec_id as id, coalesce(b.label, -1)::int as label from v left join b using (vec_id)"
+)
+def label_expansion(spark, sf):
+    table = read_table(spark, sf, "embeddings")
+    return propagation.LabelExpander(0.5, 3).fit(table, "vec_id").transform(table, "vec_id")
+
+
+_KNN = f"with {_UNIT}, p as (select a.vec_id as i, b.vec_id as j, list_dot_product(a.v, b.v) as sim from v a join v b on a.vec_id <> b.vec_id), r as (select *, row_number() over (partition by i order by sim desc, j) as k from p) "
+
+
+@query(_KNN + "select i, j, round(sim, 6) as sim from r where k <= 20")
+def similar_vectors(spark, sf):
+    return top_k(_embeddings(spark, sf), 20).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+@query(
+    _KNN + ", w as (select i, j, pow(sim, 3) as w from r where k <= 20), s as (select i, j, sum(w) as w from (select * from w union all select j, i, w from w) group by i, j), "
+    "d as (select i, sum(w) as d from s group by i) select s.i, s.j, round(s.w / (sqrt(a.d) * sqrt(b.d)), 6) as w from s join d a on s.i = a.i join d b on s.j = b.i"
+)
+def neighbour_graph(spark, sf):
+    edges = propagation.symmetrised(cut(propagation.knn_graph(_embeddings(spark, sf), 20)))
+    return propagation.degree_normalised(edges).select("i", "j", F.round("w", 6).alias("w"))
+
+
+@query(f"with {_UNIT} select a.vec_id as i, b.vec_id as j from v a join v b on a.vec_id <> b.vec_id where list_distance(a.v, b.v) <= {EPS}")
+def near_pairs(spark, sf):
+    return within(_embeddings(spark, sf), EPS)
+
+
+@query(
+    f"with recursive {_UNIT}, p as materialized (select a.vec_id as i, b.vec_id as j from v a join v b on a.vec_id <> b.vec_id where list_distance(a.v, b.v) <= {EPS}), "
+    f"k as materialized (select v.vec_id as id from v left join p on v.vec_id = p.i group by v.vec_id having count(p.j) + 1 >= {MIN_SAMPLES}), "
+    "e as materialized (select i, j from p where i in (select id from k) and j in (select id from k)), "
+    "reach as (select id, id as root from k union select e.j, reach.root from reach join e on reach.id = e.i), "
+    "c as (select id, min(root) as root from reach group by id), n as (select root, row_number() over (order by root) - 1 as label from (select distinct root from c)), "
+    "l as (select id, label from c join n using (root)), b as (select p.j as id, min(l.label) as label from p join l on p.i = l.id group by p.j) "
+    "select v.vec_id as id, coalesce(l.label, b.label, -1)::int as label from v left join l on v.vec_id = l.id left join b on v.vec_id = b.id"
+)
+def dbscan(spark, sf):
+    return clustering.dbscan(_embeddings(spark, sf), EPS, MIN_SAMPLES)
+
+
+_SILHOUETTE = (
+    f"with {_UNIT}, s as (select a.vec_id as id, a.label as own, b.label, sum(list_distance(a.v, b.v)) as s, sum(pow(list_distance(a.v, b.v), 2)) as s2, count(*) as n from v a, v b group by all), "
+    "p as (select id, own, sum(s) filter (where label = own) as s, sum(s2) filter (where label = own) as s2, sum(n) filter (where label = own) as n, min(s / n) filter (where label <> own) as b from s group by id, own), "
+    "c as (select own, sum(s) / sum(n) as m, sum(s2) / sum(n) as q from p group by own) "
+)
+
+
+@query(_SILHOUETTE + "select id, own as label, round((b - s / (n - 1)) / greatest(b, s / (n - 1)), 6) as silhouette, round(m + (q - m * m) - s / n, 6) as deviation from p join c using (own)")
+def silhouette(spark, sf):
+    return clustering.silhouette(_embeddings(spark, sf)).select("id", "label", F.round("silhouette", 6).alias("silhouette"), F.round("deviation", 6).alias("deviation"))
+
+
+@query("with l as (select vec_id as id, case when label % 3 = 1 then -1 else label * 2 end as old from embeddings), m as (select old, row_number() over (order by old) - 1 as label from (select distinct old from l where old <> -1)) select id, coalesce(label, -1)::int as label from l left join m using (old)")
+def fill_gaps(spark, sf):
+    holes = F.when(F.col("label") % 3 == 1, -1).otherwise(F.col("label") * 2)
+    return clustering.fill_gaps(read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), holes.alias("label")))
+
+
+@query()
+def merge_clusters(spark, sf):
+    return clustering.merge_clusters(_embeddings(spark, sf), 0.6).select("id", "label")
+
+
+@query()
+def clean_clusters(spark, sf):
+    return clustering.clean(_embeddings(spark, sf), 0.0).select("id", "label")
+
+
+@query()
+def iterated_density(spark, sf):
+    model = clustering.IDensity(initial_max_distance=EPS, initial_minimum_samples=4, delta_distance=0.01, max_iteration=2)
+    return model.fit_predict(read_table(spark, sf, "embeddings"), "vec_id")
+
+
+@query()
+def stepwise_density(spark, sf):
+    model = clustering.StepsDensity(initial_max_distance=EPS, initial_minimum_samples=4, delta_distance=0.01, max_iteration=2)
+    return model.fit_predict(read_table(spark, sf, "embeddings"), "vec_id")
+
+
+@query()
+def optics_clusters(spark, sf):
+    return clustering.optics(_embeddings(spark, sf), EPS, MIN_SAMPLES)
+
+
+@query(_TOPIC_TERMS + ", x as (select source, term, w / sqrt(sum(w * w) over (partition by source)) as x from w), n as (select source, string_agg(term, ' ' order by term) as t from x where x > 0.1 group by source) select doc_id, coalesce(t, '') as topic from documents left join n using (source)")
+def cluster_topics(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "source")
+    ids = docs.select("source").distinct().select("source", F.xxhash64("source").alias("label"))  # a row a source
+    return clustering.topics(docs.join(F.broadcast(ids), "source"), 0.1).select("doc_id", "topic")
+
+
+# ---- propagation
+
+
+def _half_labelled(spark, sf):
+    points = _embeddings(spark, sf)
+    return cut(points.withColumn("label", F.when(F.col("id") % 2 == 0, F.col("label")).otherwise(F.lit(-1)).cast("int")))
+
+
+@query()
+def propagate_labels(spark, sf):
+    return propagation.propagate(_half_labelled(spark, sf), 10).withColumn("weight", F.round("weight", 4))
+
+
+@query("with n as (select count(*) as total from embeddings), c as (select label, count(*) as k from embeddings group by label) select i::int as label, coalesce(total / 10 / k, 0.0)::double as weight from range(10) r(i) left join c on c.label = i, n")
+def class_weights(spark, sf):
+    return propagation.class_weights(read_table(spark, sf, "embeddings"), 10)
+
+
+_SCORES = "s as (select vec_id as id, (embedding::double[])[1:10] as z from embeddings), m as (select id, list_transform(z, lambda x: (x - (list_min(z) - 1e-10)) / (list_max(z) - (list_min(z) - 1e-10))) as u from s), p as (select id, list_transform(u, lambda x: x / list_sum(u)) as p from m)"
+
+
+@query(f"with {_SCORES}, w as (select id, list_position(p, list_max(p)) - 1 as label, 1 + list_sum(list_transform(p, lambda x: case when x > 0 then x * ln(x) else 0 end)) / ln(10) as w from p) select id, label::int as label, round(w / max(w) over (), 6) as weight from w")
+def pseudo_labels(spark, sf):
+    scores = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.slice(V.doubles(F.col("embedding")), 1, 10).alias("z"))
+    gold = spark.createDataFrame([], "id bigint, label int")
+    return propagation.pseudo_labels(scores, gold, 10).select("id", "label", F.round("weight", 6).alias("weight"))
+
+
+_RANKED = "l as (select vec_id as id, label, abs(embedding[1]::double) as weight from embeddings)"
+
+
+def _weighted(spark, sf):
+    return read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.abs(F.get("embedding", F.lit(0)).cast("double")).alias("weight"))
+
+
+@query(f"with {_RANKED}, r as (select *, row_number() over (order by weight desc, id) as k from l) select id, case when k <= 200 then label else -1 end::int as label, weight from r")
+def select_top(spark, sf):
+    return propagation.select_top(_weighted(spark, sf), 200).select("id", F.col("label").cast("int").alias("label"), "weight")
+
+
+@query(
+    f"with {_RANKED}, g as (select *, id % 5 = 0 as gold from l), n as (select label, count(*) filter (where gold) as g, count(*) filter (where not gold) as u from g group by label), "
+    "q as (select label, g + floor((300 - sum(g) over ()) * u / sum(u) over ()) as quota from n), r as (select *, row_number() over (partition by label order by weight desc, id) as k from l) "
+    "select id, case when k <= quota then r.label else -1 end::int as label, weight from r join q using (label)"
+)
+def select_stratified(spark, sf):
+    rows = _weighted(spark, sf)
+    return propagation.select_stratified(rows, rows.where("id % 5 = 0").select("id", "label"), 300).select("id", F.col("label").cast("int").alias("label"), "weight")
+
+
+# ---- augmentation
+
+
+def _documents(spark, sf):
+    return read_table(spark, sf, "documents").select("doc_id", "text")
+
+
+@query()
+def augment_typos(spark, sf):
+    chain = augmentation.Sequence((augmentation.Switch(2), augmentation.Insert(1)), (1.0, 1.0))
+    choice = augmentation.OneOf((augmentation.Replace(2), chain), (0.5,))
+    return _documents(spark, sf).select("doc_id", choice.augment(F.col("text"), F.col("doc_id")).alias("text"))
+
+
+@query()
+def augment_synonyms(spark, sf):
+    docs = _documents(spark, sf)
+    table = cut(augmentation.synonym_table(cut(augmentation.word_vectors(docs, size=16, min_count=50))))
+    return augmentation.replace_synonyms(docs, table, 0.1)
+
+
+@query("select quality, least(greatest(count(*), 100), 200)::bigint as n from labels group by quality")
+def balance_classes(spark, sf):
+    rows = read_table(spark, sf, "labels").join(_documents(spark, sf), "doc_id")
+    return augmentation.balance(rows, augmentation.Switch(1), 100, 200, ["quality"], "doc_id").groupBy("quality").agg(F.count("*").alias("n"))
+
+
+# ---- retrieval and learning
+
+
+@query(
+    f"with d as (select doc_id, {_WORDS.format('lower(text)')} as w from documents), s as (select count(*) as n, avg(len(w)) as a from d), "
+    "tf as (select doc_id, l, term, count(*) as tf from (select doc_id, len(w) as l, unnest(w) as term from d) group by all), "
+    "f as (select term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as raw from tf, s group by term, n), "
+    "i as (select term, case when raw < 0 then 0.25 * avg(raw) over () else raw end as idf from f), "
+    f"q as (select item_id, term, count(*) as qtf from (select item_id, unnest({_WORDS.format('lower(text)')}) as term from benchmark) group by all), "
+    "h as (select item_id as query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))), 6) as score from tf join i using (term) join q using (term), s group by all), "
+    "r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from h) select query_id, doc_id, score, rank from r where rank <= 10"
+)
+def bm25_top(spark, sf):
+    return retrieval.bm25(read_table(spark, sf, "benchmark"), read_table(spark, sf, "documents"), 10)
+
+
+@query()
+def split_documents(spark, sf):
+    return retrieval.split_80_10_10(_documents(spark, sf), F.col("doc_id")).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("with c as (select quality as label, count(*) as n from labels group by quality) select label, n / sum(n) over () as share from c")
+def class_shares(spark, sf):
+    return learning.class_shares(read_table(spark, sf, "labels"), "quality")
+
+
+@query("with c as (select quality, count(*) / sum(count(*)) over () as s from labels group by quality) select doc_id, quality, toxic, s as item_weight from labels join c using (quality)")
+def training_rows(spark, sf):
+    table = read_table(spark, sf, "labels")
+    return learning.training_rows(table, "quality", None, learning.class_shares(table, "quality")).select("doc_id", "quality", "toxic", "item_weight")
+
+
+@query(
+    "with s as (select vec_id, label, (embedding::double[])[1:10] as z from embeddings), l as (select *, list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) as lz from s) "
+    "select vec_id, round(-(list_sum(list_transform(z, lambda x: x - lz)) * (0.1 / 9) + (z[label + 1] - lz) * (0.9 - 0.1 / 9)), 6) as loss from l"
+)
+def smoothed_loss(spark, sf):
+    rows = read_table(spark, sf, "embeddings").select("vec_id", "label", F.slice(V.doubles(F.col("embedding")), 1, 10).alias("z"))
+    return rows.select("vec_id", F.round(V.smoothed_cross_entropy(F.col("z"), F.col("label"), 0.1), 6).alias("loss"))
+
+
+@query('select round(sum(value * event_id), 2) as "sum", sum(event_id)::bigint as "count", round(sum(value * event_id) / sum(event_id), 6) as "avg" from events where value is not null')
+def average_meter(spark, sf):
+    rows = read_table(spark, sf, "events").where("value is not null")
+    return learning.weighted_mean(rows, "value", "event_id").select(F.round("sum", 2).alias("sum"), "count", F.round("avg", 6).alias("avg"))
+
+
+@query()
+def autoencoder(spark, sf):
+    model = learning.Autoencoder([16], n_epochs=3)
+    return model.fit_transform(read_table(spark, sf, "embeddings").select("vec_id", "embedding")).select("vec_id", "reduced")
+
+
+@query()
+def intent_classifier(spark, sf):
+    rows = read_table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    return learning.IntentClassifier(10, n_epochs=2).fit(rows).predict(rows).select("vec_id", "label", "predicted")
