@@ -173,10 +173,10 @@ class Wrapper:
             self.ids = len(items)
             return list(range(len(items)))
         out, merged, i, j = [], [], 0, 0
-        match = SequenceMatcher(None, [x[0] for x in self.items], items, autojunk=False)
-        for a, b, n in match.get_matching_blocks():
-            for x in self._optional(self.items[i:a]):
-                merged.append(x)
+        blocks = SequenceMatcher(None, [x[0] for x in self.items], items, autojunk=False).get_matching_blocks()
+        self._regroup({k for a, _, n in blocks for k in range(a, a + n)})
+        for a, b, n in blocks:
+            merged += self.items[i:a]
             if j < b:
                 self.groups += 1
                 for x in items[j:b]:
@@ -190,17 +190,18 @@ class Wrapper:
         self.items = merged
         return out
 
-    def _optional(self, part: list[list]) -> list[list]:
-        fresh = None
-        for x in part:
-            if x[1] is None:
-                if fresh is None:
-                    self.groups += 1
-                    fresh = self.groups
-                x[1] = fresh
-            else:
-                fresh = None
-        return part
+    def _regroup(self, matched: set[int]) -> None:
+        """Items without a match become optional, run by run; an optional group that only partly matched is split."""
+        mixed = {None} | ({x[1] for k, x in enumerate(self.items) if k in matched} & {x[1] for k, x in enumerate(self.items) if k not in matched})
+        before = None
+        for k, x in enumerate(self.items):
+            if x[1] not in mixed or (x[1] is None and k in matched):
+                before = None
+                continue
+            now = (x[1], k in matched)
+            if now != before:
+                self.groups += 1
+            x[1], before = self.groups, now
 
 
 def infer(structures: list[tuple[str, int, list[int], list[int], list[int]]]) -> tuple[str, list[list[int]]]:
