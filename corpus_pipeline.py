@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbena.llm import lines, mixing, packing, quality, simhash
-from verbena.llm.common import ensure_checkpoint_dir, read
+from verbena.llm.common import read
+from verbena.plans.materialise import ensure_checkpoint_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

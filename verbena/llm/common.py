@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SPACE = r"[ \t\r\n]+"
+from ..plans.materialise import ensure_checkpoint_dir
+
 WORD = r"[^ \t\r\n]+"
 
 
@@ -17,27 +17,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only where the setting is absent and the master is local."""
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="checkpoint-")
-    sc.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a slim table in the shared checkpoint folder and drop its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Write a wide or large table into the shared checkpoint folder as Parquet, and read it back."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
@@ -85,31 +64,6 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[str],
     return ranked.join(offsets, on).select(*df.columns, *[(F.col(n) + F.col(f"__off_{n}")).alias(n) for n in weights])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components: edges (a, b) -> rows (node, root), root the least node of the component.
-
-    Alternates large-star and small-star; every round is checkpointed, and rounds are
-    logarithmic in the size of the largest component.
-    """
-    links = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = None
-    while True:
-        both = links.union(links.select("b", "a"))
-        low = F.least(F.col("n"), F.min("m").over(Window.partitionBy("n")))
-        large = both.toDF("n", "m").withColumn("low", low).where("m > n").select(F.col("m").alias("n"), F.col("low").alias("m")).distinct()
-        low = F.min("m").over(Window.partitionBy("n"))
-        small = large.withColumn("low", low)
-        links = cut(
-            small.select(F.col("n").alias("a"), F.col("low").alias("b"))
-            .union(small.where("m <> low").select(F.col("m").alias("a"), F.col("low").alias("b")))
-            .distinct()
-        )
-        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == seen:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
-
-
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 

@@ -22,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, running_total, word_count
+from ..plans.materialise import cut
+from .common import fresh, running_total, word_count
 
 BLOCK_TOKENS = 16_384
 SEED = 17
