@@ -217,6 +217,35 @@ def test_networks(spark, tmp_path):
         L.Autoencoder([2]).transform(df)
 
 
+def test_collate_and_validation(spark):
+    def letters(texts, most):
+        return [([ord(c) for c in t[:most]], [(i, i + 1) for i in range(len(t[:most]))]) for t in texts]
+
+    row = L.collate(io.from_texts(spark, ["abc", None]), letters, max_length=2).orderBy("doc_id").collect()
+    assert row[0]["input_ids"] == [97, 98] and row[0]["attention_mask"] == [1, 1] and row[0]["offsets"][1]["end"] == 2 and row[1]["input_ids"] == []
+    df = spark.createDataFrame([(i, [float(i % 2), 1.0], i % 2) for i in range(40)], "id bigint, embedding array<double>, label int")
+    trainer = L.Trainer(L.intent_head(2, 2, 8), "softmax", batch_size=8, lr=0.05, n_epochs=4, early_stopping=2)
+    accuracy = lambda t: t.agg(F.avg((F.col("y") == F.col("predicted")).cast("double"))).first()[0]
+    history = trainer.fit(df, "embedding", "label", validation=df.where("id < 10"), metrics={"accuracy": accuracy})
+    assert max(h["accuracy"] for h in history) == 1.0
+
+
+def test_augmented_training(spark):
+    pairs = spark.createDataFrame([(i, f"word{i} cat", f"cat dog{i % 3}", 1.0) for i in range(40)], "guid bigint, s1 string, s2 string, label double")
+    seen = {}
+
+    def fit_cross(train, val, warmup):
+        seen["cross"] = (train.count(), warmup)
+        return lambda a, b: F.lit(0.5)
+
+    def fit_bi(train, val, warmup):
+        seen["bi"] = train.where("label = 0.5").count()
+        return "model"
+
+    model, test = retrieval.augmented_training(pairs, fit_cross, fit_bi, 2, 8)
+    assert model == "model" and seen["cross"][1] == -(-(-(-seen["cross"][0] // 8)) // 10) and seen["bi"] > 0 and test.columns == pairs.columns
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t.csv").write_text('text\n"a\nb"\nc\n')
     assert [r["text"] for r in io.read_csv(spark, str(tmp_path / "t.csv")).collect()] == ["a\nb", "c"]

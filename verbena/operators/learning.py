@@ -70,6 +70,23 @@ def encode_tags(offsets: Column, spans: Column, tag2id: dict[str, int]) -> Colum
     return F.transform(offsets, tag)
 
 
+def collate(rows: DataFrame, tokenizer, text_col: str = "text", max_length: int = 500, augmenter=None, key: Column | None = None) -> DataFrame:
+    """Augment, then tokenise: ``input_ids``, ``attention_mask`` and character ``offsets`` of each text.
+
+    ``tokenizer(texts, max_length)`` is an adapter that returns (ids, [(start, end)]) for each text; it runs over Arrow batches.
+    """
+    text = augmenter.augment(F.col(text_col), F.xxhash64(F.col(text_col)) if key is None else key) if augmenter else F.col(text_col)
+
+    @F.pandas_udf("ids array<int>, offsets array<struct<start:int,end:int>>")
+    def run(batch: pd.Series) -> pd.DataFrame:
+        out = tokenizer(batch.fillna("").tolist(), max_length)
+        return pd.DataFrame({"ids": [list(i) for i, _ in out], "offsets": [[{"start": a, "end": b} for a, b in o] for _, o in out]})
+
+    named = rows.withColumn(text_col, text)
+    out = named.withColumn("__t", run(F.col(text_col)))
+    return out.select(*rows.columns, F.col("__t.ids").alias("input_ids"), F.transform("__t.ids", lambda _: F.lit(1)).alias("attention_mask"), F.col("__t.offsets").alias("offsets"))
+
+
 def tag_maps(labels: list[str]) -> tuple[dict[str, int], dict[int, str]]:
     """O, then B and I of each label (without a dash): name -> id, and back."""
     names = ["O", *[p + label for label in labels for p in "BI"]]
@@ -343,12 +360,17 @@ class Trainer:
     seed: int = 100
     callbacks: list = field(default_factory=list)
 
-    def fit(self, rows: DataFrame, features: str, label: str | None = None, weight: str | None = None) -> list[dict]:
+    def fit(self, rows: DataFrame, features: str, label: str | None = None, weight: str | None = None, validation: DataFrame | None = None, metrics: dict | None = None) -> list[dict]:
+        """The history of the epochs. Without ``validation`` the training rows are checked.
+
+        ``metrics`` are named functions of a DataFrame with (y, logits, predicted), each to a number; the first decides the stopping (greater is better).
+        """
         columns = [F.col(features).cast("array<double>").alias("x"), (F.col(label).cast("int") if label else F.lit(0)).alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")]
         data = rows.select(*columns).where("x is not null")
+        held = data if validation is None else validation.select(*columns).where("x is not null")
         loss_of = {"mse": _mse, "softmax": _softmax_loss}[self.kind]
         network, batch, lr, kind = self.network, self.batch_size, self.lr, self.kind
-        stopper, best, history = EarlyStopping(self.early_stopping), network.weights(), []
+        stopper, best, history = EarlyStopping(self.early_stopping, "max" if metrics else "min"), network.weights(), []
 
         def epoch(number: int, learn: bool):
             seed = self.seed + number
@@ -379,11 +401,14 @@ class Trainer:
                 break
             loaded = [list(np.load(io.BytesIO(p["weights"])).values()) for p in parts]
             network.load([sum(w[i] * (p["n"] / n) for w, p in zip(loaded, parts)) for i in range(len(loaded[0]))])
-            checked = data.mapInPandas(epoch(number, False), "loss double, n bigint, weights binary").agg(F.sum("loss"), F.sum("n")).first()
+            checked = held.mapInPandas(epoch(number, False), "loss double, n bigint, weights binary").agg(F.sum("loss"), F.sum("n")).first()
             row = {"epoch": number, "train": sum(p["loss"] for p in parts) / n, "lr": lr, "val": checked[0] / checked[1]}
+            if metrics:
+                scored = predict(held, network, "x", "logits").withColumn("predicted", (F.array_position("logits", F.array_max("logits")) - 1).cast("int"))
+                row |= {k: f(scored) for k, f in metrics.items()}
             history.append(row)
             log.info("epoch %s: %s", number, row)
-            if stopper.update(row["val"]):
+            if stopper.update(row[next(iter(metrics))] if metrics else row["val"]):
                 best = network.weights()
             for call in self.callbacks:
                 call(row)

@@ -56,8 +56,8 @@ class Config:
 
 
 class Annotator(Protocol):
-    def annotate(self, text: Column) -> Column:
-        """ARRAY<STRUCT> of tokens with the fields of ``RuleAnnotator``."""
+    def annotate(self, text: Column, fields: set[str] | None = None) -> Column:
+        """ARRAY<STRUCT> of tokens with the fields of ``RuleAnnotator``, or with those that are asked for."""
 
 
 #: In this order: e-mail, URL, number, contraction ends, words, white space beyond one space, any other character.
@@ -90,11 +90,11 @@ class RuleAnnotator:
     def _has(self, component: str) -> bool:
         return component in self.keep if self.keep else component not in self.exclude
 
-    def annotate(self, text: Column) -> Column:
+    def annotate(self, text: Column, fields: set[str] | None = None) -> Column:
         raw = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-        return let(raw, lambda all_: F.transform(all_, lambda t, i: self._token(t, i, all_)))
+        return let(raw, lambda all_: F.transform(all_, lambda t, i: self._token(t, i, all_, fields)))
 
-    def _token(self, t: Column, i: Column, raw: Column) -> Column:
+    def _token(self, t: Column, i: Column, raw: Column, fields: set[str] | None) -> Column:
         low = F.lower(t)
         email = t.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
         url = ~email & t.rlike(r"^(?:https?://|www\.)|^[\p{L}\p{N}-]+\.(?:com|org|net|edu|gov|io)$")
@@ -116,12 +116,12 @@ class RuleAnnotator:
         }
         names = F.create_map(*[F.lit(x) for pair in coarse.items() for x in pair])
         pos_tag = F.element_at(names, tag)
-        return F.struct(
-            i.alias("pos"), t.alias("text"), lemma.alias("lemma"), tag.alias("tag"), pos_tag.alias("pos_tag"),
-            F.when(person, F.lit("PERSON")).otherwise(F.lit("")).alias("ent_type"), punct.alias("is_punct"), space.alias("is_space"),
-            low.isin(*self.stop_words).alias("is_stop"), email.alias("like_email"), url.alias("like_url"), number.alias("like_num"),
-            person.alias("proper_noun"), (F.length(t) < 2).alias("single_char"), (number & (F.length(t) >= 9)).alias("phone_number"),
-        )
+        every = {
+            "pos": i, "text": t, "lemma": lemma, "tag": tag, "pos_tag": pos_tag, "ent_type": F.when(person, F.lit("PERSON")).otherwise(F.lit("")),
+            "is_punct": punct, "is_space": space, "is_stop": low.isin(*self.stop_words), "like_email": email, "like_url": url, "like_num": number,
+            "proper_noun": person, "single_char": F.length(t) < 2, "phone_number": number & (F.length(t) >= 9),
+        }
+        return F.struct(*[c.alias(k) for k, c in every.items() if fields is None or k in fields])
 
     @staticmethod
     def _tag(t, low, number, punct, space, capital, address) -> Column:
@@ -138,12 +138,19 @@ class RuleAnnotator:
         return out
 
 
+_FLAG = {"email": "like_email", "url": "like_url", "phone_number": "phone_number", "number": "like_num", "proper_noun": "proper_noun"}
+_FILTERS = (("punct", "is_punct"), ("extra_space", "is_space"), ("stop_words", "is_stop"), ("single_char", "single_char"), *_FLAG.items())
+
+
+def needed(config: Config) -> set[str]:
+    """The token fields that ``selected`` reads under a configuration."""
+    return {"lemma" if config.lemmas else "text", *(flag for action, flag in _FILTERS if getattr(config, action))}
+
+
 def selected(tokens: Column, config: Config) -> Column:
     """The texts (or lemmas) of the tokens that the configuration keeps, masked ones by their mask."""
-    flag = {"email": "like_email", "url": "like_url", "phone_number": "phone_number", "number": "like_num", "proper_noun": "proper_noun"}
-    masks = [(flag[a], getattr(config, a)) for a in MASKS if isinstance(getattr(config, a), str)]
-    drops = [f for a, f in (("punct", "is_punct"), ("extra_space", "is_space"), ("stop_words", "is_stop"), ("single_char", "single_char")) if getattr(config, a)]
-    drops += [flag[a] for a in MASKS if getattr(config, a)]
+    masks = [(_FLAG[a], getattr(config, a)) for a in MASKS if isinstance(getattr(config, a), str)]
+    drops = [flag for action, flag in _FILTERS if getattr(config, action)]
 
     def word(t: Column) -> Column:
         kept = t["lemma"] if config.lemmas else t["text"]
@@ -199,8 +206,9 @@ class Pipeline:
         return self._fitted().select(self.id_col, selected(F.col("tokens"), self.config).alias("words"))
 
     def fit_transform(self, docs: DataFrame) -> DataFrame:
-        """``transform`` without keeping the annotation; works on a stream."""
-        return self.annotate(docs).select(self.id_col, rebuilt(selected(F.col("tokens"), self.config)).alias(self.text_col))
+        """``transform`` without keeping the annotation: only the fields that the configuration reads are made. Works on a stream."""
+        tokens = self.annotator.annotate(clean(F.col(self.text_col), self.config, self.tables), needed(self.config))
+        return docs.select(self.id_col, rebuilt(selected(tokens, self.config)).alias(self.text_col))
 
     def text(self, key) -> str:
         """The transformed text of one document."""

@@ -54,3 +54,26 @@ def silver_pairs(gold: DataFrame, k: int = 10, score: Callable[[Column, Column],
     pairs = hits.join(texts.select(F.col("id").alias("query_id"), F.col("text").alias("s1")), "query_id").join(texts.select(F.col("id").alias("doc_id"), F.col("text").alias("s2")), "doc_id")
     label = score(F.col("s1"), F.col("s2")) if score else F.lit(None)
     return pairs.select("s1", "s2", label.cast("double").alias("label"))
+
+
+def augmented_training(
+    pairs: DataFrame,
+    fit_cross: Callable[[DataFrame, DataFrame, int], Callable[[Column, Column], Column]],
+    fit_bi: Callable[[DataFrame, DataFrame, int], object],
+    k: int = 10,
+    batch_size: int = 16,
+    epochs: int = 1,
+    seed: int = 42,
+):
+    """Train a cross-encoder on gold pairs, let it label BM25 pairs, and train a bi-encoder on both; returns what ``fit_bi`` returns, and the test pairs.
+
+    pairs: rows (guid, s1, s2, label). The models are adapters: ``fit_cross(train, val, warmup)`` returns a scoring
+    expression, ``fit_bi(train, val, warmup)`` a model; the warm-up is a tenth of the training steps.
+    """
+    split = split_80_10_10(pairs, F.xxhash64("s1", "s2"), seed)
+    gold, val, test = (split.where(F.col("split") == name).drop("split") for name in ("train", "val", "test"))
+    warmup = lambda rows: -(-(-(-rows.count() // batch_size) * epochs) // 10)
+    score = fit_cross(gold, val, warmup(gold))
+    silver = silver_pairs(gold, k, score)
+    both = gold.select("s1", "s2", "label").unionByName(silver)
+    return fit_bi(both, val, warmup(both)), test

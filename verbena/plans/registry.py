@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from ..operators import augmentation, clustering, counts, features, learning, pi
 from ..operators.adapters import HashingEncoder
 from ..operators.vectors import centroids, normalised, top_k, within
 from ..sources.io import read_table
-from .materialise import cut
+from ..streaming import streams
+from .materialise import cut, ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,6 +94,18 @@ def clean_documents(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", T.clean(F.col("text"), config).alias("text"))
 
 
+@query()
+def streamed_documents(spark, sf):
+    """The cleaning of ``clean_documents`` on a stream of files, written exactly once and read back."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    table = f"{sf}/documents.parquet*"  # a pattern, as a stream takes folders and patterns but no single file
+    stream = streams.read_files(spark, table, "doc_id bigint, text string")
+    config = pipeline.Config(eol_replace=True, html=True, sep_digit_text=True, appos=True, slang=True, emoticons=True)
+    cleaned = stream.select("doc_id", T.clean(F.col("text"), config).alias("text"))
+    streams.write(cleaned, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema("doc_id bigint, text string").parquet(f"{folder}/out")
+
+
 @query(
     "select conv_id, turn, array_to_string(" + _lookup_sql(_WORDS.format(r"regexp_replace(text, '[\r\n]', '', 'g')"), dict.fromkeys(lexicons.EMOTICONS, "")) + ", ' ') as text from conversations"
 )
@@ -489,3 +503,6 @@ def autoencoder(spark, sf):
 def intent_classifier(spark, sf):
     rows = read_table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
     return learning.IntentClassifier(10, n_epochs=2).fit(rows).predict(rows).select("vec_id", "label", "predicted")
+
+
+ORACLES["streamed_documents"] = ORACLES["clean_documents"]

@@ -21,7 +21,18 @@ def read_csv(spark: SparkSession, path: str, schema: str = "text string", header
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Spread a scan that would keep less than half of the cores busy (a few small files) over all of them.
+
+    A table of more files than that, as any large one, is left as it is: nothing is shuffled. Column
+    pruning and filters pass through to the scan either way.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    parts = table._jdf.queryExecution().toRdd().getNumPartitions()
+    return table.repartition(cores) if 2 * parts <= cores else table
 
 
 def write_word_vectors(vectors: DataFrame, path: str) -> None:
