@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialise import ensure_checkpoint_dir
+from ..sources.io import read_table
 
 WORD = r"[^ \t\r\n]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return read_table(spark, sf_dir, table)
 
 
 def keep(df: DataFrame) -> DataFrame:
