@@ -93,6 +93,27 @@ def test_fingerprint_pairs():
     assert got == {(i, j) for i, j in itertools.combinations(range(len(fp)), 2) if d[i, j] <= 30}
 
 
+def test_forests():
+    """Joining as the walk goes gives the components of all near pairs, and a large group isn't compared pair by pair."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, (60, 4), np.uint64)
+    fp = np.repeat(base, 20, axis=0)
+    for i in range(len(fp)):
+        for b in rng.choice(256, rng.integers(0, 25), replace=False):
+            fp[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    fp = fp[simhash.gray_order(fp)]
+    root = np.arange(len(fp))
+    for a, b in simhash.near_pairs(fp, 30):
+        for i, j in zip(a, b):
+            root[root == max(root[i], root[j])] = min(root[i], root[j])
+    assert (simhash._forest(fp, 30) == root).all()
+    many = np.repeat(base[:1], 60_000, axis=0)
+    at = np.arange(len(many))
+    many[at, at % 4] ^= np.uint64(1) << (at // 4 % 64).astype(np.uint64)
+    many[:, 3] ^= (at % 7).astype(np.uint64)
+    assert (simhash._forest(many[simhash.gray_order(many)], 30) == 0).all()
+
+
 def test_gray_order():
     values = np.arange(64, dtype=np.uint64)
     order = values[simhash.gray_order(np.stack([values ^ (values >> np.uint64(1)), values * 0], axis=1))]
