@@ -31,6 +31,7 @@ from ..plans.materialise import cut
 K = 10
 BLOCK_ROWS = 4096
 STRIPE = 8
+STRIP = 512
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,21 +63,27 @@ class Heaps:
         self.near = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def offer(self, ids: np.ndarray, x: np.ndarray) -> None:
-        codes, scale, coded, error = quantise(x)
-        approx = products(self.codes, codes) * (self.scale[:, None] * scale)
-        square = (x * x).sum(axis=1)
+        """Merge a block into the heaps, a strip of queries at a time so that a tile's matrices stay small."""
+        block = (ids, x, *quantise(x), (x * x).sum(axis=1))
+        for at in range(0, len(self.ids), STRIP):
+            self._strip(slice(at, at + STRIP), *block)
+
+    def _strip(self, own: slice, ids, x, codes, scale, coded, error, square) -> None:
+        approx = products(self.codes[own], codes) * (self.scale[own, None] * scale)
         # |x.y - approx| <= |x'||e_y| + |e_x||y'| + |e_x||e_y|
-        bound = self.coded[:, None] * error + self.error[:, None] * (coded + error)
-        middle = self.square[:, None] + square - 2 * approx
-        slack = 1e-9 * (self.square[:, None] + square) + 1e-300
-        kth = self.best[:, -1]
-        own = self.ids[:, None] == ids
+        bound = self.coded[own, None] * error + self.error[own, None] * (coded + error)
+        squares = self.square[own, None] + square
+        middle = squares - 2 * approx
+        bound = 2 * bound + 1e-9 * squares + 1e-300
+        kth = self.best[own, -1]
+        same = self.ids[own, None] == ids
         if np.isinf(kth).any() and len(ids) > self.k:
-            upper = np.where(own, np.inf, middle + 2 * bound + slack)
+            upper = np.where(same, np.inf, middle + bound)
             kth = np.minimum(kth, np.partition(upper, self.k - 1, axis=1)[:, self.k - 1])
-        q, c = np.nonzero((middle - 2 * bound - slack <= kth[:, None]) & ~own)
+        q, c = np.nonzero((middle - bound <= kth[:, None]) & ~same)
         if not len(q):
             return
+        q += own.start
         exact = np.empty(len(q))
         for at in range(0, len(q), 1 << 16):
             d = self.x[q[at : at + (1 << 16)]] - x[c[at : at + (1 << 16)]]
