@@ -54,7 +54,9 @@ def test_passages_of_few_words(spark, seed):
     texts[3] += " " + shared + " q"
     texts[6] = "r " + shared + "\n" + texts[6]
     docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
-    assert {tuple(r) for r in passages.repeated_passages(docs, 8, 3).collect()} == brute_passages(texts, 8)
+    expected = brute_passages(texts, 8)
+    for hot in (passages.HOT, 3, 0):  # by sorting, by both ways, by window hashes only
+        assert {tuple(r) for r in passages.repeated_passages(docs, 8, 3, hot=hot).collect()} == expected
 
 
 def test_suffix_sort_and_collisions():

@@ -12,7 +12,9 @@ The others (the edges of copies, and near misses) fetch their words: their suffi
 each window, are merge-sorted within a k-gram, all groups of a batch in step. Suffixes are compared by
 their longest common extension, found by binary search over prefix polynomial hashes, so a
 comparison takes log(length) steps; neighbours that agree over the whole length are verified
-word for word, and a group with a collision is sorted again by its words.
+word for word, and a group with a collision is sorted again by its words. A k-gram with more than
+``hot`` such contexts (a boilerplate with as many surroundings) would be too much for one task; its
+windows are instead counted by 128 bits of hashes, spread over all tasks.
 
 Defined cases: a null text, or one of fewer than ``length`` words, has no passages; a null doc_id
 is an id; repeated rows repeat each other, so their whole texts are passages, reported once for
@@ -30,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialise import cut
 from .common import _SOLID_BYTES, POWERS, chunks, hash_spans, keep, mix64, spans
 
 LENGTH = 50
 GRAM = 20
 _SHIFT = np.int64(10)
 SORT_WORDS = 1 << 22
+HOT = 50_000
 
 
 def prefixes(hashes: np.ndarray) -> np.ndarray:
@@ -124,8 +128,8 @@ def _marked(b: pa.RecordBatch, before: tuple, after: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[2:], pa.array(settled[at]), pa.array(compare[at])], names=["k", "id", "v", "place", "settled", "compare"])
 
 
-def _fetch(length: int):
-    """Rows (id, v, text, places) -> a row a context, with its words."""
+def _fetch(length: int, hashed: bool):
+    """Rows (id, v, text, places) -> a row a context, with its words; or (hashed) a row a window, with its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,6 +141,14 @@ def _fetch(length: int):
                 for lo in range(0, len(k), 4096):
                     part = slice(lo, lo + 4096)
                     text = [" ".join(words[s : s + m + length - 1]) for s, m in zip(first[part], n[part])]
+                    if hashed:
+                        s = Suffixes(text, length)
+                        row = np.repeat(np.arange(len(text)), n[part])
+                        step = np.arange(len(row)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+                        at = pa.array(np.full(len(row), i))
+                        cols = [*(pa.array(h) for h in s.window_hashes(s.base[row] + step)), b.column(0).take(at), b.column(1).take(at), pa.array(first[part][row] + step)]
+                        yield pa.RecordBatch.from_arrays(cols, names=["h", "g", "id", "v", "s"])
+                        continue
                     at = pa.array(np.full(len(text), i))
                     yield pa.RecordBatch.from_arrays([pa.array(k[part]), b.column(0).take(at), b.column(1).take(at), pa.array(place[part]), pa.array(text)], names=["k", "id", "v", "place", "words"])
 
@@ -178,6 +190,11 @@ class Suffixes:
         e[full] = 0
         return np.where(full, or_equal, self.hashes[p + e] < self.hashes[r + e])
 
+    def window_hashes(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of the ``length`` words from each p on."""
+        other = prefixes(mix64(self.hashes ^ np.uint64(0x9E3779B97F4A7C15)))
+        return tuple(mix64((q[p + self.length] - q[p]) * self.down[p]).view(np.int64) for q in (self.q, other))
+
     def words(self, p: int) -> bytes:
         return self.buf[self.start[p] : self.end[p + self.length - 1]].tobytes()
 
@@ -281,7 +298,7 @@ def _compare(length: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Rows (doc_id, start_word, end_word): the maximal stretches of words that repeated windows cover; ``end_word`` is exclusive."""
     if not 0 < gram <= length < 1 << int(_SHIFT):
         raise ValueError("0 < gram <= length < 1024")
@@ -294,13 +311,24 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, i
 
     first, n = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(1023)
     settled = repeated.where("settled").select("id", "v", first.alias("s"), (first + n + (length - 1)).alias("e"))
-    todo = repeated.where("compare").groupBy(F.col("id").alias("i"), F.col("v").alias("w")).agg(F.collect_set(F.struct("k", "place")).alias("places"))
-    # repeated rows have the same words: one of them is enough, all its contexts being settled or compared alike
-    fetched = base.join(todo, F.col("id").eqNullSafe(F.col("i")) & (F.col("v") == F.col("w"))).select("id", "v", "text", "places")
-    fetched = fetched.mapInArrow(_fetch(length), f"k bigint, id {kind}, v int, place bigint, words string")
-    compared = fetched.repartition("k").sortWithinPartitions("k").mapInArrow(_compare(length), f"id {kind}, v int, s bigint, e bigint")
+    busy = cut(repeated.where("compare").groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k"))
+    parts = [(repeated.where("compare"), False)]
+    if not busy.isEmpty():
+        parts = [(repeated.where("compare").join(busy, "k", how), how == "left_semi") for how in ("left_anti", "left_semi")]
+    every = settled
+    for rows, hashed in parts:
+        # repeated rows have the same words: one of them is enough, all its contexts being settled or compared alike
+        todo = rows.groupBy(F.col("id").alias("i"), F.col("v").alias("w")).agg(F.collect_set(F.struct("k", "place")).alias("places"))
+        fetched = base.join(todo, F.col("id").eqNullSafe(F.col("i")) & (F.col("v") == F.col("w"))).select("id", "v", "text", "places")
+        if hashed:
+            windows = fetched.mapInArrow(_fetch(length, True), f"h bigint, g bigint, id {kind}, v int, s bigint")
+            again = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1")
+            found = windows.join(again, ["h", "g"], "left_semi").select("id", "v", "s", (F.col("s") + length).alias("e"))
+        else:
+            words = fetched.mapInArrow(_fetch(length, False), f"k bigint, id {kind}, v int, place bigint, words string")
+            found = words.repartition("k").sortWithinPartitions("k").mapInArrow(_compare(length), f"id {kind}, v int, s bigint, e bigint")
+        every = every.unionByName(found)
 
-    every = settled.unionByName(compared)
     doc = Window.partitionBy("id", "v").orderBy("s", "e")
     reach = F.max("e").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     islands = every.withColumn("new", F.when(F.col("s") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
