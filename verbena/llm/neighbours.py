@@ -182,8 +182,8 @@ def knn(table: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, stripe: int
     others = placed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"), "block", "id", "x").select(
         task(F.col("q").cast("bigint"), F.expr(f"block div {stripe}")).alias("task"), F.lit(1).alias("role"), "block", "id", "x"
     )
-    tasks = blocks * stripes
-    sent = queries.unionByName(others).repartition(tasks, "task").sortWithinPartitions("task", "role", "block")
+    tasks = blocks * stripes  # each task is a partition of its own, so that none gets two
+    sent = queries.unionByName(others).repartitionById(tasks, F.col("task").cast("int")).sortWithinPartitions("task", "role", "block")
     found = sent.mapInArrow(_tiles(k), "vec_id bigint, neighbor_id bigint, d2 double")
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("d2", "neighbor_id"))
     return found.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", F.round(F.sqrt("d2"), 6).alias("distance"))
