@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Common lines go; ``n_chars`` follows the text."""
-    return lines.drop_common_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    """Common lines go, where copies of one text count as one; ``n_chars`` follows the text."""
+    return lines.drop_common_lines(docs, by_content=True).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@ r"""Line dedup: explode normalised lines, hash, count distinct documents per has
 
 A line is normalised by lower case and by single spaces; blank lines are never counted or
 dropped. Every line that occurs in at least ``min_docs`` documents is dropped from all of them.
-Only 16-byte hashes are shuffled for the count; texts move once, to meet the hashes that their
-document loses.
+Only hashes are shuffled for the count; texts move once, to meet the hashes that their document
+loses. With ``by_content``, documents of one normalised text count as one, so a text that is copied
+as a whole keeps its own lines, and near dedup decides which copy stays.
 
 Defined cases: a null text stays null; an empty text stays empty; a document that loses every
 line stays as a row with an empty text; rows that share a doc_id are one document for the count,
-and each of them is rewritten; null doc_ids count together as one document; a line that repeats
+and each of them is rewritten; by content, a text counts under its least doc_id, and texts that
+differ in case, white space or blank lines only are one; null doc_ids count together as one document; a line that repeats
 in one document counts once; an empty table gives an empty table; further columns, whatever
 their names, are carried unchanged.
 """
@@ -32,12 +34,23 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(n).alias("h"), F.hash(n).alias("g"))
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _content(text: Column) -> Column:
+    """Two independent hashes of all normalised lines of a text."""
+    t = F.trim(F.regexp_replace(normalised(text), r" ?\n[ \n]*", "\n"))
+    t = F.regexp_replace(t, r"^\n|\n$", "")
+    return F.struct(F.xxhash64(t).alias("h"), F.hash(t).alias("g"))
+
+
+def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", by_content: bool = False) -> DataFrame:
     """The input with ``text_col`` rewritten without its common lines; same columns, same rows."""
     ident, lost, flag = fresh(docs, "id", "lost", "has")
-    lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col), "\n")).alias("line")).where(~F.col("line").rlike(r"^[ \t\r]*$"))
-    hashed = lines.select("id", _hash(F.col("line")).alias("k")).select("id", "k.h", "k.g").distinct()
-    common = hashed.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h", "g")
+    content = [_content(F.col(text_col)).alias("c")] if by_content else []
+    same = ["c"] if by_content else []
+    lines = docs.select(F.col(id_col).alias("id"), *content, F.explode(F.split(F.col(text_col), "\n")).alias("line")).where(~F.col("line").rlike(r"^[ \t\r]*$"))
+    hashed = lines.select("id", *same, _hash(F.col("line")).alias("k")).select("id", *same, "k.h", "k.g").distinct()
+    counted = hashed.groupBy("h", "g", "c").agg(F.min("id").alias("id")).select("id", "h", "g").distinct() if by_content else hashed
+    hashed = hashed.select("id", "h", "g").distinct() if by_content else hashed
+    common = counted.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h", "g")
     per_doc = (
         hashed.join(common, ["h", "g"], "left_semi")
         .groupBy(F.col("id").alias(ident))
