@@ -1,10 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
+
 import numpy as np
-import pytest
 
 import corpus_pipeline
-from verbena.llm import lines
+from verbena.llm import lines, simhash
 
 from .helpers import documents, prose
 
@@ -32,3 +33,50 @@ def test_copies_of_one_id_or_of_none(spark):
     rows = [(1, f"{prose(i, 5)}\nshared", "s") for i in range(12)] + [(None, f"{prose(50 + i, 5)}\nshared", "s") for i in range(12)]
     docs = documents(spark, rows)
     assert all(r["text"].endswith("shared") for r in lines.drop_common_lines(docs, by_content=True).collect())
+
+
+# ---- near copies of short texts
+
+
+def shingles(text):
+    w = text.split()
+    return set(zip(w, w[1:], w[2:]))
+
+
+def test_near_copies_by_length(spark):
+    """Copies with a 3-word-shingle overlap of just 0.5, by the length of the text; clean texts of one length stay apart."""
+    rng, texts, of = random.Random(5), [], {}
+    for n in (20, 40, 60, 120, 240):
+        for k in range(40):
+            w = prose(1000 * n + k, n).split()
+            of[len(texts)] = n
+            texts.append(" ".join(w))
+            changed = list(w)
+            for at in range(4, n - 3, 9):
+                new = changed[:at] + ["new%d" % rng.randrange(10**6)] + changed[at + 1 :]
+                if 2 * len(shingles(" ".join(new)) & shingles(texts[-1])) < len(shingles(" ".join(new)) | shingles(texts[-1])):
+                    break
+                changed = new
+            texts.append(" ".join(changed))
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["group_id"] for r in simhash.groups(docs).collect()}
+    for n in (20, 40, 60, 120, 240):
+        assert sum(got[i + 1] == i for i in of if of[i] == n) >= 0.9 * 40, n
+    assert all(got[i] == i for i in of)
+
+
+def test_pairs_at_the_limit_meet():
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 2**64, (4000, 4), np.uint64)
+    b = a.copy()
+    for x in b:
+        for k in rng.choice(256, simhash.FAR_DIFF, replace=False):
+            x[k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+    assert (simhash.band_keys(a) == simhash.band_keys(b)).any(axis=1).mean() >= 0.89
+
+
+def test_far_pairs_need_common_words(spark):
+    """Of pairs in the far range, those without enough common words stay apart."""
+    docs = documents(spark, [(1, "a b c d e f g h", "s"), (2, "a b c d e f g x", "s"), (3, "a b p q r s t u", "s"), (4, None, "s")])
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a bigint, b bigint")
+    assert [tuple(r) for r in simhash.overlapping(pairs, docs).collect()] == [(1, 2)]
