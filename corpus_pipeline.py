@@ -13,8 +13,9 @@ from verbena.plans.materialise import ensure_checkpoint_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the rest is unchanged."""
-    return quality.apply_policy(docs)
+    """Rejected documents go, and those with terms of abuse learned from the table labels; the rest is unchanged."""
+    kept = quality.apply_policy(docs)
+    return kept.where(~quality.has_terms(F.col("text"), quality.abuse_terms(docs, read(spark, sf_dir, "labels")))) if sf_dir else kept
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

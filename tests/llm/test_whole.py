@@ -1,11 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
 import corpus_pipeline
-from verbena.llm import lines, simhash
+from verbena.llm import lines, quality, simhash
+from verbena.llm.common import read
 
 from .helpers import documents, prose
 
@@ -80,3 +82,37 @@ def test_far_pairs_need_common_words(spark):
     docs = documents(spark, [(1, "a b c d e f g h", "s"), (2, "a b c d e f g x", "s"), (3, "a b p q r s t u", "s"), (4, None, "s")])
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a bigint, b bigint")
     assert [tuple(r) for r in simhash.overlapping(pairs, docs).collect()] == [(1, 2)]
+
+
+# ---- abuse in all languages
+
+
+def test_learned_terms_of_every_language(spark):
+    """Terms of one half of the labelled rows, on the other half: recall by language and false hits."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    terms = quality.abuse_terms(docs, labels.where("doc_id % 2 = 0"))
+    held = docs.join(labels.where("doc_id % 2 = 1"), "doc_id").select("lang", "toxic", quality.has_terms(docs["text"], terms).alias("hit"))
+    every, hits = Counter(), Counter()
+    for r in held.collect():
+        every[r["lang"], r["toxic"]] += 1
+        hits[r["lang"], r["toxic"]] += r["hit"]
+    print({k: (hits[k], every[k]) for k in sorted(every)})
+    for lang in ("en", "fr", "de", "es"):
+        assert hits[lang, 1] >= 0.75 * every[lang, 1] > 0, lang
+        assert hits[lang, 0] <= 0.04 * every[lang, 0], lang
+
+
+def test_learned_bit(spark, tmp_path):
+    bad = [f"{prose(i, 40)} vilainmot" for i in range(6)]
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate([*bad, *(prose(100 + i, 40) for i in range(6)), None])])
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, int(i < 6)) for i in range(12) if i != 5], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    terms = quality.abuse_terms(docs, labels)
+    assert (0, "vilainmot") in terms
+    rows = {r["doc_id"]: r for r in quality.learned_ledger(docs, [(0, "vilainmot")]).collect()}
+    assert [bool(rows[i]["fail_bits"] & quality.LEARNED) for i in range(13)] == [True] * 6 + [False] * 7
+    assert rows[5]["keep_v3"] and not rows[5]["keep_learned"] and rows[7]["keep_learned"]
+    kept = {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()}
+    assert not kept & set(range(6))

@@ -49,6 +49,15 @@ POLICIES = {
 }
 PRODUCTION = "v3"
 
+#: Learned terms: a word, or a start of STARTS letters, in at least MIN_TOXIC toxic documents of the sample and at most one clean
+#: document for 20 toxic ones. The sample has SAMPLE labelled rows at most, the terms are MAX_TERMS at most, the most frequent first.
+STARTS = (4, 5, 6, 7, 8)
+MIN_TOXIC = 4
+SAMPLE = 20_000
+MAX_TERMS = 2_000
+#: The bit of the learned terms in ``learned_ledger``, after those of the rules.
+LEARNED = 1 << len(RULES)
+
 
 def measurements(text: Column, abuse: tuple[str, ...] = ABUSE) -> dict[str, Column]:
     """The measured quantities, all BIGINT, each one pass of a built-in function over the text."""
@@ -117,6 +126,51 @@ def apply_policy(docs: DataFrame, policy: str = PRODUCTION, text_col: str = "tex
     return wide.where(~F.expr(" or ".join(f"({s})" for s in sql))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _features(text: Column) -> dict[int, Column]:
+    """The distinct lower-case words of a text at 0, and their starts of each length."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
+
+
+    def starts(k: int) -> Column:
+        return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.substring(w, 1, k)))
+
+    return {0: words} | {k: starts(k) for k in STARTS}
+
+
+def abuse_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str]]:
+    """Terms (length of the start or 0 for a word, term) of abuse in any language, from labels (doc_id, toxic)."""
+    marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    drawn = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("i"), F.col("toxic").alias("y"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(drawn), F.col("id") == F.col("i"))
+
+    def marked_by(k: int, found: Column) -> Column:
+        return F.transform(found, lambda x: F.struct(F.lit(k).alias("k"), x.alias("term")))
+
+    terms = F.concat(*[marked_by(k, found) for k, found in _features(F.col("t")).items()])
+    counts = rows.select("y", F.explode(terms).alias("f")).groupBy("f.k", "f.term").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("bad"), F.count("*").alias("n"))
+    found = counts.where((F.col("bad") >= MIN_TOXIC) & (20 * (F.col("n") - F.col("bad")) <= F.col("bad")))
+    return [(r["k"], r["term"]) for r in found.orderBy(F.desc("bad"), "k", "term").limit(MAX_TERMS).collect()]
+
+
+def has_terms(text: Column, terms: list[tuple[int, str]]) -> Column:
+    """Whether a text has one of the learned terms."""
+    held = F.lit(False)
+    for k, found in _features(text).items():
+        if own := [t for n, t in terms if n == k]:
+            held = held | F.arrays_overlap(found, F.array(*[F.lit(t) for t in own]))
+    return held
+
+
+def learned_ledger(docs: DataFrame, terms: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``ledger`` with the bit LEARNED of ``fail_bits`` and ``keep_learned``: the newest policy and no learned term."""
+    name = fresh(docs, "learned")[0]
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.when(has_terms(F.col(text_col), terms), F.lit(LEARNED)).otherwise(F.lit(0)).cast("bigint").alias(name))
+    measured = base.select("doc_id", name, *[c.alias(n) for n, c in measurements(F.col("text")).items()])
+    bits = measured.withColumn("fail_bits", _bits(lambda n: F.expr(n)).bitwiseOR(F.col(name))).drop(name)
+    masks = POLICIES | {"learned": POLICIES[PRODUCTION] | LEARNED}
+    return bits.select("*", *[(F.col("fail_bits").bitwiseAND(F.lit(m)) == 0).alias(f"keep_{v}") for v, m in masks.items()])
+
+
 def _renamed(sql: str, names: dict[str, str]) -> str:
     return " ".join(f"`{names[w]}`" if w in names else w for w in sql.split())
 

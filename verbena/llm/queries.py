@@ -18,6 +18,11 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablation(quality.ledger(read(spark, sf_dir, "documents")))
 
 
+def quality_learned_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.learned_ledger(docs, quality.abuse_terms(docs, read(spark, sf_dir, "labels")))
+
+
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_ledger,
         quality_ablation,
+        quality_learned_ledger,
         op2_licence_scan,
         op3_nearest_neighbours,
         op4_simhash_groups,
