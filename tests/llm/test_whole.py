@@ -4,10 +4,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from verbena.llm import lines, quality, simhash
 from verbena.llm.common import read
+from verbena.plans import registry
 
 from .helpers import documents, prose
 
@@ -116,3 +118,21 @@ def test_learned_bit(spark, tmp_path):
     assert rows[5]["keep_v3"] and not rows[5]["keep_learned"] and rows[7]["keep_learned"]
     kept = {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()}
     assert not kept & set(range(6))
+
+
+# ---- registered parameters
+
+
+class Recorded(Exception):
+    pass
+
+
+def recorder(*args, **kwargs):
+    raise Recorded(kwargs)
+
+
+def test_synonyms_train_with_the_defaults(spark, monkeypatch):
+    monkeypatch.setattr(registry.augmentation, "word_vectors", recorder)
+    with pytest.raises(Recorded) as e:
+        registry.QUERIES["augment_synonyms"](spark, "/root/testdata/sf0.001")
+    assert e.value.args[0].get("size", 300) == 300 and e.value.args[0].get("min_count", 1) == 1

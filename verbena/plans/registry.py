@@ -436,7 +436,7 @@ def augment_typos(spark, sf):
 @query()
 def augment_synonyms(spark, sf):
     docs = _documents(spark, sf)
-    table = cut(augmentation.synonym_table(cut(augmentation.word_vectors(docs, size=16, min_count=50))))
+    table = cut(augmentation.synonym_table(cut(augmentation.word_vectors(docs))))
     return augmentation.replace_synonyms(docs, table, 0.1)
 
 
