@@ -120,6 +120,18 @@ def test_learned_bit(spark, tmp_path):
     assert not kept & set(range(6))
 
 
+def test_a_long_text_stays(spark):
+    """A clean text of over a million words has its bit and stays in production."""
+    docs = documents(spark, [(1, prose(1, 5000), "s"), (2, " ".join(str_word(i) for i in range(1_000_001)), "s")])
+    ledger = {r["doc_id"]: r["fail_bits"] for r in quality.ledger(docs).collect()}
+    assert ledger == {1: 0, 2: quality.BIT["too_long"]}
+    assert {r["doc_id"] for r in quality.apply_policy(docs).collect()} == {1, 2}
+
+
+def str_word(i):
+    return "".join("abcdefghij"[int(c)] for c in f"{i:07d}")
+
+
 # ---- registered parameters
 
 

@@ -48,6 +48,8 @@ POLICIES = {
     "v3": sum(BIT.values()),
 }
 PRODUCTION = "v3"
+#: What no production run rejects for, though the ledger has its bit: a long text is no worse for its length.
+NOT_REJECTED = BIT["too_long"]
 
 #: Learned terms: a word, or a start of STARTS letters, in at least MIN_TOXIC toxic documents of the sample and at most one clean
 #: document for 20 toxic ones. The sample has SAMPLE labelled rows at most, the terms are MAX_TERMS at most, the most frequent first.
@@ -115,13 +117,13 @@ def ablation(ledger_df: DataFrame, policies: dict[str, int] = POLICIES) -> DataF
 
 
 def apply_policy(docs: DataFrame, policy: str = PRODUCTION, text_col: str = "text") -> DataFrame:
-    """The rows whose text passes a policy, with all their columns unchanged.
+    """The rows whose text passes a policy without the bits of NOT_REJECTED, with all their columns unchanged.
 
     Only the measurements of the policy are computed; nothing is shuffled.
     """
     held = measurements(F.col(text_col))
     names = dict(zip(held, fresh(docs, *held)))
-    sql = [_renamed(cond, names) for name, cond in RULES if POLICIES[policy] & BIT[name]]
+    sql = [_renamed(cond, names) for name, cond in RULES if POLICIES[policy] & ~NOT_REJECTED & BIT[name]]
     wide = docs.withColumns({names[k]: v for k, v in held.items()})
     return wide.where(~F.expr(" or ".join(f"({s})" for s in sql))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -167,7 +169,7 @@ def learned_ledger(docs: DataFrame, terms: list[tuple[int, str]], id_col: str =
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.when(has_terms(F.col(text_col), terms), F.lit(LEARNED)).otherwise(F.lit(0)).cast("bigint").alias(name))
     measured = base.select("doc_id", name, *[c.alias(n) for n, c in measurements(F.col("text")).items()])
     bits = measured.withColumn("fail_bits", _bits(lambda n: F.expr(n)).bitwiseOR(F.col(name))).drop(name)
-    masks = POLICIES | {"learned": POLICIES[PRODUCTION] | LEARNED}
+    masks = POLICIES | {"learned": POLICIES[PRODUCTION] & ~NOT_REJECTED | LEARNED}
     return bits.select("*", *[(F.col("fail_bits").bitwiseAND(F.lit(m)) == 0).alias(f"keep_{v}") for v, m in masks.items()])
 
 
