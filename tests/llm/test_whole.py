@@ -148,3 +148,10 @@ def test_synonyms_train_with_the_defaults(spark, monkeypatch):
     with pytest.raises(Recorded) as e:
         registry.QUERIES["augment_synonyms"](spark, "/root/testdata/sf0.001")
     assert e.value.args[0].get("size", 300) == 300 and e.value.args[0].get("min_count", 1) == 1
+
+
+def test_stepwise_density_has_five_rounds(spark, monkeypatch):
+    monkeypatch.setattr(registry.clustering, "StepsDensity", recorder)
+    with pytest.raises(Recorded) as e:
+        registry.QUERIES["stepwise_density"](spark, "/root/testdata/sf0.001")
+    assert e.value.args[0]["max_iteration"] == 5

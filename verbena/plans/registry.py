@@ -353,7 +353,7 @@ def iterated_density(spark, sf):
 
 @query()
 def stepwise_density(spark, sf):
-    model = clustering.StepsDensity(initial_max_distance=EPS, initial_minimum_samples=4, delta_distance=0.01, max_iteration=2)
+    model = clustering.StepsDensity(initial_max_distance=EPS, initial_minimum_samples=4, delta_distance=0.01, max_iteration=5)
     return model.fit_predict(read_table(spark, sf, "embeddings"), "vec_id")
 
 
