@@ -10,6 +10,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from verbena.llm import licences, mixing, neighbours, packing, passages, quality, simhash, tokens, wrappers
@@ -233,6 +234,9 @@ def test_neighbours(spark, block, stripe):
     for i in range(120):
         order = sorted((d[i, j], j) for j in range(120) if j != i)[:4]
         assert [got[i, r + 1] for r in range(4)] == [j for _, j in order]
+    # the stated queries only, in several stripes of them
+    some = {(r["vec_id"], r["rank"]): r["neighbor_id"] for r in neighbours.knn(df, 4, block, stripe, every=3, query_stripe=2).collect()}
+    assert some == {key: j for key, j in got.items() if key[0] % 3 == 0}
 
 
 def test_error_bounds():
@@ -355,10 +359,10 @@ def test_wrapper_of_a_host(spark):
 
 def test_wrappers_match_their_pages(spark):
     """Every page's stream is in the language of its host's wrapper, read as a regular expression; and no text is lost."""
-    pages = read(spark, TINY, "pages")
+    pages = read(spark, TINY.replace("0.001", "0.01"), "pages")
     found = {r["host"]: r["wrapper"] for r in wrappers.wrappers(pages).collect()}
     texts = {r["page_id"]: r["texts"] for r in wrappers.extract(pages).collect()}
-    constants = 0
+    constants, by_host = 0, defaultdict(list)
     for r in pages.collect():
         stream = wrappers.tokens(r["html"])
         host = re.match(wrappers.HOST, r["url"]).group(1).lower()
@@ -370,13 +374,19 @@ def test_wrappers_match_their_pages(spark):
         left = iter(own)
         assert all(t in left for t in texts[r["page_id"]])
         constants += len(own) - len(texts[r["page_id"]])
-    assert constants >= 0
+        by_host[host].append((stream, texts[r["page_id"]], own))
+    # texts that are left out stand on at least two different pages of the host
+    for pages_ in by_host.values():
+        shared = Counter(t for own in {tuple(o) for _, _, o in pages_} for t in set(own))
+        for _, kept, own in pages_:
+            assert all(shared[t] > 1 for t in (Counter(own) - Counter(kept)))
+    assert constants > 0
 
 
 def test_pages_without_anything_in_common():
-    wrapper, slots = wrappers.infer([("<p> #", 2, [0], [1], [2]), ("<b> # <i>", 1, [0], [1], [1])])
+    wrapper, slots = wrappers.infer([("<p> #", 2, [0], [1]), ("<b> # <i>", 1, [0], [1])])
     assert wrapper == "(<p>)? (<b>)? #PCDATA (<i>)?" and slots == [[0], [0]]
-    wrapper, _ = wrappers.infer([("<p>", 2, [], [], []), ("<b>", 1, [], [], [])])
+    wrapper, _ = wrappers.infer([("<p>", 2, [], []), ("<b>", 1, [], [])])
     assert wrapper == "(<p>)? (<b>)?"
 
 
@@ -387,6 +397,45 @@ def test_nested_repeats():
     assert text in ("<b> # </b> (<i> # </i>)+ <b> # </b> <i> # </i>",) and place == [0, 1, 1, 2, 3]
 
 
+def read_structure(html):
+    symbols = wrappers.Symbols()
+    return wrappers.structure("".join(symbols.char(s) for s, _ in wrappers.tokens(html)), symbols)
+
+
+def test_nested_lists():
+    """Inner repeats become groups before the outer one, at any depth and of any length."""
+    inner = "".join(f"<b>{i}</b>" for i in range(3))
+    text, place = read_structure(f"<ul><li>{inner}</li><li><b>1</b><b>2</b></li></ul>")
+    assert text == "<ul> (<li> (<b> # </b>)+ </li>)+ </ul>" and place == [0] * 5
+    deep = "x"
+    for k in range(8):
+        deep = f"<d{k}>{deep}</d{k}>" * 2
+    assert read_structure(deep)[0] == "".join(f"(<d{k}> " for k in range(7, -1, -1)) + "#" + "".join(f" </d{k}>)+" for k in range(8))
+    long = "".join(f"<t{k}>" for k in range(300))
+    assert read_structure(long * 3 + "<p>x")[0].count("<t0>") == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", max_size=40))
+def test_shortest_period(s):
+    expected = next((p for p in range(1, len(s) // 2 + 1) if any(s[i : i + p] == s[i + p : i + 2 * p] for i in range(len(s) - 2 * p + 1))), 0)
+    assert wrappers.shortest_period(s) == expected
+    short, wrappers.SHORT = wrappers.SHORT, 0
+    try:
+        assert wrappers.shortest_period(s) == expected
+    finally:
+        wrappers.SHORT = short
+
+
+def test_hosts_of_copies(spark):
+    """Copies of one page are no template; a text that two different pages share is."""
+    one, other = "<h1>t</h1><p>one</p>", "<h1>t</h1><p>two</p>"
+    data = [(1, "http://a.org/", one), (2, "http://a.org/2", one), (3, "http://b.org/", one), (4, "http://c.org/", one), (5, "http://c.org/", one), (6, "http://c.org/", other)]
+    df = spark.createDataFrame(data, "page_id bigint, url string, html string").repartition(4)
+    out = {r["page_id"]: r["texts"] for r in wrappers.extract(df).collect()}
+    assert out == {1: ["t", "one"], 2: ["t", "one"], 3: ["t", "one"], 4: ["one"], 5: ["one"], 6: ["two"]}
+
+
 # ---- packing, mixing, quality
 
 
@@ -461,6 +510,33 @@ def test_mixing_shares(spark):
     assert mixing.mix(docs, weights={"a": 1}).select("source").distinct().collect()[0][0] == "a"
 
 
+@pytest.mark.parametrize("tiny", [0.00001, 0.1, 1e-9])
+def test_tiny_sources(spark, tiny):
+    """A source of next to no weight comes whole, and the others aren't repeated without end for it."""
+    docs = documents(spark, [(i, prose(i, 50), "abcde"[i % 5]) for i in range(100)])
+    plan = mixing.schedule(docs, {"a": tiny, "b": 1000.0, "c": 1000.0, "d": 1000.0, "e": 1000.0}, block_tokens=100).collect()
+    assert {r["doc_id"] for r in plan} == set(range(100))
+    assert max(r["slot"] for r in plan) <= (mixing.REPEAT + 4) * 50
+    two = documents(spark, [(1, prose(1, 50), "big"), (2, prose(2, 40), "tiny")])
+    assert {r["doc_id"] for r in mixing.schedule(two, {"big": 1000.0, "tiny": tiny}).collect()} == {1, 2}
+    assert {r["source"] for r in mixing.schedule(two, {"big": 1.0, "tiny": 0.0}).collect()} == {"big"}
+
+
+def test_large_weights(spark):
+    """Sources of 1e12 tokens beside one of one token: intervals, lengths and points without overflow."""
+    intervals = mixing._slots_of("1"), mixing.ONE
+    assert intervals == ("least(3 * 1, 1 + 64)", 2**32)
+    ids = [1, 2, 65535, 65536, 2**31 + 12345, 2**32 - 1]
+    point = mixing.point(F.col("id"))
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id bigint").select(point).collect()]
+    assert got == [i * mixing.PHI % 2**32 for i in ids]
+    per = spark.createDataFrame([("one", 1), *((f"s{i}", 10**12) for i in range(10))], "source string, tokens bigint").selectExpr("*", "cast(floor(sqrt(tokens) * 1024) as bigint) as w")
+    marks = mixing.intervals(per, mixing.BLOCK_TOKENS).collect()
+    total = sum(r["blocks"] for r in marks)
+    assert max(r["need"] * mixing.ONE // (r["hi"] - r["lo"]) for r in marks) <= (mixing.REPEAT + 4) * total
+    assert min(r["hi"] - r["lo"] for r in marks) >= 1 and max(r["hi"] for r in marks) <= mixing.ONE
+
+
 def test_quality_policies(spark):
     docs = documents(spark, [(0, prose(0, 100), "s"), (1, "", "s"), (2, "word " * 100, "s"), (3, prose(3, 50) + " you stupid idiot", "s"), (4, "## %% ## %% " * 20, "s")])
     got = {r["doc_id"]: r for r in quality.ledger(docs).collect()}

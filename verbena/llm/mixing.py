@@ -1,6 +1,6 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
-Slot n takes the golden-ratio point frac(n * phi), kept as an exact 24-bit integer, and maps it
+Slot n takes the golden-ratio point frac(n * phi), kept as an exact 32-bit integer, and maps it
 through the cumulative weights to a source. Slots are ranked per source; a source's documents,
 shuffled by hash, are laid end to end and cut into blocks of equal tokens (a document belongs
 to the block in which it starts); rank r of a source takes its block r modulo its blocks. The
@@ -8,6 +8,11 @@ schedule ends at the first slot by which every block has been taken once, so no
 and sources below their weight come again (epoch 1, 2, ...). By default weights are the square
 roots of the sources' tokens.
 
+A source whose weight is tiny beside its blocks would make the others come again without end before
+its last block is drawn. So a share is raised, where it is lower, to what lets the source come whole
+within about ``REPEAT`` times the blocks of all sources: the length of a schedule follows the tokens,
+whatever the weights, and every source with a weight above 0 has an interval.
+
 Defined cases: rows with the same (doc_id, source) are one document whose tokens add up and are
 scheduled together, each row kept; a null source is a source, a null doc_id a document of it; a
 null or empty text has no tokens and lies in the block where it falls; a source without any
@@ -19,7 +24,7 @@ unchanged, whatever their names, apart from those named like the schedule's in `
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialise import cut
@@ -27,9 +32,21 @@ from .common import fresh, running_total, word_count
 
 BLOCK_TOKENS = 16_384
 SEED = 17
-#: 2**32 / golden ratio, odd; points are the top 24 bits of n * PHI modulo 2**32.
+#: 2**32 / golden ratio, odd; points are n * PHI modulo 2**32.
 PHI = 2_654_435_769
-ONE = 1 << 24
+ONE = 1 << 32
+REPEAT = 4
+#: Points are joined with the intervals of sources by their cell, a run of 2**CELL points.
+CELL = 20
+
+
+def _slots_of(blocks: str) -> str:
+    """Points within which a share p has surely met ``blocks`` of them, times p.
+
+    The golden rotation comes back to an interval of length p within 1.9 / p points, and the number of
+    hits among n points differs from n * p by far less than 64.
+    """
+    return f"least(3 * {blocks}, {blocks} + 64)"
 
 
 def _units(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
@@ -38,6 +55,23 @@ def _units(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: i
     return rows.groupBy("doc_id", "source").agg(F.sum("t").alias("n_tokens")).withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3))
 
 
+def intervals(per: DataFrame, block_tokens: int) -> DataFrame:
+    """Rows (source, blocks, need, lo, hi) of rows (source, tokens, w), one a source: its blocks, and its interval of the 2**32 points.
+
+    The sums run over the table of sources, in decimals as the products pass 2**63.
+    """
+    per = per.withColumn("blocks", F.expr(f"(tokens + {block_tokens} - 1) div {block_tokens}")).withColumn("need", F.expr(_slots_of("blocks")))
+    per = per.selectExpr("*", f"greatest(w, (cast(need as decimal(20,0)) * sum(w) over ()) div ({REPEAT} * sum(blocks) over ()) + 1) as raised")
+    per = per.selectExpr("*", f"greatest(1L, (cast(raised as decimal(20,0)) * ({ONE} - count(*) over ())) div (sum(raised) over ())) as width")
+    return per.selectExpr("source", "blocks", "need", "(sum(width) over (order by source nulls first)) - width as lo", "sum(width) over (order by source nulls first) as hi")
+
+
+def point(slot: Column) -> Column:
+    """slot * PHI modulo 2**32, by the halves of the slot so that no product passes 2**63."""
+    high, low = F.shiftright(slot, 16).bitwiseAND(65535), slot.bitwiseAND(65535)
+    return ((high * PHI).bitwiseAND(65535) * 65536 + low * PHI).bitwiseAND(ONE - 1)
+
+
 def schedule(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -57,22 +91,15 @@ def schedule(
     if weights is None:
         weight = F.floor(F.sqrt(F.col("tokens").cast("double")) * 1024)
     else:
-        table = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(round(v * 1e6)).cast("bigint"))]) if weights else F.lit(None).cast("map<string,bigint>")
+        held = {k: max(1, round(v * 1e6)) for k, v in weights.items() if v > 0}
+        table = F.create_map(*[x for k, v in held.items() for x in (F.lit(k), F.lit(v).cast("bigint"))]) if held else F.lit(None).cast("map<string,bigint>")
         weight = F.coalesce(F.try_element_at(table, "source"), F.lit(0)).cast("bigint")
-    per = per.withColumn("w", weight).where("w > 0")
-    # one row a source; the cumulative weights of a table of sources
-    marks = cut(
-        per.selectExpr(
-            "source",
-            f"(tokens + {block_tokens} - 1) div {block_tokens} as blocks",
-            f"((sum(w) over (order by source nulls first) - w) * {ONE}) div (sum(w) over ()) as lo",
-            f"((sum(w) over (order by source nulls first)) * {ONE}) div (sum(w) over ()) as hi",
-        )
-    )
-    bound = marks.where("hi > lo").selectExpr(f"max(((blocks + 64) * {ONE}) div (hi - lo) + 1) as n").first()["n"] or 0
-    point = F.shiftrightunsigned(F.expr(f"(id * {PHI}) & 4294967295"), 8)
-    slots = spark.range(1, bound + 1).select(F.col("id").alias("slot"), point.alias("p"), F.expr("id div 65536").alias("part"), F.lit(1).alias("one"))
-    drawn = cut(slots.join(F.broadcast(marks), (F.col("p") >= F.col("lo")) & (F.col("p") < F.col("hi"))).select("slot", "part", "source", "blocks", "one"))
+    marks = cut(intervals(per.withColumn("w", weight).where("w > 0"), block_tokens))
+    bound = marks.selectExpr(f"max((cast(need as decimal(20,0)) * {ONE}) div (hi - lo) + 1) as n").first()["n"] or 0
+    cells = marks.select("source", "blocks", "lo", "hi", F.explode(F.expr(f"sequence(shiftright(lo, {CELL}), shiftright(hi - 1, {CELL}))")).alias("cell"))
+    slots = spark.range(1, bound + 1).select(F.col("id").alias("slot"), point(F.col("id")).alias("p"), F.expr("id div 65536").alias("part"), F.lit(1).alias("one"))
+    slots = slots.withColumn("at", F.shiftright("p", CELL))
+    drawn = cut(slots.join(cells, (F.col("at") == F.col("cell")) & (F.col("p") >= F.col("lo")) & (F.col("p") < F.col("hi"))).select("slot", "part", "source", "blocks", "one"))
     ranked = running_total(drawn, ["source"], "part", ["slot"], {"rank": "one"})
     last = ranked.where(F.col("rank") == F.col("blocks") - 1).agg(F.max("slot").alias("last"))
     ranked = (
@@ -101,10 +128,12 @@ with u as (select doc_id, source, sum(coalesce(len(regexp_extract_all(text, '[^
 k as (select *, md5(concat_ws('|', '{seed}', coalesce(source, ''), coalesce(doc_id::varchar, ''))) as key from u),
 c as (select *, (coalesce(sum(n_tokens) over (partition by source order by key, doc_id rows between unbounded preceding and 1 preceding), 0))::bigint as start from k),
 p as (select source, greatest(sum(n_tokens), 1)::bigint as tokens, floor(sqrt(greatest(sum(n_tokens), 1)::double) * 1024)::bigint as w from u group by source),
-m as (select source, (tokens + {b} - 1) // {b} as blocks, ((sum(w) over (order by source nulls first) - w)::bigint * {ONE}) // (sum(w) over ())::bigint as lo,
-  ((sum(w) over (order by source nulls first))::bigint * {ONE}) // (sum(w) over ())::bigint as hi from p),
-n as (select max(((blocks + 64) * {ONE}) // (hi - lo) + 1)::bigint as n from m where hi > lo),
-s as (select r as slot, ((r * {PHI}) & 4294967295) >> 8 as p from (select unnest(range(1, (select n + 1 from n))) as r)),
+q as (select *, (tokens + {b} - 1) // {b} as blocks, {_slots_of(f"((tokens + {b} - 1) // {b})")} as need from p),
+x as (select *, greatest(w, (need::hugeint * sum(w) over ()) // ({REPEAT} * sum(blocks) over ()) + 1) as raised from q),
+y as (select *, greatest(1, (raised::hugeint * ({ONE} - count(*) over ())) // (sum(raised) over ())::hugeint)::bigint as width from x),
+m as (select source, blocks, need, (sum(width) over (order by source nulls first) - width)::bigint as lo, (sum(width) over (order by source nulls first))::bigint as hi from y),
+n as (select max((need::hugeint * {ONE}) // (hi - lo) + 1)::bigint as n from m),
+s as (select r as slot, (r * {PHI}) & {ONE - 1} as p from (select unnest(range(1, (select n + 1 from n))) as r)),
 d as (select slot, source, blocks, row_number() over (partition by source order by slot) - 1 as rank from s join m on p >= lo and p < hi),
 l as (select max(slot) as last from d where rank = blocks - 1),
 t as (select slot, rank // blocks as epoch, source, rank % blocks as block from d, l where slot <= last),

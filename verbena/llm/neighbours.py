@@ -1,19 +1,22 @@
 """Exact nearest neighbours by a block matrix join with int8 tiles.
 
-Vectors are dealt to blocks by a hash of their id. Every query block meets every stripe of
-``stripe`` blocks in one task, which reads the stripe block by block: an int8 product tile gives
-all inner products at once (the codes are multiplied as float32, which is exact for sums below
-2**24), and the norms of both vectors' quantisation errors bound each distance from both sides.
-Pairs whose lower bound is above the query's k-th best distance so far are pruned; the others are
-recomputed from the vectors in double precision and merged into the query's heap of k. The heaps
-of a query's stripes are merged at the end. As the bounds are strict, the result is exact.
-
-Work is quadratic, as in any exact join; each vector is sent to (blocks + stripes) tasks, a task
-holds two blocks, and no side is broadcast.
+The queries are the vectors whose id is divisible by ``every`` (1: all); they are searched in all
+vectors. Both are dealt to blocks by a hash of their id, and blocks are taken together in stripes
+on either side. A task has one stripe of queries and one of vectors, which it reads block by block:
+an int8 product tile gives all inner products at once (the codes are multiplied as float32, which
+is exact for sums below 2**24), and the norms of both vectors' quantisation errors bound each
+distance from both sides. Pairs whose lower bound is above the query's k-th best distance so far
+are pruned; the others are recomputed from the vectors in double precision and merged into the
+query's heap of k. The heaps of a query's stripes are merged at the end. As the bounds are strict,
+the result is exact.
+
+Work is queries times vectors, as in any exact search. A vector is sent once to each stripe of
+queries, a query once to each stripe of vectors: copies grow with blocks / stripe on either side.
+A task holds a stripe of queries and one block of vectors, and no side is broadcast.
 
 Defined cases: a null id, a null vector, and a vector with null, NaN or infinite elements or with
-another length than most (the least such length on a tie) is left out; rows of one id are one
-vector, the least of them; equal distances are ranked by id; with fewer than k others, all are
+another length than most (the least such length on a tie) is left out; a table without any query has no
+result; rows of one id are one vector, the least of them; equal distances are ranked by id; with fewer than k others, all are
 listed; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -29,8 +32,12 @@ from pyspark.sql import functions as F
 from ..plans.materialise import cut
 
 K = 10
+#: The registered search: the queries are the ids divisible by it.
+EVERY = 20
 BLOCK_ROWS = 4096
-STRIPE = 8
+#: Blocks of queries, and of vectors, that a task takes.
+QUERY_STRIPE = 4
+STRIPE = 32
 STRIP = 512
 
 
@@ -159,41 +166,50 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array(np.diff(offsets).astype(np.int32))], names=["id", "x", "n"])
 
 
-def vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Rows (id, x, n): one clean vector an id, as bytes of doubles, all of the commonest length n."""
-    v = F.col(vector_col).cast("array<double>")
+def vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 1) -> tuple[DataFrame, int, int]:
+    """Rows (id, x, n): one clean vector an id, as bytes of doubles, all of the commonest length n; how many, and how many are queries."""
+    v = F.col(f"`{vector_col}`").cast("array<double>")
     bad = F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    rows = table.select(F.col(id_col).cast("bigint").alias("id"), v.alias("x")).where("id is not null and x is not null").where(~bad)
+    rows = table.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), v.alias("x")).where("id is not null and x is not null").where(~bad)
     packed = cut(rows.groupBy("id").agg(F.min("x").alias("x")).mapInArrow(_pack, "id bigint, x binary, n int"))
-    usual = packed.groupBy("n").count().orderBy(F.desc("count"), "n").first()
-    return packed.where(F.col("n") == (usual["n"] if usual else 0))
-
-
-def knn(table: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, stripe: int = STRIPE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Rows (vec_id, rank, neighbor_id, distance): the k nearest others of every vector, Euclidean, to six places."""
-    clean = vectors(table, id_col, vector_col)
-    blocks = max(1, -(-clean.count() // block_rows))
-    stripes = -(-blocks // stripe)
-    placed = clean.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "x")
-    task = lambda q, s: q * F.lit(stripes) + s
-    queries = placed.select(F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("s"), "block", "id", "x").select(
-        task(F.col("block"), F.col("s")).alias("task"), F.lit(0).alias("role"), "block", "id", "x"
-    )
-    others = placed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"), "block", "id", "x").select(
-        task(F.col("q").cast("bigint"), F.expr(f"block div {stripe}")).alias("task"), F.lit(1).alias("role"), "block", "id", "x"
+    usual = packed.groupBy("n").agg(F.count("*").alias("rows"), F.count_if(F.col("id") % every == 0).alias("queries")).orderBy(F.desc("rows"), "n").first()
+    return packed.where(F.col("n") == (usual["n"] if usual else 0)), usual["rows"] if usual else 0, usual["queries"] if usual else 0
+
+
+def _grid(n: int, block_rows: int, stripe: int, least: int) -> tuple[int, int]:
+    """(blocks, stripes) of n rows: whole stripes, at least ``least`` of them while there are as many blocks."""
+    blocks = max(1, -(-n // block_rows))
+    return blocks, max(-(-blocks // stripe), min(blocks, least))
+
+
+def knn(
+    table: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, stripe: int = STRIPE, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 1, query_stripe: int = QUERY_STRIPE
+) -> DataFrame:
+    """Rows (vec_id, rank, neighbor_id, distance): the k nearest others of every query, Euclidean, to six places."""
+    clean, n, n_queries = vectors(table, id_col, vector_col, every)
+    _, groups = _grid(n_queries, block_rows, query_stripe, 1)
+    blocks, stripes = _grid(n, block_rows, stripe, -(-table.sparkSession.sparkContext.defaultParallelism // groups))
+    code = F.xxhash64("id")
+    group, block = F.pmod(code, F.lit(groups)), F.pmod(F.shiftrightunsigned(code, 20), F.lit(blocks))
+    task = lambda g, s: (g * F.lit(stripes) + s).cast("int")
+    queries = clean.where(F.col("id") % every == 0).select(
+        F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("s"), group.alias("g"), "id", "x"
+    ).select(task(F.col("g"), F.col("s")).alias("task"), F.lit(0).alias("role"), F.lit(0).cast("bigint").alias("block"), "id", "x")
+    others = clean.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), block.alias("block"), "id", "x").select(
+        task(F.col("g"), F.col("block") % stripes).alias("task"), F.lit(1).alias("role"), "block", "id", "x"
     )
-    tasks = blocks * stripes  # each task is a partition of its own, so that none gets two
-    sent = queries.unionByName(others).repartitionById(tasks, F.col("task").cast("int")).sortWithinPartitions("task", "role", "block")
+    # each task is a partition of its own, so that none gets two
+    sent = queries.unionByName(others).repartitionById(groups * stripes, F.col("task")).sortWithinPartitions("task", "role", "block")
     found = sent.mapInArrow(_tiles(k), "vec_id bigint, neighbor_id bigint, d2 double")
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("d2", "neighbor_id"))
     return found.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", F.round(F.sqrt("d2"), 6).alias("distance"))
 
 
-def knn_sql(k: int = K) -> str:
+def knn_sql(k: int = K, every: int = EVERY) -> str:
     """DuckDB SQL of ``knn`` over the table embeddings."""
     return (
         "with v as (select vec_id, min(embedding::double[]) as x from embeddings where vec_id is not null and embedding is not null group by vec_id), "
-        "p as (select a.vec_id, b.vec_id as neighbor_id, list_distance(a.x, b.x) as d from v a join v b on a.vec_id <> b.vec_id), "
+        f"p as (select a.vec_id, b.vec_id as neighbor_id, list_distance(a.x, b.x) as d from v a join v b on a.vec_id <> b.vec_id where a.vec_id % {every} = 0), "
         "r as (select *, row_number() over (partition by vec_id order by d, neighbor_id) as rank from p) "
         f"select vec_id, rank, neighbor_id, round(d, 6) as distance from r where rank <= {k}"
     )

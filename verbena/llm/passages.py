@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialise import cut
-from .common import _SOLID_BYTES, POWERS, chunks, hash_spans, keep, mix64, spans
+from .common import _SOLID_BYTES, POWERS, chunks, hash_spans, keep, mix64, prefixes, spans
 
 LENGTH = 50
 GRAM = 20
@@ -42,14 +42,6 @@ SORT_WORDS = 1 << 22
 HOT = 50_000
 
 
-def prefixes(hashes: np.ndarray) -> np.ndarray:
-    """Prefix polynomial hashes of a sequence of word hashes."""
-    up, _ = POWERS.upto(len(hashes) + 1)
-    out = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=out[1:])
-    return out
-
-
 def contexts(texts: list[str | None], length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(text index, k-gram hash, context hash, first window, windows, offset of the k-gram) of each context."""
     out: list[tuple[np.ndarray, ...]] = []

@@ -28,7 +28,7 @@ def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.knn(read(spark, sf_dir, "embeddings"))
+    return neighbours.knn(read(spark, sf_dir, "embeddings"), every=neighbours.EVERY)
 
 
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,11 @@ r"""HTML extraction by wrappers, inferred as union-free regular expressions.
 
 A page is a stream of tokens: tags (name, class and id) and texts; comments, scripts and styles are
 skipped. Within a page, adjacent equal blocks of tags and texts become a repeated group
-``( ... )+``, innermost first. The pages of a host are then aligned one structure after another
+``( ... )+``, innermost first: those of the shortest period there is, until there is none. The pages of a host are then aligned one structure after another
 (the commonest first) with the host's wrapper: a block that another page repeats is read as that
 group, stretches that only one side has become optional groups ``( ... )?``, and a text position
-at which the pages differ is a slot ``#PCDATA``; texts that all pages share stay as constants of
-the template. The result is a union-free expression that matches all pages of the host, and the
+at which the pages differ is a slot ``#PCDATA``; texts that several different pages share stay as
+constants of the template. Copies of one page (equal structure and texts) count as one page. The result is a union-free expression that matches all pages of the host, and the
 slots' texts, in order, are the page's content.
 
 Pages themselves are not shuffled for the inference: a page sends its structure, counted with those
@@ -14,10 +14,10 @@ of its batch, and the least and greatest hash of each text position. A host is o
 *distinct structures*. For the extraction, pages meet their structure's slots in a join on host and structure.
 
 Defined cases: a null or empty page, or one without any text, comes out with no slots; a null url,
-or one without a host, has the empty host; a host with one page has a wrapper of slots only; markup that is
+or one without a host, has the empty host; a host with one page, or with copies of one page only, has a wrapper of slots only; markup that is
 not closed is read as it stands, an unfinished tag to the end of the page; repeated rows and rows
 of one page_id are pages of their own; an empty table gives an empty result; further columns are
-ignored. Blocks of more than ``MAX_BLOCK`` tokens are not looked for as repeats; they stay as they are.
+ignored. Blocks of any length and depth are looked for as repeats.
 """
 
 from __future__ import annotations
@@ -26,22 +26,22 @@ import html
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_spans, keep
+from .common import POWERS, hash_spans, keep, mix64, prefixes
 
-MAX_BLOCK = 32
-DEPTH = 4
+#: Streams of more items have the periods of their repeats found by hashes and not by expressions; either finds the same.
+SHORT = 2048
 TEXT = "#"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _VALUE, _QUOTES = re.compile(r"[^\w-]+"), "\"'"
 _SPACE = re.compile(r"\s+")
-_TANDEM = re.compile(rf"(.{{1,{MAX_BLOCK}}}?)\1+", re.S)
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -90,14 +90,55 @@ class Symbols:
         return self.char("(" + " ".join(self.name[c] for c in block) + ")+")
 
 
+@lru_cache(4096)
+def _tandem(period: int) -> re.Pattern:
+    """Adjacent equal blocks of a length."""
+    return re.compile(rf"(.{{{period}}})\1+", re.S)
+
+
+_SQUARE = re.compile(r"(.+?)\1", re.S)
+
+
+def shortest_period(s: str) -> int:
+    """The least length of a block that stands twice in a row in ``s``; 0 if none does."""
+    if len(s) <= SHORT:
+        some = _SQUARE.search(s)
+        most = len(some.group(1)) if some else 0
+        return next((p for p in range(1, most) if _tandem(p).search(s)), most)
+    codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(codes)
+    q = prefixes(mix64(codes.astype(np.uint64) + np.uint64(1)))
+    _, down = POWERS.upto(n + 1)
+
+    def same(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (q[a + size] - q[a]) * down[a] == (q[b + size] - q[b]) * down[b]
+
+    for p in range(1, n // 2 + 1):
+        # a block twice in a row covers a multiple of p: how far both its sides agree there, forwards and backwards
+        i = np.arange(0, n - p, p)
+        i = i[codes[i] == codes[i + p]]
+        if not len(i):
+            continue
+        ahead, back = np.ones(len(i), np.int64), np.zeros(len(i), np.int64)
+        for found, most, way in ((ahead, np.minimum(p, n - p - i), 0), (back, np.minimum(p - 1, i), 1)):
+            high = most.copy()
+            for _ in range(int(p).bit_length()):
+                mid = (found + high + 1) >> 1
+                ok = same(i - mid * way, i + p - mid * way, mid)
+                found[:], high = np.where(ok, mid, found), np.where(ok, high, mid - 1)
+        if (ahead + back >= p).any() and _tandem(p).search(s):
+            return p
+    return 0
+
+
 def structure(stream: str, symbols: Symbols) -> tuple[str, list[int]]:
     """The structure of a stream, adjacent equal blocks as groups, and for each text token the number of its text position in it."""
     text = symbols.char(TEXT)
     # each item: its symbol, its number of text positions, and (token, position in the item) of its texts
     items = [(c, 1, [(i, 0)]) if c == text else (c, 0, []) for i, c in enumerate(stream)]
-    for _ in range(DEPTH):
+    while period := shortest_period(symbols_ := "".join(x[0] for x in items)):
         out, at = [], 0
-        for m in _TANDEM.finditer("".join(x[0] for x in items)):
+        for m in _tandem(period).finditer(symbols_):
             block = m.group(1)
             out += items[at : m.start()]
             at = m.end()
@@ -109,8 +150,6 @@ def structure(stream: str, symbols: Symbols) -> tuple[str, list[int]]:
                 base += n
             group = block if len(block) == 1 and symbols.name[block][0] == "(" else symbols.group(block)
             out.append((group, width, own))
-        if not at:
-            break
         items = out + items[at:]
     place: dict[int, int] = {}
     base = 0
@@ -204,8 +243,8 @@ class Wrapper:
             x[1], before = self.groups, now
 
 
-def infer(structures: list[tuple[str, int, list[int], list[int], list[int]]]) -> tuple[str, list[list[int]]]:
-    """The wrapper of (structure, pages, least hashes, greatest hashes, occurrences) rows of one host, and each structure's slots by text position (-1: constant)."""
+def infer(structures: list[tuple[str, int, list[int], list[int]]]) -> tuple[str, list[list[int]]]:
+    """The wrapper of (structure, different pages, least hashes, greatest hashes) rows of one host, and each structure's slots by text position (-1: constant)."""
     split = [items_of(s[0]) for s in structures]
     names = {name for items in split for x in items for name in _groups(x)}
     blocks = sorted(((tuple(items_of(name[1:-2])), name) for name in names), key=lambda x: (-len(x[0]), x[1]))
@@ -218,8 +257,8 @@ def infer(structures: list[tuple[str, int, list[int], list[int], list[int]]]) ->
     low: dict[tuple[int, int], int] = {}
     high: dict[tuple[int, int], int] = {}
     many: dict[tuple[int, int], int] = {}
-    for (_, pages, lows, highs, n), own in zip(structures, places):
-        for p, a, b, c in zip(own, lows, highs, n):
+    for (_, pages, lows, highs), own in zip(structures, places):
+        for p, a, b in zip(own, lows, highs):
             low[p], high[p] = min(a, low.get(p, a)), max(b, high.get(p, b))
             many[p] = many.get(p, 0) + pages
     slots, parts, group = {}, [], None
@@ -276,8 +315,12 @@ def _text_hashes(texts: list[str]) -> np.ndarray:
     return hash_spans(np.frombuffer(b"".join(data), np.uint8), end - size, end).view(np.int64) if len(data) else np.zeros(0, np.int64)
 
 
+def _page_hash(hashes: np.ndarray) -> int:
+    return int(mix64(prefixes(hashes.view(np.uint64))[-1:]).view(np.int64)[0])
+
+
 def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, structure, pages, low, high, n), one for each host and structure of a batch."""
+    """Rows (host, structure, pages, least, greatest, low, high), one for each host and structure of a batch: of the pages' hashes, and of the texts' by position."""
     for b in batches:
         found: dict[tuple[str, str], list] = {}
         for host, (text, place, texts) in zip(b.column(1).to_pylist(), _parsed(b.column(2).to_pylist())):
@@ -287,27 +330,27 @@ def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, high = np.full(at.max() + 1, np.iinfo(np.int64).max), np.full(at.max() + 1, np.iinfo(np.int64).min)
             np.minimum.at(low, at, h)
             np.maximum.at(high, at, h)
-            n = np.bincount(at)
-            old = found.get((host, text))
-            found[host, text] = [1, low, high, n] if old is None else [old[0] + 1, np.minimum(old[1], low), np.maximum(old[2], high), old[3] + n]
+            page = _page_hash(h)
+            _merge(found, (host, text), [1, page, page, low, high])
         keys = list(found)
-        cols = [[k[0] for k in keys], [k[1] for k in keys], [found[k][0] for k in keys], *[[found[k][i].tolist() for k in keys] for i in (1, 2, 3)]]
-        types = (pa.string(), pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], names=["host", "structure", "pages", "low", "high", "n"])
+        cols = [[k[0] for k in keys], [k[1] for k in keys], *[[found[k][i] for k in keys] for i in range(3)], *[[found[k][i].tolist() for k in keys] for i in (3, 4)]]
+        types = (pa.string(), pa.string(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 2)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], names=["host", "structure", "pages", "least", "greatest", "low", "high"])
+
+
+def _merge(found: dict, key, new: list) -> None:
+    old = found.get(key)
+    found[key] = new if old is None else [old[0] + new[0], min(old[1], new[1]), max(old[2], new[2]), np.minimum(old[3], new[3]), np.maximum(old[4], new[4])]
 
 
 def _infer_host(t: pa.Table) -> pa.Table:
     """All structures of a host -> rows (host, key, wrapper, slots)."""
     merged: dict[str, list] = {}
-    for text, pages, low, high, n in zip(*(t.column(c).to_pylist() for c in ("structure", "pages", "low", "high", "n"))):
-        old = merged.get(text)
-        if old is None:
-            merged[text] = [pages, np.array(low), np.array(high), np.array(n)]
-        else:
-            old[0] += pages
-            old[1], old[2], old[3] = np.minimum(old[1], low), np.maximum(old[2], high), old[3] + np.array(n)
+    for text, pages, least, greatest, low, high in zip(*(t.column(c).to_pylist() for c in ("structure", "pages", "least", "greatest", "low", "high"))):
+        _merge(merged, text, [pages, least, greatest, np.array(low), np.array(high)])
     order = sorted(merged, key=lambda s: (-merged[s][0], s))
-    wrapper, slots = infer([(s, merged[s][0], *[x.tolist() for x in merged[s][1:]]) for s in order])
+    # more than one different page is all that counts
+    wrapper, slots = infer([(s, 1 + (merged[s][1] != merged[s][2]), *[x.tolist() for x in merged[s][3:]]) for s in order])
     host = t.column("host")[0].as_py()
     keys = _text_hashes(order)
     schema = pa.schema([("host", pa.string()), ("key", pa.int64()), ("wrapper", pa.string()), ("slots", pa.list_(pa.int32()))])
@@ -329,7 +372,7 @@ def _base(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
 
 
 def _wrapper_rows(base: DataFrame) -> DataFrame:
-    rows = base.mapInArrow(_structures, "host string, structure string, pages bigint, low array<bigint>, high array<bigint>, n array<bigint>")
+    rows = base.mapInArrow(_structures, "host string, structure string, pages bigint, least bigint, greatest bigint, low array<bigint>, high array<bigint>")
     return rows.groupBy("host").applyInArrow(_infer_host, "host string, key bigint, wrapper string, slots array<int>")
 
 
