@@ -7,15 +7,22 @@ read a text again.
 Defined cases: a null text measures as the empty text, which fails ``empty`` only (the other
 rules need a minimum of words); a null ``doc_id`` is kept as it is; repeated rows give repeated
 ledger rows; an empty table gives an empty ledger and no ablation rows; extra input columns are
-ignored by ``ledger`` and carried by ``apply_policy``, whatever their names.
+ignored by ``ledger`` and carried by ``apply_policy``, whatever their names. Measurements of a text of any
+length are made of the whole text. Learned terms: a null text has none; labels of a null doc_id or
+without a verdict are left out, and a doc_id with several labels is toxic if one says so.
 """
 
 from __future__ import annotations
 
+import operator
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, word_count
+from ..functions.vectors import let
+from .common import WORD
 
 #: English words of abuse; a parameter of ``measurements``.
 ABUSE = (
@@ -61,38 +68,53 @@ MAX_TERMS = 2_000
 LEARNED = 1 << len(RULES)
 
 
-def measurements(text: Column, abuse: tuple[str, ...] = ABUSE) -> dict[str, Column]:
-    """The measured quantities, all BIGINT, each one pass of a built-in function over the text."""
-    t = F.coalesce(text, F.lit(""))
-    left = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
-    parts = lambda pattern: F.filter(F.split(t, pattern), lambda x: x != "")
-    lines = parts(r"\n")
-    out = {
-        "n_chars": F.length(t),
-        "n_words": word_count(t),
-        "n_distinct": F.size(F.array_distinct(parts(r"[ \t\r\n]+"))),
-        "n_letters": left(r"[^\p{L}]+"),
-        "n_upper": left(r"[^\p{Lu}]+"),
-        "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
-        "n_lines": F.size(lines),
-        "n_distinct_lines": F.size(F.array_distinct(lines)),
-        "n_abuse": F.regexp_count(F.lower(t), F.lit(rf"\b(?:{'|'.join(abuse)})\b")),
-    }
-    return {k: v.cast("bigint") for k, v in out.items()}
+def measurements(text: Column, abuse: tuple[str, ...] = ABUSE) -> Column:
+    """A struct of the measured quantities, all BIGINT; words and lines are split once, and each other one is one pass of a built-in function over the text."""
+    left = lambda t, pattern: F.length(F.regexp_replace(t, pattern, ""))
+    parts = lambda t, pattern: F.filter(F.split(t, pattern), lambda x: x != "")
+
+    def measured(t: Column, words: Column, lines: Column) -> Column:
+        out = {
+            "n_chars": F.length(t),
+            "n_words": F.size(words),
+            "n_distinct": F.size(F.array_distinct(words)),
+            "n_letters": left(t, r"[^\p{L}]+"),
+            "n_upper": left(t, r"[^\p{Lu}]+"),
+            "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+            "n_lines": F.size(lines),
+            "n_distinct_lines": F.size(F.array_distinct(lines)),
+            "n_abuse": F.regexp_count(F.lower(t), F.lit(rf"\b(?:{'|'.join(abuse)})\b")),
+        }
+        return F.struct(*[out[k].cast("bigint").alias(k) for k in MEASURES])
+
+    split = F.struct(F.coalesce(text, F.lit("")).alias("t"), parts(F.coalesce(text, F.lit("")), r"[ \t\r\n]+").alias("words"), parts(F.coalesce(text, F.lit("")), r"\n").alias("lines"))
+    return let(split, lambda x: measured(x["t"], x["words"], x["lines"]))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, measurements, ``fail_bits`` and ``keep_<policy>`` for every policy version."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    measured = base.select("doc_id", *[c.alias(n) for n, c in measurements(F.col("text")).items()])
-    bits = measured.withColumn("fail_bits", _bits(lambda n: F.expr(n)))
-    return bits.select("*", *[(F.col("fail_bits").bitwiseAND(F.lit(m)) == 0).alias(f"keep_{v}") for v, m in POLICIES.items()])
+    held = let(measurements(F.col(f"`{text_col}`")), lambda m: F.struct(*[m[k].alias(k) for k in MEASURES], _bits(m).alias("fail_bits")))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held.alias("held")).select("doc_id", "held.*")
+    return rows.select("*", *[(F.col("fail_bits").bitwiseAND(F.lit(m)) == 0).alias(f"keep_{v}") for v, m in POLICIES.items()])
+
+
+_TERM = re.compile(r"\b[a-z_]+\b")
+
+
+def _condition(sql: str, m: Column) -> Column:
+    """The condition of a rule over a struct of measurements: sums, products and comparisons of them, joined by ``and``."""
+    number = lambda x: reduce(lambda a, b: a * b, [m[f.strip()] if _TERM.fullmatch(f.strip()) else F.lit(int(f)) for f in x.split("*")])
+    one = lambda c: next(op(*map(number, c.split(sign))) for sign, op in _COMPARE if sign in c)
+    return reduce(lambda a, b: a & b, [one(c) for c in sql.split(" and ")])
+
 
+_COMPARE = ((">=", operator.ge), ("<=", operator.le), ("=", operator.eq), ("<", operator.lt), (">", operator.gt))
 
-def _bits(cond) -> Column:
+
+def _bits(m: Column) -> Column:
     total = F.lit(0).cast("bigint")
     for name, sql in RULES:
-        total = total.bitwiseOR(F.when(cond(sql), F.lit(BIT[name]).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        total = total.bitwiseOR(F.when(_condition(sql, m), F.lit(BIT[name]).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     return total
 
 
@@ -116,22 +138,28 @@ def ablation(ledger_df: DataFrame, policies: dict[str, int] = POLICIES) -> DataF
     )
 
 
-def apply_policy(docs: DataFrame, policy: str = PRODUCTION, text_col: str = "text") -> DataFrame:
-    """The rows whose text passes a policy without the bits of NOT_REJECTED, with all their columns unchanged.
+def fail_bits(text: Column, terms: list[tuple[int, str]] = ()) -> Column:
+    """The bits of the rules that a text fails, and LEARNED if it has one of the learned terms."""
+    bits = let(measurements(text), _bits)
+    return bits.bitwiseOR(F.when(has_terms(text, terms), F.lit(LEARNED)).otherwise(F.lit(0)).cast("bigint")) if terms else bits
+
 
-    Only the measurements of the policy are computed; nothing is shuffled.
+def apply_policy(docs: DataFrame, policy: str = PRODUCTION, text_col: str = "text", terms: list[tuple[int, str]] = ()) -> DataFrame:
+    """The rows whose ledger bits pass a policy without those of NOT_REJECTED, with all their columns unchanged; learned terms reject as well.
+
+    The bits are those of ``ledger`` and ``learned_ledger``: every rule is evaluated once a row, the policy is a mask over them.
     """
-    held = measurements(F.col(text_col))
-    names = dict(zip(held, fresh(docs, *held)))
-    sql = [_renamed(cond, names) for name, cond in RULES if POLICIES[policy] & ~NOT_REJECTED & BIT[name]]
-    wide = docs.withColumns({names[k]: v for k, v in held.items()})
-    return wide.where(~F.expr(" or ".join(f"({s})" for s in sql))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mask = POLICIES[policy] & ~NOT_REJECTED | (LEARNED if terms else 0)
+    return docs.where(fail_bits(F.col(f"`{text_col}`"), terms).bitwiseAND(F.lit(mask)) == 0)
+
 
+def _words(text: Column) -> Column:
+    """The distinct lower-case words of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
 
-def _features(text: Column) -> dict[int, Column]:
-    """The distinct lower-case words of a text at 0, and their starts of each length."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
 
+def _features(words: Column) -> dict[int, Column]:
+    """The words at 0, and their starts of each length."""
 
     def starts(k: int) -> Column:
         return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.substring(w, 1, k)))
@@ -148,7 +176,7 @@ def abuse_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col
     def marked_by(k: int, found: Column) -> Column:
         return F.transform(found, lambda x: F.struct(F.lit(k).alias("k"), x.alias("term")))
 
-    terms = F.concat(*[marked_by(k, found) for k, found in _features(F.col("t")).items()])
+    terms = let(_words(F.col("t")), lambda w: F.concat(*[marked_by(k, found) for k, found in _features(w).items()]))
     counts = rows.select("y", F.explode(terms).alias("f")).groupBy("f.k", "f.term").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("bad"), F.count("*").alias("n"))
     found = counts.where((F.col("bad") >= MIN_TOXIC) & (20 * (F.col("n") - F.col("bad")) <= F.col("bad")))
     return [(r["k"], r["term"]) for r in found.orderBy(F.desc("bad"), "k", "term").limit(MAX_TERMS).collect()]
@@ -156,25 +184,22 @@ def abuse_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col
 
 def has_terms(text: Column, terms: list[tuple[int, str]]) -> Column:
     """Whether a text has one of the learned terms."""
-    held = F.lit(False)
-    for k, found in _features(text).items():
-        if own := [t for n, t in terms if n == k]:
-            held = held | F.arrays_overlap(found, F.array(*[F.lit(t) for t in own]))
-    return held
+
+    def held(words: Column) -> Column:
+        found = [F.arrays_overlap(f, F.array(*[F.lit(t) for t in own])) for k, f in _features(words).items() if (own := [t for n, t in terms if n == k])]
+        return reduce(lambda a, b: a | b, found, F.lit(False))
+
+    return let(_words(text), held)
 
 
 def learned_ledger(docs: DataFrame, terms: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``ledger`` with the bit LEARNED of ``fail_bits`` and ``keep_learned``: the newest policy and no learned term."""
-    name = fresh(docs, "learned")[0]
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.when(has_terms(F.col(text_col), terms), F.lit(LEARNED)).otherwise(F.lit(0)).cast("bigint").alias(name))
-    measured = base.select("doc_id", name, *[c.alias(n) for n, c in measurements(F.col("text")).items()])
-    bits = measured.withColumn("fail_bits", _bits(lambda n: F.expr(n)).bitwiseOR(F.col(name))).drop(name)
+    found = F.when(has_terms(F.col("text"), terms), F.lit(LEARNED)).otherwise(F.lit(0)).cast("bigint")
+    held = let(measurements(F.col("text")), lambda m: F.struct(*[m[k].alias(k) for k in MEASURES], _bits(m).alias("fail_bits")))
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = base.select("doc_id", held.alias("held"), found.alias("found")).select("doc_id", *[f"held.{k}" for k in MEASURES], F.col("held.fail_bits").bitwiseOR(F.col("found")).alias("fail_bits"))
     masks = POLICIES | {"learned": POLICIES[PRODUCTION] & ~NOT_REJECTED | LEARNED}
-    return bits.select("*", *[(F.col("fail_bits").bitwiseAND(F.lit(m)) == 0).alias(f"keep_{v}") for v, m in masks.items()])
-
-
-def _renamed(sql: str, names: dict[str, str]) -> str:
-    return " ".join(f"`{names[w]}`" if w in names else w for w in sql.split())
+    return rows.select("*", *[(F.col("fail_bits").bitwiseAND(F.lit(m)) == 0).alias(f"keep_{v}") for v, m in masks.items()])
 
 
 def ledger_sql() -> str:
