@@ -13,28 +13,50 @@ from verbena.plans.materialise import ensure_checkpoint_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, and those with terms of abuse learned from the table labels; the rest is unchanged."""
-    kept = quality.apply_policy(docs)
-    return kept.where(~quality.has_terms(F.col("text"), quality.abuse_terms(docs, read(spark, sf_dir, "labels")))) if sf_dir else kept
+    """Documents that the production policy rejects by their ledger bits go, the bit of the terms of abuse learned from the table labels among them.
+
+    A null, empty or blank text is rejected as empty; a text is not rejected for its length; repeated rows and rows of one or of no doc_id are
+    judged each by its text; an empty table stays empty; all columns are carried, whatever their names. Without ``sf_dir`` no terms are learned.
+    """
+    terms = quality.abuse_terms(docs, read(spark, sf_dir, "labels")) if sf_dir else []
+    return quality.apply_policy(docs, terms=terms)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Common lines go, where copies of one text count as one; ``n_chars`` follows the text."""
-    return lines.drop_common_lines(docs, by_content=True).withColumn("n_chars", F.length("text").cast("bigint"))
+    """Lines of ten documents or more go from all of them, where a group of near copies counts as one document; ``n_chars`` follows the text.
+
+    So a copied document keeps its lines until the next stage decides which copy stays. A null text stays null and an empty one empty; a
+    document that loses every line stays with an empty text; rows of one doc_id, or of none, count as one document; every row stays;
+    further columns are carried, whatever their names; a text of any length takes time linear in its lines.
+    """
+    kept = lines.drop_common_lines(docs, groups=simhash.groups(docs))
+    return kept.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, with all its columns.
+
+    Equal texts without words (null and empty ones are equal) are copies of each other; rows without a doc_id are kept; of rows that repeat
+    doc_id and text one stays, different texts of one doc_id all do; a tie is for the least doc_id; an empty table stays empty.
+    """
     return simhash.dedup(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; documents of sources below their weight come several times."""
+    """Every document stays; documents of sources below their weight come several times.
+
+    A null source is a source; rows of one (doc_id, source), a null doc_id among them, come together; null and empty texts have no tokens and
+    come with the block where they fall; ties of the shuffle are for the least doc_id; an empty table stays empty; all columns are carried.
+    """
     return mixing.mix(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every piece of every document lies in the training sequences."""
+    """Where every piece of every document lies in the training sequences.
+
+    A null or empty text has one row without a sequence; repeated rows are packed as further copies; a text longer than a sequence is cut
+    into full pieces and a rest; equal sizes are ranked by doc_id; an empty table gives no rows; further columns are ignored.
+    """
     return packing.pack(docs)
 
 
