@@ -56,10 +56,33 @@ def test_passages_of_few_words(spark, seed):
     texts[6] = "r " + shared + "\n" + texts[6]
     docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
     expected = brute_passages(texts, 8)
-    for hot in (passages.HOT, 3, 0):  # by sorting, by both ways, by window hashes only
+    for hot in (passages.HOT, 3, 0):  # by sorting, by both ways, by grouping only
         assert {tuple(r) for r in passages.repeated_passages(docs, 8, 3, hot=hot).collect()} == expected
 
 
+def test_passages_with_equal_hashes(spark, monkeypatch):
+    """With one hash for all words, only the words themselves tell passages apart: no text is reported that doesn't repeat."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(30)) for _ in range(5)]
+    texts += [texts[0], "q " + texts[1][10:] + " r"]
+    expected = brute_passages(texts, 8)
+    contexts = [passages.contexts([t], 8, 3) for t in texts]
+    assert all(len(c[0]) for c in contexts)
+    table = []
+    for d, (t, (_, _, first, n, off)) in enumerate(zip(texts, contexts)):
+        w = t.split()
+        table += [(1, d, 0, int((f << 20) | (m << 10) | o), " ".join(w[f : f + m + 7])) for f, m, o in zip(first, n, off)]
+    monkeypatch.setattr(passages, "hash_spans", lambda buf, start, end: np.full(len(start), 7, np.uint64))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in table]) for i in range(5)], names=["k", "id", "v", "place", "words"])
+    (out,) = passages._compare(8)(iter([batch]))
+    got = Counter()
+    for d, _, s, e in zip(*(out.column(i).to_pylist() for i in range(4))):
+        got.update((d, x) for x in range(s, e))
+    assert set(got) == {(d, x) for d, s, e in expected for x in range(s, e)}
+
+
 def test_suffix_sort_and_collisions():
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(5, 12))) for _ in range(30)]

@@ -6,15 +6,18 @@ stands at two places of the table; the result is the union of all such windows o
 Windows are dealt out by content: each one is represented by the least hash among its k-grams
 (the leftmost on a tie), so equal windows have equal k-grams, at the same place in the window.
 Consecutive windows with the same k-gram form one context, and only one small row a context
-(about one for fifteen words) is shuffled, by the k-gram's hash. Contexts whose 128 bits of
-hashes occur again are settled without their text. Contexts that share no k-gram are dropped.
-The others (the edges of copies, and near misses) fetch their words: their suffixes, one for
-each window, are merge-sorted within a k-gram, all groups of a batch in step. Suffixes are compared by
-their longest common extension, found by binary search over prefix polynomial hashes, so a
-comparison takes log(length) steps; neighbours that agree over the whole length are verified
-word for word, and a group with a collision is sorted again by its words. A k-gram with more than
-``hot`` such contexts (a boilerplate with as many surroundings) would be too much for one task; its
-windows are instead counted by 128 bits of hashes, spread over all tasks.
+(about one for fifteen words) is written. K-grams are counted with a map-side sum; the contexts of
+those that stand once are dropped, the others fetch their words. Equal contexts of a k-gram are put
+together by their words. The suffixes of different ones, one for each window, are merge-sorted within
+a k-gram, all groups of a batch in step. Suffixes are compared by their longest common extension,
+found by binary search over prefix polynomial hashes, so a comparison takes log(length) steps;
+neighbours that agree over the whole length are verified word for word, and a group with a collision
+is sorted again by its words.
+
+A k-gram with more than ``hot`` contexts (a boilerplate with as many surroundings, or a text with as
+many copies) would be too much for one task. Its contexts, and then the windows of the different
+ones, are grouped by their words instead, with a map-side sum, over all tasks. Either way a
+window is reported for equal words, never for equal hashes alone.
 
 Defined cases: a null text, or one of fewer than ``length`` words, has no passages; a null doc_id
 is an id; repeated rows repeat each other, so their whole texts are passages, reported once for
@@ -38,12 +41,12 @@ from .common import _SOLID_BYTES, POWERS, chunks, hash_spans, keep, mix64, prefi
 LENGTH = 50
 GRAM = 20
 _SHIFT = np.int64(10)
-SORT_WORDS = 1 << 22
-HOT = 50_000
+SORT_WORDS = 1 << 20
+HOT = 10_000
 
 
 def contexts(texts: list[str | None], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text index, k-gram hash, context hash, first window, windows, offset of the k-gram) of each context."""
+    """(text index, k-gram hash, first window, windows, offset of the k-gram) of each context."""
     out: list[tuple[np.ndarray, ...]] = []
     for lo, hi in chunks(texts):
         buf, start, end, of = spans([(t or "").encode("utf-8", "replace") for t in texts[lo:hi]], _SOLID_BYTES)
@@ -68,81 +71,41 @@ def contexts(texts: list[str | None], length: int, gram: int) -> tuple[np.ndarra
             continue
         gone = np.flatnonzero(np.concatenate((~whole, [True])))
         stop = np.minimum(np.append(first[1:], n), gone[np.searchsorted(gone, first)])
-        last = stop - 1 + length
         doc = of[first]
         base = np.searchsorted(of, doc)
-        context = mix64((q[last] - q[first]) * down[first] + (last - first).astype(np.uint64))
-        out.append((doc + lo, grams[at[first]], context, first - base, stop - first, at[first] - first))
+        out.append((doc + lo, grams[at[first]], first - base, stop - first, at[first] - first))
     if not out:
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _context_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, k, c, first, n, off = contexts(b.column(2).to_pylist(), length, gram)
+            doc, k, first, n, off = contexts(b.column(2).to_pylist(), length, gram)
             at = pa.array(doc)
             place = (first << (2 * _SHIFT)) | (n << _SHIFT) | off
-            cols = [pa.array(k.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(place)]
-            yield pa.RecordBatch.from_arrays(cols, names=["k", "c", "id", "v", "place"])
+            cols = [pa.array(k.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(cols, names=["k", "id", "v", "place"])
 
     return run
 
 
-def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (k, c), those whose k occurs again: settled if their c does, to be compared if it has another neighbour."""
-    held = None
-    before = (None, None)
-    for b in batches:
-        if not b.num_rows:
-            continue
-        if held is not None:
-            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-        if b.num_rows > 1:
-            yield _marked(b.slice(0, b.num_rows - 1), before, (b.column(0)[-1].as_py(), b.column(1)[-1].as_py()))
-            before = (b.column(0)[-2].as_py(), b.column(1)[-2].as_py())
-        held = b.slice(b.num_rows - 1)
-    if held is not None:
-        yield _marked(held, before, (None, None))
-
-
-def _marked(b: pa.RecordBatch, before: tuple, after: tuple) -> pa.RecordBatch:
-    k, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-    same_k, same_c = k[1:] == k[:-1], (k[1:] == k[:-1]) & (c[1:] == c[:-1])
-    k_before, k_after = np.concatenate(([k[0] == before[0]], same_k)), np.concatenate((same_k, [k[-1] == after[0]]))
-    c_before = np.concatenate(([(k[0], c[0]) == before], same_c))
-    c_after = np.concatenate((same_c, [(k[-1], c[-1]) == after]))
-    settled = c_before | c_after
-    compare = (k_before & ~c_before) | (k_after & ~c_after)
-    at = np.flatnonzero(settled | compare)
-    rows = b.take(pa.array(at))
-    return pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[2:], pa.array(settled[at]), pa.array(compare[at])], names=["k", "id", "v", "place", "settled", "compare"])
-
-
-def _fetch(length: int, hashed: bool):
-    """Rows (id, v, text, places) -> a row a context, with its words; or (hashed) a row a window, with its hashes."""
+def _fetch(length: int):
+    """Rows (id, v, text, places) -> a row a context, with its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 words = np.array(_words(b.column(2)[i].as_py()), object)
                 todo = b.column(3)[i].values
-                k, place = todo.field(0).to_numpy(), todo.field(1).to_numpy()
+                k, place, hot = todo.field(0), todo.field(1).to_numpy(), todo.field(2)
                 first, n = place >> (2 * _SHIFT), (place >> _SHIFT) & ((1 << _SHIFT) - 1)
-                for lo in range(0, len(k), 4096):
-                    part = slice(lo, lo + 4096)
-                    text = [" ".join(words[s : s + m + length - 1]) for s, m in zip(first[part], n[part])]
-                    if hashed:
-                        s = Suffixes(text, length)
-                        row = np.repeat(np.arange(len(text)), n[part])
-                        step = np.arange(len(row)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
-                        at = pa.array(np.full(len(row), i))
-                        cols = [*(pa.array(h) for h in s.window_hashes(s.base[row] + step)), b.column(0).take(at), b.column(1).take(at), pa.array(first[part][row] + step)]
-                        yield pa.RecordBatch.from_arrays(cols, names=["h", "g", "id", "v", "s"])
-                        continue
+                for lo in range(0, len(k), 2048):
+                    part = slice(lo, lo + 2048)
+                    text = pa.array([" ".join(words[s : s + m + length - 1]) for s, m in zip(first[part], n[part])], pa.string())
                     at = pa.array(np.full(len(text), i))
-                    yield pa.RecordBatch.from_arrays([pa.array(k[part]), b.column(0).take(at), b.column(1).take(at), pa.array(place[part]), pa.array(text)], names=["k", "id", "v", "place", "words"])
+                    yield pa.RecordBatch.from_arrays([k[part], b.column(0).take(at), b.column(1).take(at), pa.array(place[part]), hot[part], text], names=["k", "id", "v", "place", "hot", "words"])
 
     return run
 
@@ -182,11 +145,6 @@ class Suffixes:
         e[full] = 0
         return np.where(full, or_equal, self.hashes[p + e] < self.hashes[r + e])
 
-    def window_hashes(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of the ``length`` words from each p on."""
-        other = prefixes(mix64(self.hashes ^ np.uint64(0x9E3779B97F4A7C15)))
-        return tuple(mix64((q[p + self.length] - q[p]) * self.down[p]).view(np.int64) for q in (self.q, other))
-
     def words(self, p: int) -> bytes:
         return self.buf[self.start[p] : self.end[p + self.length - 1]].tobytes()
 
@@ -267,59 +225,74 @@ def _compare(length: int):
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         k, place = t.column("k").to_numpy(), t.column("place").to_numpy()
-        first, n, off = place >> (2 * _SHIFT), (place >> _SHIFT) & ((1 << _SHIFT) - 1), place & ((1 << _SHIFT) - 1)
-        text = Suffixes(t.column("words").to_pylist(), length)
-        row = np.repeat(np.arange(len(k)), n)
+        # equal contexts of a k-gram are one, by their words
+        code = t.column("words").combine_chunks().dictionary_encode().indices.to_numpy()
+        _, lead, of, many = np.unique(np.stack([k, code], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+        of = of.reshape(-1)
+        n, off = (place[lead] >> _SHIFT) & ((1 << _SHIFT) - 1), place[lead] & ((1 << _SHIFT) - 1)
+        text = Suffixes(t.column("words").take(pa.array(lead)).to_pylist(), length)
+        row = np.repeat(np.arange(len(lead)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         p = text.base[row] + step
-        _, gram = np.unique(k, return_inverse=True)
+        _, gram = np.unique(k[lead], return_inverse=True)
         # equal windows have their k-gram at the same place
-        found = np.sort(text.repeated(p, gram[row] * (1 << int(_SHIFT) + 1) + off[row] - step + (1 << int(_SHIFT))))
+        found = text.repeated(p, gram[row] * (1 << int(_SHIFT) + 1) + off[row] - step + (1 << int(_SHIFT)))
+        found = np.unique(np.concatenate([found, p[many[row] > 1]]))
         own = np.searchsorted(text.base, found, "right") - 1
         new = np.concatenate(([True], (found[1:] != found[:-1] + 1) | (own[1:] != own[:-1])))[: len(found)]
         begin = np.flatnonzero(new)
         stop = np.append(begin[1:], len(found)) - 1 if len(begin) else begin
-        i = own[begin]
-        s = first[i] + found[begin] - text.base[i]
-        e = first[i] + found[stop] - text.base[i] + length
-        at = pa.array(i)
-        rows = t.select(["id", "v"]).take(at).combine_chunks()
-        cols = [rows.column(x).combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(x).type) for x in ("id", "v")]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array(e)], names=["id", "v", "s", "e"])
+        # the stretches of each different context, for every context that is equal to it
+        held = own[begin]
+        start, size = np.searchsorted(held, np.arange(len(lead))), np.bincount(held, minlength=len(lead))
+        times = size[of]
+        i = np.repeat(np.arange(len(of)), times)
+        at = np.repeat(start[of] - (np.cumsum(times) - times), times) + np.arange(len(i))
+        first, base = place[i] >> (2 * _SHIFT), text.base[of[i]]
+        cols = [t.column(x).take(pa.array(i)).combine_chunks() for x in ("id", "v")]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(first + found[begin][at] - base), pa.array(first + found[stop][at] - base + length)], names=["id", "v", "s", "e"])
 
     return run
 
 
+def _hot_windows(words: DataFrame, length: int) -> DataFrame:
+    """Rows (k, id, v, place, words) of contexts of frequent k-grams -> passages (id, v, s, e), by grouping equal contexts and equal windows."""
+    first = F.shiftright("place", 20)
+    words = keep(words)
+    each = keep(words.groupBy("k", "words").agg(F.count("*").alias("many")).withColumn("x", F.monotonically_increasing_id()))
+    split = F.split("words", " ")
+    windows = each.select("x", split.alias("w"), F.posexplode(F.sequence(F.lit(1), F.size(split) - (length - 1))).alias("s", "at"))
+    windows = windows.select("x", "s", F.array_join(F.slice("w", F.col("at"), length), " ").alias("window"))
+    again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    hits = windows.join(again, "window", "left_semi").select("x", "s")
+    named = words.join(each, ["k", "words"]).select("id", "v", first.alias("first"), (F.size(split)).alias("n"), "many", "x")
+    whole = named.where("many > 1").select("id", "v", F.col("first").alias("s"), (F.col("first") + F.col("n")).alias("e"))
+    part = named.where("many = 1").join(hits, "x").select("id", "v", (F.col("first") + F.col("s")).alias("s"), (F.col("first") + F.col("s") + length).alias("e"))
+    return whole.unionByName(part)
+
+
 def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Rows (doc_id, start_word, end_word): the maximal stretches of words that repeated windows cover; ``end_word`` is exclusive."""
     if not 0 < gram <= length < 1 << int(_SHIFT):
         raise ValueError("0 < gram <= length < 1024")
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`").cast("string")
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.hash(text).alias("v"), text.alias("text")).where("text is not null")
-    rows = base.mapInArrow(_context_rows(length, gram), f"k bigint, c bigint, id {kind}, v int, place bigint")
-    sorted_rows = rows.repartition("k").sortWithinPartitions("k", "c")
-    repeated = keep(sorted_rows.mapInArrow(_repeated_rows, f"k bigint, id {kind}, v int, place bigint, settled boolean, compare boolean"))
-
-    first, n = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(1023)
-    settled = repeated.where("settled").select("id", "v", first.alias("s"), (first + n + (length - 1)).alias("e"))
-    busy = cut(repeated.where("compare").groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k"))
-    parts = [(repeated.where("compare"), False)]
-    if not busy.isEmpty():
-        parts = [(repeated.where("compare").join(busy, "k", how), how == "left_semi") for how in ("left_anti", "left_semi")]
-    every = settled
-    for rows, hashed in parts:
-        # repeated rows have the same words: one of them is enough, all its contexts being settled or compared alike
-        todo = rows.groupBy(F.col("id").alias("i"), F.col("v").alias("w")).agg(F.collect_set(F.struct("k", "place")).alias("places"))
-        fetched = base.join(todo, F.col("id").eqNullSafe(F.col("i")) & (F.col("v") == F.col("w"))).select("id", "v", "text", "places")
-        if hashed:
-            windows = fetched.mapInArrow(_fetch(length, True), f"h bigint, g bigint, id {kind}, v int, s bigint")
-            again = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1")
-            found = windows.join(again, ["h", "g"], "left_semi").select("id", "v", "s", (F.col("s") + length).alias("e"))
-        else:
-            words = fetched.mapInArrow(_fetch(length, False), f"k bigint, id {kind}, v int, place bigint, words string")
-            found = words.repartition("k").sortWithinPartitions("k").mapInArrow(_compare(length), f"id {kind}, v int, s bigint, e bigint")
-        every = every.unionByName(found)
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("v"), text.alias("text")).where("text is not null")
+    rows = keep(base.mapInArrow(_context_rows(length, gram), f"k bigint, id {kind}, v bigint, place bigint"))
+    # counted before anything meets by k-gram: a frequent one is a sum of each map task
+    again = cut(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
+    repeated = rows.join(again, "k").select("k", "id", "v", "place", (F.col("n") > hot).alias("hot"))
+    # repeated rows have the same words: they are fetched once and go as often as they repeat
+    todo = repeated.groupBy(F.col("id").alias("i"), F.col("v").alias("w")).agg(F.collect_set(F.struct("k", "place", "hot")).alias("places"))
+    fetched = base.join(todo, F.col("id").eqNullSafe(F.col("i")) & (F.col("v") == F.col("w"))).select("id", "v", "text", "places")
+    words = fetched.mapInArrow(_fetch(length), f"k bigint, id {kind}, v bigint, place bigint, hot boolean, words string")
+    every = None
+    if not again.where(F.col("n") > hot).isEmpty():
+        words = keep(words)
+        every = _hot_windows(words.where("hot").select("k", "id", "v", "place", "words"), length)
+    cold = words.where("not hot").select("k", "id", "v", "place", "words")
+    found = cold.repartition("k").sortWithinPartitions("k").mapInArrow(_compare(length), f"id {kind}, v bigint, s bigint, e bigint")
+    every = found if every is None else found.unionByName(every)
 
     doc = Window.partitionBy("id", "v").orderBy("s", "e")
     reach = F.max("e").over(doc.rowsBetween(Window.unboundedPreceding, -1))
