@@ -35,7 +35,8 @@ def dbscan(vectors: DataFrame, eps: float, min_samples: int, metric: str = "eucl
     pairs = cut(within(vectors, eps, metric))
     ids = vectors.select("id")
     cores = cut(ids.join(pairs.groupBy(F.col("i").alias("id")).count(), "id", "left").where(F.coalesce("count", F.lit(0)) + 1 >= min_samples).select("id"))
-    inner = pairs.join(cores.select(F.col("id").alias("i")), "i", "left_semi").cache()
+    inner = pairs.join(cores.select(F.col("id").alias("i")), "i", "left_semi")
+    inner = cut(inner)  # read twice
     roots = components(inner.join(cores.select(F.col("id").alias("j")), "j", "left_semi"))
     core_root = cores.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
     # clusters are a small table compared to points: their ranks are a global window over roots only
@@ -43,7 +44,6 @@ def dbscan(vectors: DataFrame, eps: float, min_samples: int, metric: str = "eucl
     labelled = cut(core_root.join(numbers, "root").select("id", "label"))
     reached = inner.join(labelled, F.col("i") == F.col("id")).groupBy("j").agg(F.min("label").alias("near"))
     out = ids.join(labelled, "id", "left").join(reached, F.col("id") == F.col("j"), "left")
-    inner.unpersist()
     return out.select("id", F.coalesce("label", "near", F.lit(-1)).alias("label"))
 
 

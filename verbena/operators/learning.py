@@ -39,7 +39,7 @@ def training_rows(table: DataFrame, label_col: str = "label", weight_col: str |
     if class_weights is None:
         return rows.withColumn("item_weight", w)
     named = class_weights.toDF("__l", "__w")  # a row a class
-    return rows.join(F.broadcast(named), F.col(label_col) == F.col("__l")).withColumn("item_weight", w * F.col("__w")).drop("__l", "__w")
+    return rows.join(named, F.col(label_col) == F.col("__l")).withColumn("item_weight", w * F.col("__w")).drop("__l", "__w")
 
 
 def multilabel_rows(table: DataFrame, labels_col: str, class_weights: list[float]) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import NotFitted
@@ -32,20 +32,20 @@ class LabelExpander:
         return self
 
     def transform(self, points: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-        """Rows (id, label); -1 where no candidate accepts. The centroids, a row a label, meet every point."""
+        """Rows (id, label); -1 where no candidate accepts. The centroids, a row a label, come to every point as one array, which is ranked in the row."""
         if self.table is None:
             raise NotFitted("call fit first")
         unit = normalised(points, id_col, vector_col)
+        every = self.table.agg(F.collect_list(F.struct("label", "centroid", "low", "high")).alias("every"))  # one row
         share = lambda test: F.size(F.filter(test, lambda b: b)) / F.size("v")
-        above = share(F.zip_with("v", "low", lambda x, y: x >= y))
-        below = share(F.zip_with("v", "high", lambda x, y: x <= y))
-        pairs = unit.crossJoin(self.table.select("label", "centroid", "low", "high")).select(
-            "id", "label", euclidean(F.col("v"), F.col("centroid")).alias("d"), ((above > self.threshold) & (below > self.threshold)).alias("ok")
-        )
-        near = F.array_sort(F.collect_list(F.struct("d", "label", "ok")))
-        best = pairs.groupBy("id").agg(F.slice(near, 1, self.candidates).alias("near"))
-        accepted = F.get(F.filter("near", lambda c: c["ok"]), F.lit(0))["label"]
-        return best.select("id", F.coalesce(accepted.cast("int"), F.lit(-1)).alias("label"))
+
+        def judged(c: Column) -> Column:
+            above, below = share(F.zip_with("v", c["low"], lambda x, y: x >= y)), share(F.zip_with("v", c["high"], lambda x, y: x <= y))
+            return F.struct(euclidean(F.col("v"), c["centroid"]).alias("d"), c["label"].alias("label"), ((above > self.threshold) & (below > self.threshold)).alias("ok"))
+
+        near = F.slice(F.array_sort(F.transform("every", judged)), 1, self.candidates)
+        accepted = F.get(F.filter(near, lambda c: c["ok"]), F.lit(0))["label"]
+        return unit.crossJoin(every).select("id", F.coalesce(accepted.cast("int"), F.lit(-1)).alias("label"))
 
 
 def knn_graph(vectors: DataFrame, k: int = 20, gamma: float = 3.0) -> DataFrame:
@@ -136,13 +136,35 @@ def expansion_steps(gold: int, unlabelled: int, rounds: int, policy: str = "expo
     return [*out, gold + unlabelled]
 
 
-def select_top(labels: DataFrame, index: int) -> DataFrame:
+#: Cuts per round of the search for a weight, and rows near the cut that are then sorted.
+CUTS = 1024
+NEAR = 100_000
+
+
+def select_top(labels: DataFrame, index: int, near: int = NEAR) -> DataFrame:
     """All labels but the ``index`` of greatest weight become -1 (ties by id).
 
-    The cut is found by a bounded top-k of (weight, id), not by a global sort.
+    The cut is found by counting the weights between ``CUTS`` marks, and again within the stretch of the cut, until
+    that has ``near`` rows at most or one weight only; those are ordered by (weight, id). No sort follows the table's size,
+    but for rows of one single weight.
     """
-    least = labels.orderBy(F.desc("weight"), "id").limit(index).agg(F.min("weight").alias("w"), F.count("*").alias("n"), F.max_by("id", F.struct(-F.col("weight"), F.col("id"))).alias("last")).first()
-    keep = (F.col("weight") > least["w"]) | ((F.col("weight") == least["w"]) & (F.col("id") <= least["last"])) if least["n"] else F.lit(False)
+    held = labels.agg(F.min("weight").alias("low"), F.max("weight").alias("high"), F.count("*").alias("n")).first()
+    if not held["n"] or index >= held["n"]:
+        return labels
+    low, high, inside, left = held["low"], held["high"], held["n"], index
+    while inside > near and low < high:
+        width = (high - low) / CUTS
+        if not low < low + width:
+            break
+        at = F.least(F.floor((F.col("weight") - low) / width), F.lit(CUTS - 1))
+        rows = labels.where(F.col("weight").between(low, high)).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min("weight").alias("a"), F.max("weight").alias("b")).orderBy(F.desc("at")).collect()
+        for r in rows:  # at most CUTS
+            if r["n"] >= left:
+                break
+            left -= r["n"]
+        low, high, inside = r["a"], r["b"], r["n"]
+    edge = labels.where(F.col("weight").between(low, high)).orderBy(F.desc("weight"), "id").limit(left).agg(F.min("weight").alias("w"), F.max_by("id", F.struct(-F.col("weight"), F.col("id"))).alias("last")).first()
+    keep = (F.col("weight") > edge["w"]) | ((F.col("weight") == edge["w"]) & (F.col("id") <= edge["last"])) if left else F.col("weight") > high
     return labels.withColumn("label", F.when(keep, F.col("label")).otherwise(F.lit(-1)))
 
 

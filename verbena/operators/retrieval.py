@@ -8,27 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lower_words
+from ..plans.materialise import cut
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "item_id", doc_id: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Rows (query_id, doc_id, score, rank): Okapi BM25 over an inverted index, ``k`` best documents a query, ties by id.
 
-    A negative idf becomes ``epsilon`` times the mean idf. Postings are filtered to the queries' terms
-    before the join; the scores are summed per (query, document) and ranked within the query.
+    A negative idf becomes ``epsilon`` times the mean idf. Document frequencies come from one pass over the
+    distinct words of each document, summed before they are shuffled. Postings are made for the queries' terms
+    only, and meet one row a term with all its queries: a broadcast where Catalyst finds that table small, and
+    else a join whose frequent terms adaptive execution splits. Scores are summed per (query, document).
     """
-    terms = lambda t: lower_words(t)
-    d = docs.select(F.col(doc_id).alias("doc_id"), terms(F.col(text_col)).alias("w")).withColumn("len", F.size("w"))
-    stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))  # one row
-    tf = d.select("doc_id", "len", F.explode("w").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n")))
-    idf = df.select("term", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
-    mean = idf.agg(F.avg("raw").alias("mean"))  # one row
-    idf = idf.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    q = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = q.join(idf, "term")
-    hits = tf.join(wanted, "term").crossJoin(F.broadcast(stats.select("avg_len")))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), lower_words(F.col(text_col)).alias("w"))
+    stats = d.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg_len"))  # one row
+    df = d.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n")))
+    raw = cut(df.select("term", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw")))
+    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
+    idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    q = queries.select(F.col(query_id).alias("query_id"), F.explode(lower_words(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = cut(q.join(idf, "term").groupBy("term").agg(F.collect_list(F.struct("query_id", (F.col("qtf") * F.col("idf")).alias("weight"))).alias("queries")))
+    words_ = d.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(wanted.select("term"), "term", "left_semi")
+    tf = words_.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(stats.select("avg_len")))
+    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    hits = tf.select("doc_id", "term", share.alias("share")).join(wanted, "term").select("doc_id", "share", F.explode("queries").alias("q"))
+    scores = hits.groupBy(F.col("q.query_id").alias("query_id"), "doc_id").agg(F.round(F.sum(F.col("q.weight") * F.col("share")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scores.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
 

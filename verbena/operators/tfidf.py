@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialise import cut
+
 
 def word_tokens(text: Column) -> Column:
     """Lower-cased words of at least two characters."""
@@ -12,13 +14,18 @@ def word_tokens(text: Column) -> Column:
 
 
 def _weights(terms: DataFrame, key: str, idf) -> DataFrame:
-    """(key, term) occurrences -> rows (key, term, tf, weight), of L2 norm 1 a key. ``idf`` takes the number of keys and the term's."""
-    tf = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term) occurrences -> rows (key, term, tf, weight), of L2 norm 1 a key. ``idf`` takes the number of keys and the term's.
+
+    Occurrences are counted once; the norm of a key is a sum that is joined back, so that a key of very many terms is no task of its own.
+    """
+    tf = cut(terms.groupBy(key, "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = tf.agg(F.countDistinct(key).alias("n"))  # one row
-    raw = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * idf(F.col("n"), F.col("df")))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", "tf", F.coalesce(F.try_divide(F.col("w"), norm), F.lit(0.0)).alias("weight"))
+    # a row a term, as it is a sum over all keys; read twice
+    scale = cut(df.crossJoin(F.broadcast(n)).select("term", idf(F.col("n"), F.col("df")).alias("idf")))
+    raw = tf.join(scale, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norms = raw.groupBy(F.col(key).alias("__k")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__norm"))
+    return raw.join(norms, F.col(key).eqNullSafe(F.col("__k"))).select(key, "term", "tf", F.coalesce(F.try_divide(F.col("w"), F.col("__norm")), F.lit(0.0)).alias("weight"))
 
 
 def topic_terms(labelled: DataFrame, label_col: str, text_col: str) -> DataFrame:

@@ -366,7 +366,7 @@ def optics_clusters(spark, sf):
 def cluster_topics(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text", "source")
     ids = docs.select("source").distinct().select("source", F.xxhash64("source").alias("label"))  # a row a source
-    return clustering.topics(docs.join(F.broadcast(ids), "source"), 0.1).select("doc_id", "topic")
+    return clustering.topics(docs.join(ids, "source"), 0.1).select("doc_id", "topic")
 
 
 # ---- propagation

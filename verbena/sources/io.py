@@ -31,7 +31,7 @@ def spread(table: DataFrame) -> DataFrame:
     pruning and filters pass through to the scan either way.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    parts = table._jdf.queryExecution().toRdd().getNumPartitions()
+    parts = table.rdd.getNumPartitions()  # plans the scan, reads nothing
     return table.repartition(cores) if 2 * parts <= cores else table
 
 
