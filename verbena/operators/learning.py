@@ -9,7 +9,7 @@ from __future__ import annotations
 import io
 import json
 import logging
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NotFitted
+from ..functions.vectors import pool
+from ..sources.io import Registry
 
 log = logging.getLogger(__name__)
 
@@ -192,6 +194,10 @@ def classification_metrics(predictions: DataFrame, label: str = "label", predict
     return per.unionByName(total)
 
 
+#: Models by class name, for saved parameters.
+MODELS = Registry()
+
+
 @dataclass
 class EarlyStopping:
     """Stop after ``patience`` epochs that didn't improve by more than max(alpha, pct * best)."""
@@ -327,6 +333,19 @@ class Network:
     def weights(self) -> list[np.ndarray]:
         return [layer.p[k] for layer in self.layers for k in sorted(layer.p)]
 
+    def state(self) -> list[np.ndarray]:
+        """Weights, the two moments of each (zeros before the first step), and the number of steps."""
+        slots = [(i, k) for i, layer in enumerate(self.layers) for k in sorted(layer.p)]
+        moments = [np.zeros_like(self.layers[i].p[k]) + self.m.get((i, k), (0.0, 0.0))[j] for j in (0, 1) for i, k in slots]
+        return [*self.weights(), *moments, np.array(float(self.t))]
+
+    def load_state(self, state: list[np.ndarray]) -> Network:
+        slots = [(i, k) for i, layer in enumerate(self.layers) for k in sorted(layer.p)]
+        self.load(state[: len(slots)])
+        self.m = {s: (np.array(a), np.array(b)) for s, a, b in zip(slots, state[len(slots) : 2 * len(slots)], state[2 * len(slots) : 3 * len(slots)])}
+        self.t = round(float(state[-1]))
+        return self
+
     def load(self, weights: list[np.ndarray]) -> Network:
         it = iter(weights)
         for layer in self.layers:
@@ -347,9 +366,42 @@ def _softmax_loss(out, y, w):
     return loss, p * w[:, None] / len(y)
 
 
+#: States of so many partitions are summed in one task.
+FAN = 32
+
+
+def packed(arrays: list[np.ndarray]) -> bytes:
+    buf = io.BytesIO()
+    np.savez(buf, *arrays)
+    return buf.getvalue()
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    return list(np.load(io.BytesIO(data)).values())
+
+
+def summed(parts: DataFrame) -> list:
+    """Rows (loss, n, state), one a partition -> at most FAN such rows of sums, level by level, so that the driver never holds a state a partition."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loss, n, total = 0.0, 0, None
+        for b in batches:
+            for row in b.itertuples():
+                state = unpacked(row.state)
+                loss, n, total = loss + row.loss, n + row.n, state if total is None else [x + y for x, y in zip(total, state)]
+        if total is not None:
+            yield pd.DataFrame({"loss": [loss], "n": [n], "state": [packed(total)]})
+
+    left = parts.rdd.getNumPartitions()
+    while left > FAN:
+        left = -(-left // FAN)
+        parts = parts.repartition(left).mapInPandas(add, "loss double, n bigint, state binary")
+    return parts.collect()
+
+
 @dataclass
 class Trainer:
-    """Epochs of partition-parallel Adam with averaging, early stopping and the best weights kept."""
+    """Epochs of partition-parallel Adam with averaging (of weights and moments), early stopping and the best weights kept."""
 
     network: Network
     kind: str = "mse"
@@ -359,6 +411,9 @@ class Trainer:
     early_stopping: int = 8
     seed: int = 100
     callbacks: list = field(default_factory=list)
+    #: Epoch -> factor of ``lr``; and where to go on after ``load_checkpoint``.
+    schedule: Callable[[int], float] | None = None
+    first_epoch: int = 0
 
     def fit(self, rows: DataFrame, features: str, label: str | None = None, weight: str | None = None, validation: DataFrame | None = None, metrics: dict | None = None) -> list[dict]:
         """The history of the epochs. Without ``validation`` the training rows are checked.
@@ -369,10 +424,10 @@ class Trainer:
         data = rows.select(*columns).where("x is not null")
         held = data if validation is None else validation.select(*columns).where("x is not null")
         loss_of = {"mse": _mse, "softmax": _softmax_loss}[self.kind]
-        network, batch, lr, kind = self.network, self.batch_size, self.lr, self.kind
+        network, batch, kind = self.network, self.batch_size, self.kind
         stopper, best, history = EarlyStopping(self.early_stopping, "max" if metrics else "min"), network.weights(), []
 
-        def epoch(number: int, learn: bool):
+        def epoch(number: int, learn: bool, lr: float):
             seed = self.seed + number
 
             def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -388,20 +443,20 @@ class Trainer:
                         if learn:
                             network.step(g, lr)
                 if n:
-                    buf = io.BytesIO()
-                    np.savez(buf, *(network.weights() if learn else []))
-                    yield pd.DataFrame({"loss": [total], "n": [n], "weights": [buf.getvalue()]})
+                    yield pd.DataFrame({"loss": [total], "n": [n], "state": [packed([n * w for w in network.state()] if learn else [])]})
 
             return run
 
-        for number in range(self.n_epochs):
-            parts = data.mapInPandas(epoch(number, True), "loss double, n bigint, weights binary").collect()  # a row a partition
+        for number in range(self.first_epoch, self.n_epochs):
+            lr = self.lr * (self.schedule(number) if self.schedule else 1.0)
+            # a row a partition, summed by groups of FAN before the driver takes them
+            parts = summed(data.mapInPandas(epoch(number, True, lr), "loss double, n bigint, state binary"))
             n = sum(p["n"] for p in parts)
             if not n:
                 break
-            loaded = [list(np.load(io.BytesIO(p["weights"])).values()) for p in parts]
-            network.load([sum(w[i] * (p["n"] / n) for w, p in zip(loaded, parts)) for i in range(len(loaded[0]))])
-            checked = held.mapInPandas(epoch(number, False), "loss double, n bigint, weights binary").agg(F.sum("loss"), F.sum("n")).first()
+            loaded = [unpacked(p["state"]) for p in parts]
+            network.load_state([sum(w[i] for w in loaded) / n for i in range(len(loaded[0]))])
+            checked = held.mapInPandas(epoch(number, False, lr), "loss double, n bigint, state binary").agg(F.sum("loss"), F.sum("n")).first()
             row = {"epoch": number, "train": sum(p["loss"] for p in parts) / n, "lr": lr, "val": checked[0] / checked[1]}
             if metrics:
                 scored = predict(held, network, "x", "logits").withColumn("predicted", (F.array_position("logits", F.array_max("logits")) - 1).cast("int"))
@@ -497,17 +552,51 @@ class IntentClassifier:
         return out.withColumn("predicted", (F.array_position("logits", F.array_max("logits")) - 1).cast("int"))
 
 
-def save_checkpoint(path: str, network: Network, spark, epoch: int = 0, best: float | None = None, only_model: bool = False) -> None:
-    """Weights (and, unless ``only_model``, epoch and best metric) as one row of Parquet."""
-    buf = io.BytesIO()
-    np.savez(buf, *network.weights())
-    meta = {} if only_model else {"epoch": epoch, "best": best}
-    spark.createDataFrame([(bytearray(buf.getvalue()), json.dumps(meta))], "weights binary, meta string").coalesce(1).write.mode("overwrite").parquet(path)
+    def encode(self, rows: DataFrame, states: str = "states", mask: str = "attention_mask", pooled: str | None = None, out: str = "embedding") -> DataFrame:
+        """The input with the encoder's pooled output, or, where there is none, the mean of its token states."""
+        mean = pool(doubles2(F.col(states)), F.col(mask), "mean")
+        return rows.withColumn(out, F.coalesce(F.col(pooled).cast("array<double>"), mean) if pooled else mean)
+
+
+def doubles2(states: Column) -> Column:
+    return states.cast("array<array<double>>")
+
+
+#: What a training row is made of, by the kind of model: the columns of a batch, features first.
+UNPACKED = {
+    "autoencoder": {"x": "embedding"},
+    "transformers": {"input_ids": "input_ids", "attention_mask": "attention_mask", "y": "label", "w": "item_weight"},
+    "multitask": {"input_ids": "input_ids", "attention_mask": "attention_mask", "y": "label", "tags": "tags", "w": "item_weight"},
+}
+
+
+def unpack(rows: DataFrame, kind: str, **columns: str) -> DataFrame:
+    """The columns that a trainer of a kind reads, under its names; an autoencoder's target is its input; a missing weight is 1."""
+    if kind not in UNPACKED:
+        raise ValueError(f"unknown kind: {kind}")
+    named = UNPACKED[kind] | columns
+    parts = [(F.lit(1.0) if k == "w" and c not in rows.columns else F.col(c)).alias(k) for k, c in named.items()]
+    return rows.select(*parts, *([F.col(named["x"]).alias("y")] if kind == "autoencoder" else []))
+
+
+def save_checkpoint(path: str, network: Network, spark, epoch: int = 0, best: float | None = None, only_model: bool = False, lr: float | None = None) -> None:
+    """Weights (and, unless ``only_model``, the optimiser's moments, epoch, best metric and learning rate) as one row of Parquet."""
+    meta = {} if only_model else {"epoch": epoch, "best": best, **({} if lr is None else {"lr": lr})}
+    data = packed(network.weights() if only_model else network.state())
+    spark.createDataFrame([(bytearray(data), json.dumps(meta))], "weights binary, meta string").coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load_checkpoint(path: str, network: Network, spark) -> dict:
-    """Load the weights; the result has ``epoch`` (the next one) and ``best`` if they were saved."""
+    """Load the weights and the optimiser's state if it was saved; the result has ``epoch`` (the next one, for ``Trainer.first_epoch``), ``best`` and ``lr`` if they were."""
     row = spark.read.parquet(path).first()
-    network.load(list(np.load(io.BytesIO(row["weights"])).values()))
+    arrays = unpacked(row["weights"])
     meta = json.loads(row["meta"])
+    if len(arrays) == len(network.weights()):
+        network.load(arrays)
+    else:
+        network.load_state(arrays)
     return meta | {"epoch": meta["epoch"] + 1} if "epoch" in meta else meta
+
+
+MODELS.add(Autoencoder)
+MODELS.add(IntentClassifier)

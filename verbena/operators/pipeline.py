@@ -1,7 +1,7 @@
 """The text pipeline: clean, annotate tokens, mask, filter, and put the text together again.
 
-Everything is a projection of Column expressions: nothing is shuffled, no Python runs, and the same
-pipeline works on a stream. Annotating and selecting are separate, so a changed configuration needs
+Everything is a projection of Column expressions: nothing is shuffled, and the same pipeline works on a
+stream. No Python runs, but for cleaning by a lexicon of over 64 words (``functions.text.lookup``). Annotating and selecting are separate, so a changed configuration needs
 no new annotation. The default annotator is a set of rules; one with a language model can be passed.
 """
 
@@ -106,7 +106,7 @@ class RuleAnnotator:
         person = (t.isin(*self.given_names) | (capital & F.coalesce(before.isin(*self.given_names), F.lit(False)))) if self._has("entities") else F.lit(False)
         if self._has("lemmas"):
             table = F.create_map(*[F.lit(x) for pair in self.lemmas for x in pair]) if self.lemmas else F.create_map().cast("map<string,string>")
-            lemma = F.coalesce(F.try_element_at(table, low), F.when(t.rlike(r"^'(?i:ve)$"), F.lit("have")), t)
+            lemma = F.coalesce(F.try_element_at(table, low), F.when(t.rlike(r"^'(?i:ve)$"), F.lit("have")), self._singular(t), t)
         else:
             lemma = t
         tag = self._tag(t, low, number, punct, space, capital, email | url) if self._has("tags") else F.lit("")
@@ -123,6 +123,11 @@ class RuleAnnotator:
         }
         return F.struct(*[c.alias(k) for k, c in every.items() if fields is None or k in fields])
 
+    def _singular(self, t: Column) -> Column:
+        """A lower-case word in -s without it, by the rules of English plurals; null for other words, stop words among them."""
+        stem = F.when(t.rlike("[^aeiou]ies$"), F.regexp_replace(t, "ies$", "y")).when(t.rlike("(?:ss|x|z|ch|sh)es$"), F.regexp_replace(t, "es$", "")).otherwise(F.regexp_replace(t, "s$", ""))
+        return F.when(t.rlike("^[a-z]{2,}[^siu]s$") & ~t.isin(*self.stop_words), stem)
+
     @staticmethod
     def _tag(t, low, number, punct, space, capital, address) -> Column:
         rules = [

@@ -146,11 +146,17 @@ def pipeline_tokens(spark, sf):
     return pipeline.Pipeline(config).fit(read_table(spark, sf, "documents")).tokenize()
 
 
+def _flag(name: str):
+    return lambda t: t[name]
+
+
 @query()
 def token_flags(spark, sf):
-    tokens = pipeline.Pipeline().fit(read_table(spark, sf, "documents")).docs.select(F.explode("tokens").alias("t"))
+    """For every document, its tokens and how many have each flag."""
     flags = ["is_punct", "is_space", "is_stop", "like_email", "like_url", "like_num", "proper_noun", "single_char", "phone_number"]
-    return tokens.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"t.{f}")).alias(f) for f in flags])
+    tokens = pipeline.RuleAnnotator().annotate(F.col("text"), set(flags))
+    counts = V.let(tokens, lambda ts: F.struct(F.size(ts).alias("n"), *[F.size(F.filter(ts, _flag(f))).alias(f) for f in flags]))
+    return read_table(spark, sf, "documents").select("doc_id", counts.alias("c")).select("doc_id", "c.*")
 
 
 # ---- counts and features
@@ -174,24 +180,39 @@ KEY_WORDS = ["license", "general public license"]
 _EXCLUDED = "(n = 1 and ngram = 'license') or (n = 2 and ngram = 'general public') or (n = 3 and ngram = 'general public license')"
 
 
-@query(
-    "with g as ("
-    + " union all ".join(f"select {n} as n, ngram from ({_ngram_sql(n)})" for n in (1, 2, 3, 4))
+_VOCABULARY = (
+    f"with o as (select doc_id, unnest(w) as w, generate_subscripts(w, 1) as i from (select doc_id, {_WORDS.format('lower(text)')} as w from documents)), "
+    "e as materialized (select doc_id, w as g1, "
+    + ", ".join(" || ' ' || ".join(["w", *(f"lead(w, {i}) over k" for i in range(1, n))]) + f" as g{n}" for n in (2, 3, 4))
+    + " from o window k as (partition by doc_id order by i)), g as materialized ("
+    + " union all ".join(f"select {n} as n, doc_id, g{n} as ngram from e where g{n} is not null" for n in (1, 2, 3, 4))
     + '), c as (select n, ngram, count(*) as "count" from g group by n, ngram), r as (select *, row_number() over (partition by n order by "count" desc, ngram) as k from c), '
     + f"t as (select * from r where k <= {20 + len(KEY_WORDS)} and not ({_EXCLUDED})), "
-    + 'f as (select n, ngram, "count", (row_number() over (partition by n order by "count" desc, ngram))::int as rank from t) select * from f where rank <= 20'
+    + 'f as (select n, ngram, "count", (row_number() over (partition by n order by "count" desc, ngram))::int as rank from t), v as materialized (select * from f where rank <= 20) '
 )
+_KEYWORDS = (
+    _VOCABULARY + ", h as (select doc_id, n, ngram, count(*) as k from g where (n, ngram) in (select n, ngram from v) group by all), "
+    "x as (select d.doc_id, list(coalesce(h.k, 0)::double order by v.n, v.rank) as own from documents d cross join v left join h on h.doc_id = d.doc_id and h.n = v.n and h.ngram = v.ngram group by d.doc_id), "
+    "w as (select doc_id, ["
+    + ", ".join(
+        f"coalesce(len(regexp_extract_all(lower(text), {_string(k)})), 0)::double" if " " in k else f"coalesce(len(list_filter({_WORDS.format('lower(text)')}, lambda w: w = {_string(k)})), 0)::double" for k in KEY_WORDS
+    )
+    + "] as given from documents), y as (select doc_id, list_concat(own, given) as counts from x join w using (doc_id)) "
+)
+
+
+@query(_VOCABULARY + "select * exclude (rank), rank from v")
 def keyword_vocabulary(spark, sf):
     return features.KeyWords(20, key_words=KEY_WORDS).vocabulary(read_table(spark, sf, "documents")).select("n", "rank", "ngram", "count")
 
 
-@query()
+@query(_KEYWORDS + ", z as (select max(list_max(counts)) as top from y) select doc_id, list_transform(counts, lambda c: round(coalesce(c / nullif(top, 0), 0), 6)) as features from y, z")
 def keyword_features(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     return features.KeyWords(20, "count", KEY_WORDS).fit_transform(docs).select("doc_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
 
 
-@query()
+@query(_KEYWORDS + "select doc_id, list_transform(counts, lambda c: case when c > 0 then 1.0 else 0.0 end::double) as features from y")
 def keyword_features_binary(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     return features.KeyWords(20, "binary", KEY_WORDS).fit_transform(docs).select("doc_id", "features")
@@ -206,7 +227,7 @@ def pos_features(spark, sf):
 @query()
 def lda_features(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    return features.LdaTopics(10).fit_transform(docs).select("doc_id", "features")
+    return features.LdaTopics().fit_transform(docs).select("doc_id", "features")
 
 
 @query()
@@ -340,14 +361,18 @@ def merge_clusters(spark, sf):
     return clustering.merge_clusters(_embeddings(spark, sf), 0.6).select("id", "label")
 
 
-@query()
+@query(
+    _SILHOUETTE + ", k as (select id, own, case when n > 1 then coalesce((b - s / (n - 1)) / nullif(greatest(b, s / (n - 1)), 0), 0) else 0 end as v, m + (q - m * m) - s / n as dev from p join c using (own)), "
+    "g as (select own from k group by own having avg(v) < 0), l as (select id, case when own in (select own from g) or (v <= 0 and dev <= 0) then -1 else own end as old from k), "
+    "f as (select old, row_number() over (order by old) - 1 as label from (select distinct old from l where old <> -1)) select id, coalesce(label, -1)::int as label from l left join f using (old)"
+)
 def clean_clusters(spark, sf):
     return clustering.clean(_embeddings(spark, sf), 0.0).select("id", "label")
 
 
 @query()
 def iterated_density(spark, sf):
-    model = clustering.IDensity(initial_max_distance=EPS, initial_minimum_samples=4, delta_distance=0.01, max_iteration=2)
+    model = clustering.IDensity(initial_max_distance=EPS, initial_minimum_samples=4, delta_distance=0.01, max_iteration=5)
     return model.fit_predict(read_table(spark, sf, "embeddings"), "vec_id")
 
 
@@ -387,14 +412,14 @@ def class_weights(spark, sf):
     return propagation.class_weights(read_table(spark, sf, "embeddings"), 10)
 
 
-_SCORES = "s as (select vec_id as id, (embedding::double[])[1:10] as z from embeddings), m as (select id, list_transform(z, lambda x: (x - (list_min(z) - 1e-10)) / (list_max(z) - (list_min(z) - 1e-10))) as u from s), p as (select id, list_transform(u, lambda x: x / list_sum(u)) as p from m)"
+_SCORES = "s as (select vec_id as id, embedding::double[] as z from embeddings), m as (select id, list_transform(z, lambda x: (x - (list_min(z) - 1e-10)) / (list_max(z) - (list_min(z) - 1e-10))) as u from s), p as (select id, list_transform(u, lambda x: x / list_sum(u)) as p from m)"
 
 
-@query(f"with {_SCORES}, w as (select id, list_position(p, list_max(p)) - 1 as label, 1 + list_sum(list_transform(p, lambda x: case when x > 0 then x * ln(x) else 0 end)) / ln(10) as w from p) select id, label::int as label, round(w / max(w) over (), 6) as weight from w")
+@query(f"with {_SCORES}, w as (select id, list_position(p, list_max(p)) - 1 as label, 1 + list_sum(list_transform(p, lambda x: case when x > 0 then x * ln(x) else 0 end)) / ln(64) as w from p) select id, label::int as label, round(w / max(w) over (), 6) as weight from w")
 def pseudo_labels(spark, sf):
-    scores = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.slice(V.doubles(F.col("embedding")), 1, 10).alias("z"))
+    scores = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), V.doubles(F.col("embedding")).alias("z"))
     gold = spark.createDataFrame([], "id bigint, label int")
-    return propagation.pseudo_labels(scores, gold, 10).select("id", "label", F.round("weight", 6).alias("weight"))
+    return propagation.pseudo_labels(scores, gold, 64).select("id", "label", F.round("weight", 6).alias("weight"))
 
 
 _RANKED = "l as (select vec_id as id, label, abs(embedding[1]::double) as weight from embeddings)"
@@ -464,7 +489,7 @@ def bm25_top(spark, sf):
 
 @query()
 def split_documents(spark, sf):
-    return retrieval.split_80_10_10(_documents(spark, sf), F.col("doc_id")).groupBy("split").agg(F.count("*").alias("n"))
+    return retrieval.split_80_10_10(read_table(spark, sf, "documents").select("doc_id"), F.col("doc_id"))
 
 
 @query("with c as (select quality as label, count(*) as n from labels group by quality) select label, n / sum(n) over () as share from c")
@@ -479,11 +504,11 @@ def training_rows(spark, sf):
 
 
 @query(
-    "with s as (select vec_id, label, (embedding::double[])[1:10] as z from embeddings), l as (select *, list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) as lz from s) "
-    "select vec_id, round(-(list_sum(list_transform(z, lambda x: x - lz)) * (0.1 / 9) + (z[label + 1] - lz) * (0.9 - 0.1 / 9)), 6) as loss from l"
+    "with s as (select vec_id, label, embedding::double[] as z from embeddings), l as (select *, list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) as lz from s) "
+    "select vec_id, round(-(list_sum(list_transform(z, lambda x: x - lz)) * (0.1 / 63) + (z[label + 1] - lz) * (0.9 - 0.1 / 63)), 6) as loss from l"
 )
 def smoothed_loss(spark, sf):
-    rows = read_table(spark, sf, "embeddings").select("vec_id", "label", F.slice(V.doubles(F.col("embedding")), 1, 10).alias("z"))
+    rows = read_table(spark, sf, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("z"))
     return rows.select("vec_id", F.round(V.smoothed_cross_entropy(F.col("z"), F.col("label"), 0.1), 6).alias("loss"))
 
 
@@ -495,14 +520,14 @@ def average_meter(spark, sf):
 
 @query()
 def autoencoder(spark, sf):
-    model = learning.Autoencoder([16], n_epochs=3)
+    model = learning.Autoencoder([16])
     return model.fit_transform(read_table(spark, sf, "embeddings").select("vec_id", "embedding")).select("vec_id", "reduced")
 
 
 @query()
 def intent_classifier(spark, sf):
     rows = read_table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
-    return learning.IntentClassifier(10, n_epochs=2).fit(rows).predict(rows).select("vec_id", "label", "predicted")
+    return learning.IntentClassifier(10).fit(rows).predict(rows).select("vec_id", "label", "predicted")
 
 
 ORACLES["streamed_documents"] = ORACLES["clean_documents"]
