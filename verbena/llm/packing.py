@@ -27,6 +27,8 @@ from .common import running_total, word_count
 
 CAPACITY = 2048
 BUCKETS = 64
+#: Repeated rows that one task numbers at a time.
+COPIES = 65_536
 
 
 def sweep(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -80,13 +82,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
     """Rows (seq_id, seq_offset, doc_id, copy, doc_tokens, piece, start, n_tokens), one a piece."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("doc_tokens"))
-    units = (
-        rows.groupBy("doc_id", "doc_tokens")
-        .agg(F.count("*").alias("n"))
-        .select("doc_id", "doc_tokens", F.explode(F.expr("sequence(0L, n - 1)")).alias("copy"))
-        .withColumns({"full": F.expr(f"doc_tokens div {capacity}"), "rest": F.col("doc_tokens") % capacity, "one": F.lit(1), "bucket": F.pmod(F.coalesce(F.hash("doc_id"), F.lit(0)), F.lit(BUCKETS))})
+    # rows of one doc_id and length are counted, and numbered again; a great many of them are dealt out in runs of COPIES
+    counted = cut(rows.groupBy("doc_id", "doc_tokens").agg(F.count("*").alias("n")))
+    runs_ = counted.where("n > 1").select("doc_id", "doc_tokens", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})")).alias("run")).repartition("doc_id", "doc_tokens", "run")
+    again = runs_.select("doc_id", "doc_tokens", F.explode(F.expr(f"sequence(run * {COPIES}, least(n, (run + 1) * {COPIES}) - 1)")).alias("copy"))
+    units = counted.where("n = 1").select("doc_id", "doc_tokens", F.lit(0).cast("bigint").alias("copy")).unionByName(again)
+    units = cut(
+        units.withColumns(
+            {"full": F.expr(f"doc_tokens div {capacity}"), "rest": F.col("doc_tokens") % capacity, "one": F.lit(1), "bucket": F.pmod(F.coalesce(F.hash("doc_id", "copy"), F.lit(0)), F.lit(BUCKETS))}
+        )
     )
-    units = cut(units)
     classes = units.groupBy("rest").agg(F.count("*").alias("n"), F.sum("full").alias("full")).orderBy("rest").collect()
     runs, opened = sweep({r["rest"]: r["n"] for r in classes if r["rest"]}, capacity)
     bases, at = [], opened

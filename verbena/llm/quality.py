@@ -183,13 +183,13 @@ def abuse_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col
 
 
 def has_terms(text: Column, terms: list[tuple[int, str]]) -> Column:
-    """Whether a text has one of the learned terms."""
+    """Whether a text has one of the learned terms: each distinct word is looked up once in the words, and its starts in those of their length."""
+    own = {k: [t for n, t in terms if n == k] for k in (0, *STARTS)}
 
-    def held(words: Column) -> Column:
-        found = [F.arrays_overlap(f, F.array(*[F.lit(t) for t in own])) for k, f in _features(words).items() if (own := [t for n, t in terms if n == k])]
-        return reduce(lambda a, b: a | b, found, F.lit(False))
+    def known(w: Column) -> Column:
+        return reduce(lambda a, b: a | b, [(F.substring(w, 1, k) if k else w).isin(*found) for k, found in own.items() if found], F.lit(False))
 
-    return let(_words(text), held)
+    return F.exists(_words(text), known)
 
 
 def learned_ledger(docs: DataFrame, terms: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
