@@ -380,11 +380,15 @@ def test_wrapper_of_a_host(spark):
     assert out[2]["slots"] == [0, 1] and out[4]["texts"] == ["four", "g", "(c) same"]
 
 
-def test_wrappers_match_their_pages(spark):
-    """Every page's stream is in the language of its host's wrapper, read as a regular expression; and no text is lost."""
+@pytest.mark.parametrize("structures", [wrappers.STRUCTURES, 2, 1])
+def test_wrappers_match_their_pages(spark, structures):
+    """Every page's stream is in the language of its host's wrapper, read as a regular expression; and no text is lost.
+
+    Also where a host's structures are dealt to several tasks.
+    """
     pages = read(spark, TINY.replace("0.001", "0.01"), "pages")
-    found = {r["host"]: r["wrapper"] for r in wrappers.wrappers(pages).collect()}
-    texts = {r["page_id"]: r["texts"] for r in wrappers.extract(pages).collect()}
+    found = {r["host"]: r["wrapper"] for r in wrappers.wrappers(pages, structures=structures).collect()}
+    texts = {r["page_id"]: r["texts"] for r in wrappers.extract(pages, structures=structures).collect()}
     constants, by_host = 0, defaultdict(list)
     for r in pages.collect():
         stream = wrappers.tokens(r["html"])
@@ -450,6 +454,34 @@ def test_shortest_period(s):
         wrappers.SHORT = short
 
 
+def in_language(wrapper, stream):
+    parts = re.findall(r"<[^>]*>|#|\(|\)[+?]", re.sub(r"#PCDATA|TEXT", "#", wrapper))
+    return re.fullmatch("".join("(?:" if p == "(" else p if p[0] == ")" else re.escape(p + ";") for p in parts), "".join(s + ";" for s in stream))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<a>", "<b>", "<c>", "#"]), min_size=1, max_size=8), min_size=1, max_size=6), st.integers(1, 4))
+def test_joined_wrappers(streams, parts):
+    """Whatever is dealt to whichever part, the joined wrapper matches every stream, and each text has one place."""
+    made = {}
+    for stream in streams:
+        symbols = wrappers.Symbols()
+        text, place = wrappers.structure("".join(symbols.char(s) for s in stream), symbols)
+        n = max(place, default=-1) + 1
+        made[text] = (text, 1, list(range(n)), list(range(n)))
+    dealt = [list(made.values())[k::parts] for k in range(parts)]
+    rows_ = []
+    for own in filter(None, dealt):
+        wrapper, known, places = wrappers.partial(own)
+        assert all(len(p) == len(set(p)) == len(s[2]) for p, s in zip(places, own))
+        rows_.append(([x for x, _, _ in wrapper.items], [g for _, g, _ in wrapper.items], [i for _, _, i in wrapper.items], known))
+    wrapper, known, ways = wrappers.joined(rows_)
+    text, slots = wrappers.written(wrapper, known)
+    assert all(in_language(text, stream) for stream in streams)
+    for (_, _, _, known_), way in zip(rows_, ways):
+        assert len(set(way.values())) == len(way) and set(known_) <= set(way) and set(way.values()) <= set(slots)
+
+
 def test_hosts_of_copies(spark):
     """Copies of one page are no template; a text that two different pages share is."""
     one, other = "<h1>t</h1><p>one</p>", "<h1>t</h1><p>two</p>"

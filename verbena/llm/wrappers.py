@@ -10,8 +10,9 @@ constants of the template. Copies of one page (equal structure and texts) count
 slots' texts, in order, are the page's content.
 
 Pages themselves are not shuffled for the inference: a page sends its structure, counted with those
-of its batch, and the least and greatest hash of each text position. A host is one task over its
-*distinct structures*. For the extraction, pages meet their structure's slots in a join on host and structure.
+of its map task, and the least and greatest hash of each text position. Up to ``structures`` distinct
+structures of a host are one task; more are dealt to as many tasks by a hash, whose wrappers are then
+aligned with one another in the same way (what is optional in one is optional in the result). For the extraction, pages meet their structure's slots in a join on host and structure.
 
 Defined cases: a null or empty page, or one without any text, comes out with no slots; a null url,
 or one without a host, has the empty host; a host with one page, or with copies of one page only, has a wrapper of slots only; markup that is
@@ -37,6 +38,9 @@ from .common import POWERS, hash_spans, keep, mix64, prefixes
 
 #: Streams of more items have the periods of their repeats found by hashes and not by expressions; either finds the same.
 SHORT = 2048
+#: Distinct structures of a host in one task; structures that a map task holds before it sends them.
+STRUCTURES = 2000
+HELD = 20_000
 TEXT = "#"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -198,81 +202,125 @@ def regroup(items: list[str], blocks: list[tuple[tuple[str, ...], str]]) -> list
 
 
 class Wrapper:
-    """A host's wrapper: a sequence of items, each with the number of the optional group it is in (None: mandatory)."""
+    """A wrapper: a sequence of items [item, number of the optional group it is in (None: mandatory), id]."""
 
     def __init__(self) -> None:
         self.items: list[list] = []
-        self.groups = 0
+        self.ids = 0
         self.empty = True
 
-    def align(self, items: list[str]) -> list[int]:
-        """Generalise the wrapper so that it matches the items; the ids of the wrapper's items they fall on."""
+    def align(self, items: list[str], groups: list[int | None] | None = None) -> list[int]:
+        """Generalise the wrapper so that it also matches the items (those of an optional group: all or none of them); the ids of the wrapper's items they fall on.
+
+        What only one side has becomes optional. Neighbours stay in one group if they were in the same group, or in none, on both sides.
+        """
+        groups = groups or [None] * len(items)
         if self.empty:
-            self.items, self.empty = [[x, None, i] for i, x in enumerate(items)], False
+            self.items, self.empty = [[x, g, i] for i, (x, g) in enumerate(zip(items, groups))], False
             self.ids = len(items)
             return list(range(len(items)))
-        out, merged, i, j = [], [], 0, 0
-        blocks = SequenceMatcher(None, [x[0] for x in self.items], items, autojunk=False).get_matching_blocks()
-        self._regroup({k for a, _, n in blocks for k in range(a, a + n)})
-        for a, b, n in blocks:
-            merged += self.items[i:a]
-            if j < b:
-                self.groups += 1
-                for x in items[j:b]:
-                    merged.append([x, self.groups, self.ids])
-                    out.append(self.ids)
-                    self.ids += 1
-            for x in self.items[a : a + n]:
+        out, merged, pairs, i, j = [], [], [], 0, 0
+        for a, b, n in SequenceMatcher(None, [x[0] for x in self.items], items, autojunk=False).get_matching_blocks():
+            for x in self.items[i:a]:
+                merged.append(x)
+                pairs.append((x[1], "absent"))
+            for x, g in zip(items[j:b], groups[j:b]):
+                merged.append([x, None, self.ids])
+                pairs.append(("absent", g))
+                out.append(self.ids)
+                self.ids += 1
+            for x, g in zip(self.items[a : a + n], groups[b : b + n]):
                 merged.append(x)
+                pairs.append((x[1], g))
                 out.append(x[2])
             i, j = a + n, b + n
+        group = 0
+        for k, (x, pair) in enumerate(zip(merged, pairs)):
+            group += k > 0 and pair != pairs[k - 1]
+            x[1] = None if pair == (None, None) else group
         self.items = merged
         return out
 
-    def _regroup(self, matched: set[int]) -> None:
-        """Items without a match become optional, run by run; an optional group that only partly matched is split."""
-        mixed = {None} | ({x[1] for k, x in enumerate(self.items) if k in matched} & {x[1] for k, x in enumerate(self.items) if k not in matched})
-        before = None
-        for k, x in enumerate(self.items):
-            if x[1] not in mixed or (x[1] is None and k in matched):
-                before = None
-                continue
-            now = (x[1], k in matched)
-            if now != before:
-                self.groups += 1
-            x[1], before = self.groups, now
+
+def _groups(name: str) -> list[str]:
+    """The groups within an item, itself included."""
+    out, stack = [], []
+    for i, c in enumerate(name):
+        if c == "(":
+            stack.append(i)
+        elif c == ")" and stack:
+            out.append(name[stack.pop() : i + 2])
+    return out
 
 
-def infer(structures: list[tuple[str, int, list[int], list[int]]]) -> tuple[str, list[list[int]]]:
-    """The wrapper of (structure, different pages, least hashes, greatest hashes) rows of one host, and each structure's slots by text position (-1: constant)."""
+def partial(structures: list[tuple[str, int, list[int], list[int]]]) -> tuple[Wrapper, dict, list[list[tuple[int, int]]]]:
+    """The wrapper of some of a host's (structure, different pages, least hashes, greatest hashes) rows, what is known of its text positions, and the positions of each structure's texts.
+
+    A text position is (id of an item, number within it); it is known by [different pages, least hash, greatest hash].
+    """
     split = [items_of(s[0]) for s in structures]
-    names = {name for items in split for x in items for name in _groups(x)}
-    blocks = sorted(((tuple(items_of(name[1:-2])), name) for name in names), key=lambda x: (-len(x[0]), x[1]))
-    wrapper = Wrapper()
-    places = []
-    for items in split:
+    blocks = _blocks(split)
+    wrapper, known, places = Wrapper(), {}, []
+    for items, (_, pages, lows, highs) in zip(split, structures):
         read = regroup(items, blocks)
         ids = wrapper.align([x for x, _ in read])
-        places.append([(i, k) for i, (_, n) in zip(ids, read) for k in range(n)])
-    low: dict[tuple[int, int], int] = {}
-    high: dict[tuple[int, int], int] = {}
-    many: dict[tuple[int, int], int] = {}
-    for (_, pages, lows, highs), own in zip(structures, places):
-        for p, a, b in zip(own, lows, highs):
-            low[p], high[p] = min(a, low.get(p, a)), max(b, high.get(p, b))
-            many[p] = many.get(p, 0) + pages
-    slots, parts, group = {}, [], None
+        own = [(i, k) for i, (_, n) in zip(ids, read) for k in range(n)]
+        for p, low, high in zip(own, lows, highs):
+            _know(known, p, [pages, low, high])
+        places.append(own)
+    return wrapper, known, places
+
+
+def _blocks(sequences: list[list[str]]) -> list[tuple[tuple[str, ...], str]]:
+    """(block, group) of all groups in sequences of items, longer blocks first."""
+    names = {name for items in sequences for x in items for name in _groups(x)}
+    return sorted(((tuple(items_of(name[1:-2])), name) for name in names), key=lambda x: (-len(x[0]), x[1]))
+
+
+def _know(known: dict, p, new: list[int]) -> None:
+    old = known.get(p)
+    known[p] = new if old is None else [old[0] + new[0], min(old[1], new[1]), max(old[2], new[2])]
+
+
+def joined(parts: list[tuple[list[str], list[int | None], list[int], dict]]) -> tuple[Wrapper, dict, list[dict]]:
+    """One wrapper of partial ones (items, groups, ids, known), what is known of it, and where the text positions of each part went."""
+    wrapper, known, maps = Wrapper(), {}, []
+    blocks = _blocks([items for items, *_ in parts])
+    for items, groups, ids, own in parts:
+        at, new_items, new_groups, moved = 0, [], [], []
+        for name, _ in regroup(items, blocks):
+            size = 1 if items[at] == name else len(items_of(name[1:-2]))
+            held = groups[at : at + size]
+            # a block of which a page may have a part isn't read as the group
+            whole = [(name, slice(at, at + size))] if all(g == held[0] for g in held) else [(items[k], slice(k, k + 1)) for k in range(at, at + size)]
+            for x, span in whole:
+                new_items.append(x)
+                new_groups.append(groups[span][0])
+                moved.append([(i, k) for y, i in zip(items[span], ids[span]) for k in range(y.count(TEXT))])
+            at += size
+        way = {old: (i, k) for i, olds in zip(wrapper.align(new_items, new_groups), moved) for k, old in enumerate(olds)}
+        for p, new in own.items():
+            _know(known, way[p], new)
+        maps.append(way)
+    return wrapper, known, maps
+
+
+def written(wrapper: Wrapper, known: dict) -> tuple[str, dict[tuple[int, int], int]]:
+    """The expression of a wrapper, and the slot of each text position (-1: constant)."""
+    slots: dict[tuple[int, int], int] = {}
+    parts, group, number = [], None, 0
     for x, g, i in wrapper.items:
         k = -1
 
         def named(_m: re.Match) -> str:
-            nonlocal k
+            nonlocal k, number
             k += 1
-            p = (i, k)
-            if many.get(p, 0) > 1 and low[p] == high[p]:
-                slots[p] = -1
+            pages, low, high = known.get((i, k), (0, 0, 0))
+            if pages > 1 and low == high:
+                slots[i, k] = -1
                 return "TEXT"
-            slots[p] = sum(v >= 0 for v in slots.values()) if p not in slots else slots[p]
+            slots[i, k] = number
+            number += 1
             return "#PCDATA"
 
         if g != group and group is not None:
@@ -283,18 +331,14 @@ def infer(structures: list[tuple[str, int, list[int], list[int]]]) -> tuple[str,
         parts.append(re.sub(r"(?<![^ (])#(?![^ )])", named, x))
     if group is not None:
         parts.append(")?")
-    return _joined(parts).replace(" )?", ")?"), [[slots.get(p, -1) for p in own] for own in places]
+    return _joined(parts).replace(" )?", ")?"), slots
 
 
-def _groups(name: str) -> list[str]:
-    """The groups within an item, itself included."""
-    out, stack = [], []
-    for i, c in enumerate(name):
-        if c == "(":
-            stack.append(i)
-        elif c == ")" and stack:
-            out.append(name[stack.pop() : i + 2])
-    return out
+def infer(structures: list[tuple[str, int, list[int], list[int]]]) -> tuple[str, list[list[int]]]:
+    """The wrapper of (structure, different pages, least hashes, greatest hashes) rows of one host, and each structure's slots by text position (-1: constant)."""
+    wrapper, known, places = partial(structures)
+    text, slots = written(wrapper, known)
+    return text, [[slots.get(p, -1) for p in own] for own in places]
 
 
 def _parsed(pages: list[str | None]) -> Iterator[tuple[str, list[int], list[str]]]:
@@ -320,9 +364,9 @@ def _page_hash(hashes: np.ndarray) -> int:
 
 
 def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, structure, pages, least, greatest, low, high), one for each host and structure of a batch: of the pages' hashes, and of the texts' by position."""
+    """Rows (host, structure, pages, least, greatest, low, high), one for each host and structure of a map task: of the pages' hashes, and of the texts' by position."""
+    found: dict[tuple[str, str], list] = {}
     for b in batches:
-        found: dict[tuple[str, str], list] = {}
         for host, (text, place, texts) in zip(b.column(1).to_pylist(), _parsed(b.column(2).to_pylist())):
             if not place:
                 continue
@@ -332,10 +376,18 @@ def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.maximum.at(high, at, h)
             page = _page_hash(h)
             _merge(found, (host, text), [1, page, page, low, high])
-        keys = list(found)
-        cols = [[k[0] for k in keys], [k[1] for k in keys], *[[found[k][i] for k in keys] for i in range(3)], *[[found[k][i].tolist() for k in keys] for i in (3, 4)]]
-        types = (pa.string(), pa.string(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 2)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], names=["host", "structure", "pages", "least", "greatest", "low", "high"])
+        if len(found) > HELD:
+            yield _found_rows(found)
+            found = {}
+    if found:
+        yield _found_rows(found)
+
+
+def _found_rows(found: dict) -> pa.RecordBatch:
+    keys = list(found)
+    cols = [[k[0] for k in keys], [k[1] for k in keys], *[[found[k][i] for k in keys] for i in range(3)], *[[found[k][i].tolist() for k in keys] for i in (3, 4)]]
+    types = (pa.string(), pa.string(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 2)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], names=["host", "structure", "pages", "least", "greatest", "low", "high"])
 
 
 def _merge(found: dict, key, new: list) -> None:
@@ -343,18 +395,43 @@ def _merge(found: dict, key, new: list) -> None:
     found[key] = new if old is None else [old[0] + new[0], min(old[1], new[1]), max(old[2], new[2]), np.minimum(old[3], new[3]), np.maximum(old[4], new[4])]
 
 
-def _infer_host(t: pa.Table) -> pa.Table:
-    """All structures of a host -> rows (host, key, wrapper, slots)."""
+_PART = "host string, bucket bigint, key bigint, positions array<int>, items array<string>, groups array<int>, ids array<int>, pages array<bigint>, low array<bigint>, high array<bigint>"
+_PART_SCHEMA = pa.schema(
+    [("host", pa.string()), ("bucket", pa.int64()), ("key", pa.int64()), ("positions", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]
+    + [(c, pa.list_(pa.int32())) for c in ("groups", "ids")] + [(c, pa.list_(pa.int64())) for c in ("pages", "low", "high")]
+)
+
+
+def _partial_wrapper(t: pa.Table) -> pa.Table:
+    """The structures of a bucket of a host -> a row for each (key, positions), numbers into the bucket's text positions, and one for its wrapper."""
     merged: dict[str, list] = {}
     for text, pages, least, greatest, low, high in zip(*(t.column(c).to_pylist() for c in ("structure", "pages", "least", "greatest", "low", "high"))):
         _merge(merged, text, [pages, least, greatest, np.array(low), np.array(high)])
     order = sorted(merged, key=lambda s: (-merged[s][0], s))
     # more than one different page is all that counts
-    wrapper, slots = infer([(s, 1 + (merged[s][1] != merged[s][2]), *[x.tolist() for x in merged[s][3:]]) for s in order])
+    wrapper, known, places = partial([(s, 1 + (merged[s][1] != merged[s][2]), *[x.tolist() for x in merged[s][3:]]) for s in order])
+    number = {p: n for n, p in enumerate((i, k) for x, _, i in wrapper.items for k in range(x.count(TEXT)))}
+    host, bucket = t.column("host")[0].as_py(), t.column("bucket")[0].as_py()
+    rows = [(host, bucket, key, [number[p] for p in own], *[None] * 6) for key, own in zip(_text_hashes(order).tolist(), places)]
+    facts = [known[p] for p in number]
+    rows.append((host, bucket, None, None, [x for x, _, _ in wrapper.items], [g for _, g, _ in wrapper.items], [i for _, _, i in wrapper.items], *[[f[j] for f in facts] for j in range(3)]))
+    return pa.table([list(c) for c in zip(*rows)], schema=_PART_SCHEMA)
+
+
+def _join_wrappers(t: pa.Table) -> pa.Table:
+    """The partial wrappers of a host -> rows (host, bucket, wrapper, slots by the bucket's text positions)."""
+    rows = sorted(zip(*(t.column(c).to_pylist() for c in ("bucket", "items", "groups", "ids", "pages", "low", "high"))), key=lambda r: r[0])
+    parts, numbers = [], []
+    for _, items, groups, ids, pages, low, high in rows:
+        places = [(i, k) for x, i in zip(items, ids) for k in range(x.count(TEXT))]
+        numbers.append(places)
+        parts.append((items, groups, ids, {p: list(f) for p, f in zip(places, zip(pages, low, high))}))
+    wrapper, known, ways = joined(parts)
+    text, slots = written(wrapper, known)
+    by_position = [[slots[way[p]] for p in places] for way, places in zip(ways, numbers)]
+    schema = pa.schema([("host", pa.string()), ("bucket", pa.int64()), ("wrapper", pa.string()), ("slots", pa.list_(pa.int32()))])
     host = t.column("host")[0].as_py()
-    keys = _text_hashes(order)
-    schema = pa.schema([("host", pa.string()), ("key", pa.int64()), ("wrapper", pa.string()), ("slots", pa.list_(pa.int32()))])
-    return pa.table([[host] * len(order), keys, [wrapper] * len(order), slots], schema=schema)
+    return pa.table([[host] * len(rows), [r[0] for r in rows], [text] * len(rows), by_position], schema=schema)
 
 
 def _page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,20 +448,28 @@ def _base(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
     return pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
 
 
-def _wrapper_rows(base: DataFrame) -> DataFrame:
-    rows = base.mapInArrow(_structures, "host string, structure string, pages bigint, least bigint, greatest bigint, low array<bigint>, high array<bigint>")
-    return rows.groupBy("host").applyInArrow(_infer_host, "host string, key bigint, wrapper string, slots array<int>")
+def _wrapper_rows(base: DataFrame, structures: int = STRUCTURES) -> tuple[DataFrame, DataFrame]:
+    """Rows (host, bucket, key, positions) of structures, and (host, bucket, wrapper, slots)."""
+    rows = keep(base.mapInArrow(_structures, "host string, structure string, pages bigint, least bigint, greatest bigint, low array<bigint>, high array<bigint>"))
+    # a host of very many structures is dealt to tasks, a structure always to the same
+    size = rows.groupBy("host").agg(F.approx_count_distinct("structure", 0.02).alias("n")).where(F.col("n") > structures).select(F.col("host").alias("h"), F.expr(f"n div {structures} + 1").alias("buckets"))
+    dealt = rows.join(size, F.col("host") == F.col("h"), "left").withColumn("bucket", F.coalesce(F.pmod(F.xxhash64("structure"), F.col("buckets")), F.lit(0)).cast("bigint")).drop("h", "buckets")
+    parts = keep(dealt.groupBy("host", "bucket").applyInArrow(_partial_wrapper, _PART))
+    whole = parts.where("items is not null").select("host", "bucket", "items", "groups", "ids", "pages", "low", "high")
+    return parts.where("items is null").select("host", "bucket", "key", "positions"), whole.groupBy("host").applyInArrow(_join_wrappers, "host string, bucket bigint, wrapper string, slots array<int>")
 
 
-def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", structures: int = STRUCTURES) -> DataFrame:
     """Rows (host, wrapper), one a host that has any text."""
-    return _wrapper_rows(_base(pages, id_col, url_col, html_col)).select("host", "wrapper").distinct()
+    return _wrapper_rows(_base(pages, id_col, url_col, html_col), structures)[1].select("host", "wrapper").distinct()
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", structures: int = STRUCTURES) -> DataFrame:
     """Rows (page_id, host, slots, texts), one a page: the slot number and text of its variable texts, in page order."""
     base = _base(pages, id_col, url_col, html_col)
-    plans = keep(_wrapper_rows(base).select(F.col("host").alias("h"), F.col("key").alias("k"), F.col("slots").alias("by_position")))
+    places, slots = _wrapper_rows(base, structures)
+    named = places.join(slots.select(F.col("host").alias("sh"), F.col("bucket").alias("sb"), "slots"), (F.col("host") == F.col("sh")) & (F.col("bucket") == F.col("sb")))
+    plans = keep(named.select(F.col("host").alias("h"), F.col("key").alias("k"), F.transform("positions", lambda p: F.get("slots", p)).alias("by_position")))
     kind = base.schema["page_id"].dataType.simpleString()
     texts = base.mapInArrow(_page_texts, f"page_id {kind}, host string, key bigint, positions array<int>, texts array<string>")
     met = texts.join(plans, (F.col("host") == F.col("h")) & (F.col("key") == F.col("k")), "left")
