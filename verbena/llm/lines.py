@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import let
-from .common import fresh
+from .common import fresh, keep
 
 MIN_DOCS = 10
 
@@ -53,7 +53,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "
     lines = base.select("id", F.xxhash64("text").alias("v"), *content, F.posexplode(F.split("text", "\n")).alias("at", "line")).where(~F.col("line").rlike(r"^[ \t\r]*$"))
     # one row a document and line, with the places of the line in its texts
     keyed = lines.select("id", "v", *same, "at", _hash(F.col("line")).alias("k"))
-    hashed = keyed.groupBy("id", *same, "k.h", "k.g").agg(F.collect_list(F.struct("v", "at")).alias("places"))
+    hashed = keep(keyed.groupBy("id", *same, "k.h", "k.g").agg(F.collect_list(F.struct("v", "at")).alias("places")))  # read twice
     counted = hashed
     if groups is not None:
         of = groups.where("doc_id <> group_id").select(F.col("doc_id").alias("i"), F.col("group_id").alias("r"))
