@@ -111,7 +111,7 @@ _SOLID_BYTES = np.ones(256, bool)
 _SOLID_BYTES[[9, 10, 13, 32]] = False
 
 
-def chunks(texts: list, limit: int = 1 << 22):
+def chunks(texts: list, limit: int = 1 << 20):
     """Runs (start, stop) of texts of about ``limit`` characters together; a longer text is a run of its own."""
     start = size = 0
     for i, t in enumerate(texts):
