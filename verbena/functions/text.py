@@ -38,23 +38,6 @@ def ngrams(tokens: Column, n: int) -> Column:
     return let(tokens, of)
 
 
-def ngrams_upto(tokens: Column, most: int) -> Column:
-    """All n-grams of 1 to ``most`` words, each joined by a space, as structs (n, ngram): the tokens are made once."""
-
-    def of(ws: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(ws))
-        every = [F.transform(ws, lambda w: F.struct(F.lit(1).alias("n"), w.alias("ngram")))]
-
-        def grams(n: int) -> Column:
-            starts = F.slice(at, F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(0)))
-            return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(ws, i, n), " ").alias("ngram")))
-
-        every += [grams(n) for n in range(2, most + 1)]
-        return F.when(F.size(ws) > 0, F.concat(*every))
-
-    return let(tokens, of)
-
-
 def strip_html(text: Column) -> Column:
     return F.regexp_replace(text, r"(?d)<.*?>", "")
 
