@@ -37,6 +37,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10
 SPACE = "▁"
 MEMO_UNITS = 1_000_000
+MAX_PIECES = 1_000_000
 
 
 @dataclass
@@ -105,7 +106,7 @@ class Unigram:
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """Pieces of each text."""
         out = np.zeros(len(texts), np.int64)
-        for lo, hi in chunks(texts):
+        for lo, hi in chunks(texts, 1 << 22):
             data = [(" " + t.replace(SPACE, " ")).encode("utf-8", "replace") if t else b"" for t in texts[lo:hi]]
             sizes = np.fromiter(map(len, data), np.int64, len(data))
             buf = np.frombuffer(b"".join(data), np.uint8)
@@ -138,8 +139,11 @@ def read_vocabulary(path: str = VOCABULARY) -> Unigram:
 
 
 def token_counts(docs: DataFrame, vocabulary: Unigram | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_tokens), one for each row; nothing is shuffled. The vocabulary is sent once to each executor."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary or read_vocabulary())
+    """Rows (doc_id, n_tokens), one for each row; nothing is shuffled. The vocabulary, of MAX_PIECES pieces at most, is sent once to each executor."""
+    vocabulary = vocabulary or read_vocabulary()
+    if len(vocabulary.pieces) > MAX_PIECES:
+        raise ValueError(f"a vocabulary of more than {MAX_PIECES} pieces")
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
