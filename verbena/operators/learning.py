@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -431,7 +432,8 @@ class Trainer:
             seed = self.seed + number
 
             def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                rng, total, n = np.random.default_rng(seed), 0.0, 0
+                # each copy draws its own masks and orders, the same again if its task runs again
+                rng, total, n = np.random.default_rng([seed, TaskContext.get().partitionId()]), 0.0, 0
                 for pdf in batches:
                     x, y, w = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(), pdf["w"].to_numpy()
                     order = rng.permutation(len(x)) if learn else np.arange(len(x))
