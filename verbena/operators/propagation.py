@@ -7,12 +7,13 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NotFitted
 from ..functions.vectors import argmax, confidence, entropy, euclidean
 from ..plans.materialise import cut
+from ..plans.ranking import bucket_rank
 from .adapters import Encoder, encode
 from .vectors import centroids, normalised, top_k
 
@@ -169,13 +170,19 @@ def select_top(labels: DataFrame, index: int, near: int = NEAR) -> DataFrame:
 
 
 def select_stratified(labels: DataFrame, gold: DataFrame, index: int) -> DataFrame:
-    """Per class, the quota int((index - gold) * the class's share among the others) plus its gold rows, by weight."""
+    """Per class, the quota int((index - gold) * the class's share among the others) plus its gold rows, by weight.
+
+    A class is ranked by stretches of the weight, so that a large one is not one task.
+    """
     marked = labels.join(gold.where("label <> -1").select(F.col("id").alias("gid")), F.col("id") == F.col("gid"), "left")
     n = marked.groupBy("label").agg(F.count("gid").alias("g"), F.sum(F.when(F.col("gid").isNull(), 1).otherwise(0)).alias("u"))
     sums = n.agg(F.sum("g").alias("all_g"), F.sum("u").alias("all_u"))  # one row
     quota = n.crossJoin(F.broadcast(sums)).select(F.col("label").alias("c"), (F.col("g") + F.floor(F.try_divide((F.lit(index) - F.col("all_g")) * F.col("u"), F.col("all_u")))).alias("quota"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("weight"), "id"))
-    out = labels.withColumn("rank", rank).join(quota, F.col("label") == F.col("c"), "left")
+    ends = labels.agg(F.min("weight").alias("low"), F.max("weight").alias("high")).first()
+    width = ((ends["high"] or 0.0) - (ends["low"] or 0.0)) / CUTS or 1.0
+    stretch = F.least(F.floor((F.col("weight") - (ends["low"] or 0.0)) / width), F.lit(CUTS - 1))
+    ranked = bucket_rank(labels, ["label"], stretch, [F.desc("weight"), F.col("id")], "rank", descending=True)
+    out = ranked.join(quota, F.col("label") == F.col("c"), "left")
     return out.select("id", F.when(F.col("rank") <= F.coalesce("quota", F.lit(0)), F.col("label")).otherwise(F.lit(-1)).alias("label"), "weight")
 
 
