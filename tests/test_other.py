@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,65 @@ def test_networks(spark, tmp_path):
         L.Autoencoder([2]).transform(df)
 
 
+@pytest.mark.parametrize("shared", [False, True])
+def test_joint_network(spark, shared):
+    """Gradients against differences, and a small task that both heads learn."""
+    rng = np.random.default_rng(2)
+    net = L.JointNetwork(3, 2, 3, hidden=4, dropout=0.0, shared=shared)
+    rows = pd.DataFrame({"x": [rng.normal(size=(n, 3)).tolist() for n in (2, 3)], "y": [0, 1], "w": [1.0, 2.0], "tags": [[0, 2], [1, -100, 0]]})
+    value = lambda: net.losses(rows, "joint", False, rng)[0].mean()
+    net.backward(net.losses(rows, "joint", False, rng)[1])
+    for layer in net.layers:
+        for k, g in {k: np.array(v) for k, v in layer.g.items()}.items():
+            at = tuple(0 for _ in g.shape)
+            old = layer.p[k].copy()
+            layer.p[k][at] += 1e-5
+            up = value()
+            layer.p[k][at] -= 2e-5
+            down = value()
+            layer.p[k] = old
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-4, (type(layer).__name__, k)
+    texts = [(i, [[float(t == 1), float(t == 2), float(i % 2)] for t in own], i % 2, own) for i in range(60) for own in [[(i + j) % 3 for j in range(4)]]]
+    df = spark.createDataFrame(texts, "id bigint, states array<array<double>>, label int, tags array<int>").coalesce(2)
+    model = (L.IntentClassifierNERShared if shared else L.IntentClassifierNER)(2, 3, hidden=16, batch_size=8, lr=0.02, n_epochs=8).fit(df)
+    got = model.predict(df.unionByName(df.limit(1).withColumn("states", F.lit(None).cast("array<array<double>>")))).collect()
+    assert sum(r["predicted"] == r["label"] for r in got[:60]) >= 57 and got[60]["predicted"] is None
+    assert sum(r["predicted_tags"] == r["tags"] for r in got[:60]) >= 54
+    assert len(model.encode(df.withColumn("attention_mask", F.transform("states", lambda _: F.lit(1)))).first()["embedding"]) == 3
+    assert isinstance(L.MODELS.build({"class_name": type(model).__name__, "n_intents": 2, "n_ner": 3}), L.IntentClassifierNER)
+
+
+def test_training_goes_on(spark, tmp_path):
+    """A checkpoint has the optimiser's moments; ``unpack`` names what a trainer reads."""
+    df = spark.createDataFrame([(i, [float(i % 2), 1.0], i % 2) for i in range(20)], "id bigint, embedding array<double>, label int").coalesce(1)
+    trainer = L.Trainer(L.intent_head(2, 2, 4), "softmax", batch_size=8, n_epochs=2, schedule=lambda e: 0.5**e)
+    assert [h["lr"] for h in trainer.fit(df, "embedding", "label")] == [1e-3, 5e-4]
+    trainer.network.losses(pd.DataFrame({"x": [[0.0, 1.0]], "y": [0], "w": [1.0]}), "softmax", False, None)
+    L.save_checkpoint(str(tmp_path / "m"), trainer.network, spark, 1, 0.5, lr=5e-4)
+    other = L.intent_head(2, 2, 4, seed=9)
+    assert L.load_checkpoint(str(tmp_path / "m"), other, spark) == {"epoch": 2, "best": 0.5, "lr": 5e-4}
+    assert other.t == trainer.network.t and all(np.allclose(a, b) for a, b in zip(other.state(), trainer.network.state()))
+    assert L.unpack(df, "autoencoder").columns == ["x", "y"]
+    with pytest.raises(ValueError):
+        L.unpack(df, "other")
+
+
+def test_translator():
+    from verbena.operators import adapters
+
+    loaded = []
+
+    def load(path, device):
+        loaded.append((path, device))
+        return lambda texts: [t.upper() for t in texts]
+
+    assert adapters.device(lambda: True) == "cuda:0" and adapters.device(lambda: False) == "cpu"
+    chain = A.BackTranslation("fr", adapters.ModelTranslator(load, folder="/m"))
+    with pytest.warns(UserWarning):
+        assert chain.augment_texts(["good day", "word"]) == [">>FR<< GOOD DAY", ">>FR<< WORD"]
+    assert [p for p, _ in loaded] == ["/m/opus-mt-en-fr", "/m/opus-mt-fr-en"] and chain.augment_texts([]) == []
+
+
 def test_collate_and_validation(spark):
     def letters(texts, most):
         return [([ord(c) for c in t[:most]], [(i, i + 1) for i in range(len(t[:most]))]) for t in texts]

@@ -319,10 +319,19 @@ class Network:
             x = layer.forward(x, train, rng)
         return x
 
-    def step(self, g, lr: float) -> None:
-        """Backward, and one Adam step."""
+    def losses(self, rows: pd.DataFrame, kind: str, train: bool, rng) -> tuple[np.ndarray, np.ndarray]:
+        """A loss a row (x, y, w), and the gradient of the outputs."""
+        x = np.stack(rows["x"].to_numpy())
+        return LOSSES[kind](self.forward(x, train, rng), x if kind == "mse" else rows["y"].to_numpy(), rows["w"].to_numpy())
+
+    def backward(self, g):
         for layer in reversed(self.layers):
             g = layer.backward(g)
+        return g
+
+    def step(self, g, lr: float) -> None:
+        """Backward, and one Adam step."""
+        self.backward(g)
         self.t += 1
         for i, layer in enumerate(self.layers):
             for k, d in layer.g.items():
@@ -400,6 +409,67 @@ def summed(parts: DataFrame) -> list:
     return parts.collect()
 
 
+LOSSES = {"mse": _mse, "softmax": _softmax_loss, "joint": None}
+
+
+class JointNetwork(Network):
+    """Intent of a text and tags of its tokens, over an encoder's token states.
+
+    The intent head reads the mean of a text's states, the tag head each state; with ``shared`` it also reads the hidden
+    layer of the text's intent. A loss is weighed by exp(-s) and s is added, for both tasks, with trained s.
+    """
+
+    def __init__(self, n_in: int, n_classes: int, n_tags: int, hidden: int = 256, dropout: float = 0.2, shared: bool = False, seed: int = 100) -> None:
+        rng = np.random.default_rng(seed)
+        self.shared, self.hidden = shared, hidden
+        self.trunk = Network([Dropout(dropout), Linear(n_in, hidden, rng), LayerNorm(hidden), ReLU()])
+        self.intent = Network([Dropout(dropout), Linear(hidden, n_classes, rng)])
+        wide = n_in + hidden * shared
+        self.tags = Network([Dropout(dropout), Linear(wide, hidden, rng), LayerNorm(hidden), ReLU(), Dropout(dropout), Linear(hidden, n_tags, rng)])
+        self.tasks = _Scales()
+        super().__init__([*self.trunk.layers, *self.intent.layers, *self.tags.layers, self.tasks])
+
+    def forward(self, states: list[np.ndarray], train=False, rng=None, upto=None):
+        """(intent logits a text, tag logits a token, text of each token)."""
+        self.of = np.repeat(np.arange(len(states)), [len(s) for s in states])
+        flat = np.concatenate(states)
+        self.size = np.maximum(np.bincount(self.of, minlength=len(states)), 1)
+        pooled = np.zeros((len(states), flat.shape[1]))
+        np.add.at(pooled, self.of, flat)
+        self.inner = self.trunk.forward(pooled / self.size[:, None], train, rng)
+        wide = np.concatenate([flat, self.inner[self.of]], axis=1) if self.shared else flat
+        return self.intent.forward(self.inner, train, rng), self.tags.forward(wide, train, rng), self.of
+
+    def losses(self, rows: pd.DataFrame, kind: str, train: bool, rng):
+        states = [np.array([np.asarray(v, float) for v in x]) for x in rows["x"]]
+        y, w, t = rows["y"].to_numpy(), rows["w"].to_numpy(), np.concatenate([np.asarray(v, int) for v in rows["tags"]])
+        intent, tags, of = self.forward(states, train, rng)
+        a, gi = _softmax_loss(intent, y, w)
+        each = cross_entropy(tags, t)
+        b = np.bincount(of, weights=each, minlength=len(states)) / self.size * w
+        p = np.exp(log_softmax(tags))
+        p[np.arange(len(t)), np.where(t < 0, 0, t)] -= 1
+        gt = p * ((t >= 0) * (w / self.size)[of] / len(states))[:, None]
+        scale = np.exp(-self.tasks.p["s"])
+        self.tasks.g = {"s": 1 - scale * np.array([a.mean(), b.mean()])}
+        return scale[0] * a + scale[1] * b + self.tasks.p["s"].sum(), (scale[0] * gi, scale[1] * gt)
+
+    def backward(self, g):
+        gi, gt = g
+        inner = self.intent.backward(gi)
+        wide = self.tags.backward(gt)
+        if self.shared:
+            np.add.at(inner, self.of, wide[:, -self.hidden :])
+        return self.trunk.backward(inner)
+
+
+class _Scales:
+    """The logarithms of the two tasks' variances."""
+
+    def __init__(self) -> None:
+        self.p, self.g = {"s": np.zeros(2)}, {}
+
+
 @dataclass
 class Trainer:
     """Epochs of partition-parallel Adam with averaging (of weights and moments), early stopping and the best weights kept."""
@@ -416,15 +486,17 @@ class Trainer:
     schedule: Callable[[int], float] | None = None
     first_epoch: int = 0
 
-    def fit(self, rows: DataFrame, features: str, label: str | None = None, weight: str | None = None, validation: DataFrame | None = None, metrics: dict | None = None) -> list[dict]:
+    def fit(self, rows: DataFrame, features: str, label: str | None = None, weight: str | None = None, validation: DataFrame | None = None, metrics: dict | None = None, tags: str | None = None) -> list[dict]:
         """The history of the epochs. Without ``validation`` the training rows are checked.
 
         ``metrics`` are named functions of a DataFrame with (y, logits, predicted), each to a number; the first decides the stopping (greater is better).
         """
-        columns = [F.col(features).cast("array<double>").alias("x"), (F.col(label).cast("int") if label else F.lit(0)).alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")]
+        cast = "array<array<double>>" if self.kind == "joint" else "array<double>"
+        columns = [F.col(features).cast(cast).alias("x"), *([F.col(tags).cast("array<int>").alias("tags")] if tags else []), (F.col(label).cast("int") if label else F.lit(0)).alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")]
         data = rows.select(*columns).where("x is not null")
         held = data if validation is None else validation.select(*columns).where("x is not null")
-        loss_of = {"mse": _mse, "softmax": _softmax_loss}[self.kind]
+        if self.kind not in LOSSES:
+            raise ValueError(f"unknown kind: {self.kind}")
         network, batch, kind = self.network, self.batch_size, self.kind
         stopper, best, history = EarlyStopping(self.early_stopping, "max" if metrics else "min"), network.weights(), []
 
@@ -435,13 +507,11 @@ class Trainer:
                 # each copy draws its own masks and orders, the same again if its task runs again
                 rng, total, n = np.random.default_rng([seed, TaskContext.get().partitionId()]), 0.0, 0
                 for pdf in batches:
-                    x, y, w = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(), pdf["w"].to_numpy()
-                    order = rng.permutation(len(x)) if learn else np.arange(len(x))
-                    for at in range(0, len(x), batch):
-                        i = order[at : at + batch]
-                        out = network.forward(x[i], learn, rng)
-                        loss, g = loss_of(out, x[i] if kind == "mse" else y[i], w[i])
-                        total, n = total + float(loss.sum()), n + len(i)
+                    order = rng.permutation(len(pdf)) if learn else np.arange(len(pdf))
+                    for at in range(0, len(pdf), batch):
+                        part = pdf.iloc[order[at : at + batch]]
+                        loss, g = network.losses(part, kind, learn, rng)
+                        total, n = total + float(loss.sum()), n + len(part)
                         if learn:
                             network.step(g, lr)
                 if n:
@@ -581,6 +651,53 @@ def unpack(rows: DataFrame, kind: str, **columns: str) -> DataFrame:
     return rows.select(*parts, *([F.col(named["x"]).alias("y")] if kind == "autoencoder" else []))
 
 
+class IntentClassifierNER:
+    """Intents and entity tags together: two heads over token states (``tags`` is an array of tag ids, -100 where a token doesn't count)."""
+
+    shared = False
+
+    def __init__(self, n_intents: int, n_ner: int, hidden: int = 256, dropout: float = 0.2, **options) -> None:
+        self.sizes, self.options = (n_intents, n_ner, hidden, dropout), options
+        self.network: JointNetwork | None = None
+
+    def fit(self, rows: DataFrame, states: str = "states", label: str = "label", tags: str = "tags", weight: str | None = None) -> IntentClassifierNER:
+        """Texts without a token are left out."""
+        data = training_rows(rows, label, weight).where(F.size(states) > 0)
+        n_in = data.select(F.size(F.col(states)[0])).first()[0]
+        if self.network is None:
+            self.network = JointNetwork(n_in, *self.sizes, shared=self.shared)
+        self.history = Trainer(self.network, "joint", **self.options).fit(data, states, label, "item_weight", tags=tags)
+        return self
+
+    def predict(self, rows: DataFrame, states: str = "states") -> DataFrame:
+        """The input with ``predicted`` and ``predicted_tags``; null and empty where a text has no token."""
+        if self.network is None:
+            raise NotFitted("call fit first")
+        network = self.network
+
+        @F.pandas_udf("predicted int, predicted_tags array<int>")
+        def run(batch: pd.Series) -> pd.DataFrame:
+            known = [i for i, x in enumerate(batch) if x is not None and len(x)]
+            out = [(None, [])] * len(batch)
+            if known:
+                intent, tags, of = network.forward([np.array([np.asarray(v, float) for v in batch.iloc[i]]) for i in known])
+                best = tags.argmax(axis=1)
+                for k, i in enumerate(known):
+                    out[i] = (int(intent[k].argmax()), best[of == k].tolist())
+            return pd.DataFrame({"predicted": pd.array([o[0] for o in out], "Int32"), "predicted_tags": [o[1] for o in out]})
+
+        out = rows.withColumn("__p", run(F.col(states).cast("array<array<double>>")))
+        return out.select(*[F.col(f"`{c}`") for c in rows.columns], "__p.predicted", "__p.predicted_tags")
+
+    encode = IntentClassifier.encode
+
+
+class IntentClassifierNERShared(IntentClassifierNER):
+    """The tag head also reads the hidden layer of the text's intent."""
+
+    shared = True
+
+
 def save_checkpoint(path: str, network: Network, spark, epoch: int = 0, best: float | None = None, only_model: bool = False, lr: float | None = None) -> None:
     """Weights (and, unless ``only_model``, the optimiser's moments, epoch, best metric and learning rate) as one row of Parquet."""
     meta = {} if only_model else {"epoch": epoch, "best": best, **({} if lr is None else {"lr": lr})}
@@ -602,3 +719,5 @@ def load_checkpoint(path: str, network: Network, spark) -> dict:
 
 MODELS.add(Autoencoder)
 MODELS.add(IntentClassifier)
+MODELS.add(IntentClassifierNER)
+MODELS.add(IntentClassifierNERShared)
