@@ -119,3 +119,16 @@ def test_guards(spark):
         C.IDensity().get_topics(spark.createDataFrame([], "id bigint, text string"))
     rows = spark.createDataFrame([(0, -1, "a b")], "id bigint, label int, text string")
     assert C.topics(rows).first()["topic"] == "Unlabelled"
+
+
+def test_topic_options(spark):
+    """Stop words, n-grams and bounds of the document frequency, by hand."""
+    from verbena.operators.tfidf import topic_terms
+
+    rows = [("a", "red hot iron the iron"), ("a", "red hot"), ("b", "red ice the"), ("c", "the cold ice")]
+    df = spark.createDataFrame(rows, "label string, text string")
+    found = lambda **o: {(r["label"], r["term"]): r["tf"] for r in topic_terms(df, "label", "text", **o).collect()}
+    assert found(stop_words=("the",)) == {("a", "red"): 2, ("a", "hot"): 2, ("a", "iron"): 2, ("b", "red"): 1, ("b", "ice"): 1, ("c", "cold"): 1, ("c", "ice"): 1}
+    assert found(stop_words=("the",), ngram_range=(2, 2)) == {("a", "red hot"): 2, ("a", "hot iron"): 1, ("a", "iron iron"): 1, ("b", "red ice"): 1, ("c", "cold ice"): 1}
+    assert found(min_df=2) == {("a", "red"): 2, ("b", "red"): 1, ("b", "ice"): 1, ("c", "ice"): 1, ("a", "the"): 1, ("b", "the"): 1, ("c", "the"): 1}
+    assert ("a", "the") not in found(max_df=0.9) and ("a", "red") in found(max_df=0.9)

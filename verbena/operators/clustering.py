@@ -237,9 +237,9 @@ def clean(points: DataFrame, tolerance: float) -> DataFrame:
     return fill_gaps(reset.select("id", "silhouette", "deviation", label.alias("label")))
 
 
-def topics(labelled: DataFrame, threshold: float = 0.25, label_col: str = "label", text_col: str = "text") -> DataFrame:
-    """The input with a column ``topic``: the terms of its cluster whose TF-IDF weight is above the threshold, in alphabetical order."""
-    names = topic_terms(labelled.where(F.col(label_col) != -1), label_col, text_col).where(F.col("weight") > threshold)
+def topics(labelled: DataFrame, threshold: float = 0.25, label_col: str = "label", text_col: str = "text", **options) -> DataFrame:
+    """The input with a column ``topic``: the terms of its cluster whose TF-IDF weight is above the threshold, in alphabetical order; the options are those of ``topic_terms``."""
+    names = topic_terms(labelled.where(F.col(label_col) != -1), label_col, text_col, **options).where(F.col("weight") > threshold)
     names = names.groupBy(F.col(label_col).alias("__l")).agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("__t"))
     n = labelled.select(label_col).distinct().limit(2).count()
     if n <= 1:
@@ -289,12 +289,12 @@ class _Density:
         self.labels_ = cut(merged.select("id", "label"))
         return self.labels_
 
-    def get_topics(self, texts: DataFrame, threshold: float = 0.25, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    def get_topics(self, texts: DataFrame, threshold: float = 0.25, id_col: str = "id", text_col: str = "text", **options) -> DataFrame:
         if self.labels_ is None:
             from ..errors import NotFitted
 
             raise NotFitted("call fit_predict first")
-        return topics(texts.join(self.labels_.withColumnRenamed("id", id_col), id_col), threshold, "label", text_col)
+        return topics(texts.join(self.labels_.withColumnRenamed("id", id_col), id_col), threshold, "label", text_col, **options)
 
 
 @dataclass
