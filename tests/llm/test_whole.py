@@ -79,6 +79,46 @@ def test_pairs_at_the_limit_meet():
     assert (simhash.band_keys(a) == simhash.band_keys(b)).any(axis=1).mean() >= 0.89
 
 
+@pytest.mark.parametrize("small, group", [(4096, 1 << 19), (100, 1 << 19), (100, 700)])
+def test_no_pair_within_the_limits_is_lost(spark, monkeypatch, small, group):
+    """All pairs at the limits and below, against brute force: by the walk, by blocks of bits, and by blocks over several groups."""
+    monkeypatch.setattr(simhash, "SMALL", small, raising=False)
+    monkeypatch.setattr(simhash, "LEAST", group, raising=False)
+    monkeypatch.setattr(simhash, "GROUP", group, raising=False)
+    rng = np.random.default_rng(12)
+    fp = rng.integers(0, 2**64, (2000, 4), np.uint64)
+    fp[1000:1800] = fp[:800]
+    for k, x in enumerate(fp[1000:1800]):
+        for b in rng.choice(256, (simhash.FAR_DIFF, simhash.FAR_DIFF - 1, simhash.MAX_DIFF, simhash.MAX_DIFF + 1, 3)[k % 5], replace=False):
+            x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    # a large group of copies, and one whose bits are mostly zeros
+    fp[1800:1900] = fp[1800] ^ (np.uint64(1) << rng.integers(0, 64, (100, 4), np.uint64))
+    fp[1900:] = np.uint64(1) << rng.integers(0, 64, (100, 4), np.uint64)
+    fp = np.unique(fp, axis=0)
+    ids = rng.permutation(len(fp)) * 7 - 3000
+    distinct = spark.createDataFrame([(int(i), x.tobytes()) for i, x in zip(ids, fp)], "id bigint, fp binary")
+    d = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2)
+    i, j = np.nonzero(np.triu(d <= simhash.FAR_DIFF, 1))
+    root = np.arange(len(fp))
+    near = d[i, j] <= simhash.MAX_DIFF
+    simhash._join(root, i[near], j[near])
+    far = {tuple(sorted((int(ids[a]), int(ids[b])))) for a, b in zip(i, j) if root[a] != root[b]}
+    got = simhash.near_edges(distinct).collect()
+    at = {int(x): k for k, x in enumerate(ids)}
+    edges = np.array([(at[r["a"]], at[r["b"]]) for r in got if not r["far"]])
+    found = np.arange(len(fp))
+    simhash._join(found, edges[:, 0], edges[:, 1])
+    assert (found == root).all() and len(far) > 250
+    assert {(r["a"], r["b"]) for r in got if r["far"] and root[at[r["a"]]] != root[at[r["b"]]]} == far
+
+
+def test_limits_of_parts():
+    """Bits that differ in each part by more than its share differ in all by more than the limit."""
+    for limit in range(70):
+        words = simhash.shares(limit, 4)
+        assert sum(x + 1 for x in words) == limit + 1 and all(sum(x + 1 for x in simhash.shares(w, 4)) == w + 1 for w in words if w >= 0)
+
+
 def test_far_pairs_need_common_words(spark):
     """Of pairs in the far range, those without enough common words stay apart."""
     docs = documents(spark, [(1, "a b c d e f g h", "s"), (2, "a b c d e f g x", "s"), (3, "a b p q r s t u", "s"), (4, None, "s")])

@@ -1,22 +1,24 @@
-"""SimHash near-dedup with a Gray-order hierarchical index.
+"""SimHash near-dedup with a Gray-order index of blocks of bits.
 
 A fingerprint has 256 bits: the signs of the sums of the hashed distinct words (lower case,
 without punctuation). Two documents are near copies if their fingerprints differ in at most
 ``max_diff`` bits, or in at most ``far_diff`` bits where at least ``OVERLAP`` of their distinct words
-(Jaccard) are common; a few changed words of a short text move many bits. Equal fingerprints are first collapsed. The rest is searched in shards: each
-of a number of fixed draws of bits keys a shard, which every fingerprint joins. Inside
-a shard, fingerprints are sorted by Gray rank; runs of ``FANOUT`` become leaf nodes, runs of nodes
-become upper nodes; a node holds the bit pattern that all below it share and the mask of those
-bits. Pairs of nodes are compared from the top: differences in the bits that both share are
-counted, and the pair is dropped, with all below it, once they exceed ``max_diff``. Matches
-become a spanning forest of the shard, so thousands of mutual copies give thousands of edges and
-not millions; connected components of all forests are the groups, and the least doc_id stays.
-
-The shards are an approximate search (a pair is missed if it shares no key): there are as many draws as let
-a pair at 56 differing bits of 256, the far limit, meet with probability 0.9; one at 50 does with 0.96, one
-at 40 with 0.995. Keys have 10 bits (28 draws), and more, with more draws, for tables of over 2**29 fingerprints, so
-that a shard does not grow with the table.
-Only pairs of the far range that the near ones don't join in their shard have their words compared.
+(Jaccard) are common; a few changed words of a short text move many bits. Equal fingerprints are first collapsed.
+Among the rest, the search finds every pair within the limits. Up to ``SMALL`` fingerprints are sorted by Gray rank; runs of
+``FANOUT`` become leaf nodes, runs of nodes become upper nodes; a node holds the bit pattern that all
+below it share and the mask of those bits. Pairs of nodes are compared from the top: differences in the bits that both share are
+counted, and the pair is dropped, with all below it, once they exceed ``max_diff``.
+
+Random bits share little, so of a larger table that walk would drop little above its leaves. There the leaves are made
+of equal bits: of a pair that differs in at most 56 bits, one of the four 64-bit words differs in at most 14 in the first or 13 in another
+(57 = 15 + 14 + 14 + 14), and in that word one of its four blocks of 16 bits in at most 3 or 2 (15 = 4 + 4 + 4 + 3, 14 = 4 + 4 + 3 + 3).
+For each block, fingerprints are ordered by the block's Gray rank, those of an equal block are nodes, and nodes
+whose blocks differ in so few bits have their words compared, pair by pair. The fingerprints are dealt to groups
+of at most about ``GROUP``; a task has two groups and one word. The work is quadratic, but reaches a ninth of the pairs, with one word each.
+
+Near pairs become a spanning forest of the task, so thousands of mutual copies give thousands of edges and
+not millions, and runs of joined copies aren't compared again; connected components of all forests are the groups, and the least doc_id stays.
+Only pairs of the far range that the near ones don't join in their task have their words compared.
 
 Defined cases: a text without words (null, empty, only punctuation) has no fingerprint; such texts
 are copies of each other if they are equal but for white space around them, a null one counting as
@@ -45,15 +47,18 @@ BITS = 256
 MAX_DIFF = 40
 FAR_DIFF = 56
 OVERLAP = 0.6
-#: Least bits of a shard's key, and how many fingerprints a shard should have at most: beyond, keys get longer.
+#: Drawn bits of a key, and what a pair at the far limit shares one of all draws' keys with. They only bring copies together early.
 KEY_BITS = 10
-MEMBERS = 1 << 19
-#: What a pair at the far limit meets with, whatever the length of the keys.
 RECALL = 0.9
 FANOUT = 32
-#: Shards of up to so many members are compared pair by pair, many shards at once.
-SMALL = 512
+#: Tables of up to so many fingerprints are one walk down the index; larger ones are groups of at least LEAST and about GROUP at most.
+SMALL = 4096
+LEAST = 1 << 18
+GROUP = 1 << 19
+#: Fingerprints that are compared at once with one each.
+STEP = 1 << 14
 _WORDS = BITS // 64
+_BLOCKS = 4
 
 
 def fingerprints(texts: list[str | None]) -> np.ndarray:
@@ -112,29 +117,11 @@ def draws(key_bits: int, far_diff: int = FAR_DIFF) -> np.ndarray:
     return np.stack([np.random.default_rng(100 + b).permutation(BITS)[:key_bits] for b in range(bands)])
 
 
-def key_bits_for(n: int) -> int:
-    """The length of the keys for n fingerprints: a shard has MEMBERS or fewer if they are spread evenly."""
-    return max(KEY_BITS, (max(1, n) // MEMBERS).bit_length())
-
-
-def band_keys(fp: np.ndarray, key_bits: int = KEY_BITS) -> np.ndarray:
-    """The shard keys of fingerprints: a column for each band, the band in the upper bits."""
+def band_keys(fp: np.ndarray, key_bits: int = KEY_BITS, bands: int | None = None) -> np.ndarray:
+    """Keys of drawn bits of fingerprints: a column for each draw, or the first ``bands``, its number in the upper bits."""
     bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
     weight = 1 << np.arange(key_bits, dtype=np.int64)
-    return np.stack([bits[:, d].astype(np.int64) @ weight + (b << key_bits) for b, d in enumerate(draws(key_bits))], axis=1)
-
-
-def _key_batches(key_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            fp = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, _WORDS)
-            keys = band_keys(fp, key_bits)
-            at = pa.array(np.repeat(np.arange(len(fp)), keys.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), b.column(0).take(at), b.column(1).take(at)], names=["key", "id", "fp"])
-
-    return run
+    return np.stack([bits[:, d].astype(np.int64) @ weight + (b << key_bits) for b, d in enumerate(draws(key_bits)[:bands])], axis=1)
 
 
 def gray_order(fp: np.ndarray) -> np.ndarray:
@@ -245,69 +232,215 @@ def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def _shard_edges(max_diff: int, far_diff: int):
+def shares(limit: int, parts: int) -> list[int]:
+    """Limits of parts, -1 for none, of which one holds if at most ``limit`` bits differ in all: each and 1 add up to limit + 1."""
+    return [(limit + 1) // parts + (k < (limit + 1) % parts) - 1 for k in range(parts)]
+
+
+def _gray_rank(x: np.ndarray) -> np.ndarray:
+    for s in (1, 2, 4, 8):
+        x = x ^ (x >> np.int32(s))
+    return x
+
+
+@lru_cache
+def _masks(radius: int) -> list[np.ndarray]:
+    """The Gray ranks of the 16-bit differences of each number of bits up to ``radius``. Ranks of blocks differ by them, as the rank is linear."""
+    x = np.arange(1 << 16, dtype=np.int32)
+    return [_gray_rank(x[np.bitwise_count(x) == k]) for k in range(radius + 1)]
+
+
+class _Rows:
+    """The fingerprints of one group in rows of ``wide`` that have one block in common, ordered by its Gray rank and by their roots."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, block: int, root: np.ndarray, wide: int) -> None:
+        rank = _gray_rank((words >> np.uint64(16 * block) & np.uint64(0xFFFF)).astype(np.int32))
+        order = np.lexsort((root[at], rank))
+        n = np.bincount(rank, minlength=1 << 16)
+        self.count = (-(-n // wide)).astype(np.int32)
+        self.first = np.cumsum(self.count, dtype=np.int32) - self.count
+        self.rank = np.repeat(np.arange(1 << 16, dtype=np.int32), self.count)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+        row, col = np.repeat(self.first, n) + place // wide, place % wide
+        self.words = np.zeros((wide, len(self.rank)), np.uint64)
+        self.at = np.full((wide, len(self.rank)), -1, np.int64)
+        self.words[col, row], self.at[col, row] = words[order], at[order]
+        # as the second of two: places that no fingerprint has differ in all bits from those of the first
+        self.others = np.where(self.at < 0, ~np.uint64(0), self.words)
+
+    def roots(self, root: np.ndarray) -> np.ndarray:
+        """The root that all of a row share, or -1 if they don't or it is alone."""
+        mine = np.where(self.at >= 0, root[self.at], root[self.at[0]])
+        size = np.bincount(root, minlength=len(root))
+        return np.where((mine == mine[0]).all(axis=0) & (size[mine[0]] > 1), mine[0], -1)
+
+
+def _alike(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    d = np.zeros(len(i), np.uint16)
+    for w in range(_WORDS):
+        d += np.bitwise_count(fp[i, w] ^ fp[j, w])
+    return d
+
+
+def _bring_together(fp: np.ndarray, root: np.ndarray, max_diff: int, bands: int = 4) -> None:
+    """Join near copies that stand side by side in the order of a few keys: most of a large group, so that its rows are passed over."""
+    keys = np.concatenate([band_keys(fp[lo : lo + (1 << 16)], 16, bands) for lo in range(0, len(fp), 1 << 16)])
+    for key in keys.T:
+        order = np.argsort(key, kind="stable")
+        near = _alike(fp, order[:-1], order[1:]) <= max_diff
+        _join(root, order[:-1][near], order[1:][near])
+
+
+def word_edges(fp: np.ndarray, split: int, word: int, max_diff: int, far_diff: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Roots under near pairs, and the far pairs they leave apart, of all pairs in the limits whose ``word`` differs in its share of bits at most.
+
+    Pairs are of a fingerprint before ``split`` and one from there on, or of any two if split is the number of all.
+    """
+    root = np.arange(len(fp))
+    limit = max(max_diff, far_diff)
+    within = shares(limit, _WORDS)[word]
+    own = split == len(fp)
+    a = np.arange(split)
+    b = a if own else np.arange(split, len(fp))
+    near: list[tuple[np.ndarray, np.ndarray]] = []
+    far: list[np.ndarray] = [np.zeros(0, np.int64)]
+    waiting = 0
+    _bring_together(fp, root, max_diff)
+
+    def settle() -> None:
+        nonlocal waiting
+        if near:
+            _join(root, np.concatenate([x for x, _ in near]), np.concatenate([y for _, y in near]))
+        pairs = np.unique(np.concatenate(far))
+        i, j = np.divmod(pairs, len(fp))
+        near.clear()
+        far[:] = [pairs[root[i] != root[j]]]
+        waiting = 0
+
+    def look(pairs: list[np.ndarray]) -> None:
+        """Keep those of the pairs that are apart and within the limits."""
+        nonlocal waiting
+        i, j = pairs
+        ok = (i >= 0) & (j >= 0) & (root[i] != root[j])
+        i, j = i[ok], j[ok]
+        d = _alike(fp, i, j)
+        near.append((i[d <= max_diff], j[d <= max_diff]))
+        ok = (d > max_diff) & (d <= far_diff)
+        far.append(np.minimum(i[ok], j[ok]) * len(fp) + np.maximum(i[ok], j[ok]))
+        waiting += len(near[-1][0]) + len(far[-1])
+        if waiting > 1 << 16:
+            settle()
+
+    wide = 1
+    while wide < 16 and wide * (1 << 16) < len(fp) // (1 if own else 2):
+        wide *= 2
+    step = STEP // wide
+    x, count = np.empty((wide, step), np.uint64), np.empty((wide, step), np.uint8)
+    for block, radius in enumerate(shares(within, _BLOCKS)):
+        if radius < 0:
+            continue
+        left = _Rows(fp[a, word], a, block, root, wide)
+        right = left if own else _Rows(fp[b, word], b, block, root, wide)
+        for masks in _masks(radius):
+            settle()
+            # while all of a pair of rows are joined, nothing is left to find in it
+            left_root, right_root = left.roots(root), right.roots(root)
+            some = bool((left_root >= 0).any())
+            for mask in masks:
+                met = left.rank ^ mask
+                u = np.flatnonzero(left.rank < met) if own and mask else np.arange(len(met))
+                met = met[u]
+                n = right.count[met]
+                v = np.repeat(right.first[met] - np.cumsum(n, dtype=np.int32) + n, n)
+                u, v = np.repeat(u.astype(np.int32), n), v + np.arange(len(v), dtype=np.int32)
+                if own and not mask:
+                    u, v = u[u <= v], v[u <= v]
+                if some:
+                    apart = (left_root[u] != right_root[v]) | (left_root[u] < 0)
+                    u, v = u[apart], v[apart]
+                met_by, size = [], 0
+                for lo in range(0, len(u), step):
+                    p, q = u[lo : lo + step], v[lo : lo + step]
+                    one, two = np.take(left.words, p, axis=1), np.take(right.others, q, axis=1)
+                    xs, counts = x[:, : len(p)], count[:, : len(p)]
+                    for k in range(wide):
+                        np.bitwise_xor(one[k], two, out=xs)
+                        np.bitwise_count(xs, out=counts)
+                        if counts.min() > within:
+                            continue
+                        m, at = np.divmod(np.flatnonzero(counts <= within), len(p))
+                        met_by.append((left.at[k, p[at]], right.at[m, q[at]]))
+                        size += len(m)
+                    if size > 1 << 20 or size and lo + step >= len(u):
+                        look([np.concatenate(x) for x in zip(*met_by)])
+                        met_by, size = [], 0
+    settle()
+    i, j = np.divmod(far[0], len(fp))
+    return root, i, j
+
+
+def _deal(count: int, words: int):
+    """Fingerprints as packed rows for each task: tasks are pairs of ``count`` groups, the first not above the second, times ``words``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            tail.append(b)
-            key = b.column(0).to_numpy()
-            if key[0] == key[-1] and (len(tail) == 1 or tail[0].column(0)[0].as_py() == key[0]):
-                continue
-            cutoff = int(np.searchsorted(key, key[-1]))
-            yield from solve([*tail[:-1], b.slice(0, cutoff)])
-            tail = [b.slice(cutoff)]
-        if tail:
-            yield from solve(tail)
-
-    def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(parts)
-        key, ids = t.column("key").to_numpy(), t.column("id").to_numpy()
-        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, _WORDS)
-        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        size = np.diff(at)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def add(a: np.ndarray, b: np.ndarray, far: bool) -> None:
-            out.append((np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), np.full(len(a), far)))
-
-        for n in np.unique(size[size > 1]):
-            rows = at[:-1][size == n][:, None] + np.arange(n)
-            if n <= SMALL:
-                # small shards of one size are single nodes: compare their members together
-                i, j = np.triu_indices(n, 1)
-                for r in np.array_split(rows, max(1, len(rows) * len(i) >> 18)):
-                    x, y = r[:, i].ravel(), r[:, j].ravel()
-                    d = np.zeros(len(x), np.uint16)
-                    for w in range(_WORDS):
-                        d += np.bitwise_count(fp[x, w] ^ fp[y, w])
-                    hit = np.flatnonzero(d <= max(max_diff, far_diff))
-                    x, y, near = x[hit] - r[0, 0], y[hit] - r[0, 0], d[hit] <= max_diff
-                    root = np.arange(r[-1, -1] + 1 - r[0, 0])
-                    _join(root, x[near], y[near])
-                    low = np.flatnonzero(root != np.arange(len(root)))
-                    add(low + r[0, 0], root[low] + r[0, 0], False)
-                    apart = root[x] != root[y]
-                    add(x[apart] + r[0, 0], y[apart] + r[0, 0], True)
+            ids = b.column(0).to_numpy()
+            fp = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, _WORDS)
+            group = (mix64(ids.view(np.uint64)) % np.uint64(count)).astype(np.int64)
+            for g in np.unique(group).tolist():
+                own = group == g
+                data = ids[own].tobytes(), fp[own].tobytes()
+                for h in range(count):
+                    low, high = min(g, h), max(g, h)
+                    task = (high * (high + 1) // 2 + low) * words + np.arange(words)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(task.astype(np.int32)), pa.array([g > h] * words), pa.array([data[0]] * words, pa.binary()), pa.array([data[1]] * words, pa.binary())],
+                        names=["task", "second", "ids", "fps"],
+                    )
+
+    return run
+
+
+def _task_edges(words: int, max_diff: int, far_diff: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[tuple[bytes, bytes]], list[tuple[bytes, bytes]]]] = {}
+        for b in batches:
+            for task, second, ids, fps in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(task, ([], []))[second].append((ids, fps))
+        for task in sorted(held):
+            parts = held.pop(task)
+            ids = np.frombuffer(b"".join(x for side in parts for x, _ in side), np.int64)
+            fp = np.frombuffer(b"".join(x for side in parts for _, x in side), np.uint64).reshape(-1, _WORDS)
+            # two groups: pairs across them; one: any
+            diagonal = any(task // words == g * (g + 3) // 2 for g in range(task + 1)) if not parts[1] else False
+            split = sum(len(x) // 8 for x, _ in parts[0])
+            if not diagonal and not 0 < split < len(ids):
                 continue
-            for r in rows:
-                own = r[gray_order(fp[r])]
-                root = _forest(fp[own], max_diff)
-                low = np.flatnonzero(root != np.arange(len(root)))
-                add(own[low], own[root[low]], False)
-                for x, y in near_pairs(fp[own], far_diff, root=root) if far_diff > max_diff else ():
-                    add(own[x], own[y], True)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b", "far"])
+            if words == 1:
+                order = gray_order(fp)
+                ids, fp = ids[order], fp[order]
+                root = _forest(fp, max_diff)
+                far = [*near_pairs(fp, far_diff, root=root)] if far_diff > max_diff else []
+                i, j = (np.concatenate([p[k] for p in far]) if far else np.zeros(0, np.int64) for k in (0, 1))
+            else:
+                root, i, j = word_edges(fp, split, task % words, max_diff, far_diff)
+            low = np.flatnonzero(root != np.arange(len(root)))
+            i, j, is_far = np.concatenate((low, i)), np.concatenate((root[low], j)), np.arange(len(low) + len(i)) >= len(low)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(is_far)], names=["a", "b", "far"])
 
     return run
 
 
 def near_edges(distinct: DataFrame, max_diff: int = MAX_DIFF, far_diff: int = FAR_DIFF) -> DataFrame:
-    """Rows (a, b, far) among rows (id, fp) of distinct fingerprints: edges that connect all near copies found, and far pairs that these leave apart."""
-    keyed = distinct.select("id", "fp").mapInArrow(_key_batches(key_bits_for(distinct.count())), "key bigint, id bigint, fp binary")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shard_edges(max_diff, far_diff), "a bigint, b bigint, far boolean").distinct()
+    """Rows (a, b, far) among rows (id, fp) of distinct fingerprints: edges that connect all pairs in ``max_diff``, and all pairs in ``far_diff`` that near ones leave apart."""
+    n = distinct.count()
+    words = 1 if n <= SMALL else _WORDS
+    count = max(1, -(-n // min(GROUP, max(LEAST, n // 4))))
+    tasks = count * (count + 1) // 2 * words
+    dealt = distinct.select("id", "fp").mapInArrow(_deal(count, words), "task int, second boolean, ids binary, fps binary")
+    return dealt.repartitionById(tasks, F.col("task")).mapInArrow(_task_edges(words, max_diff, far_diff), "a bigint, b bigint, far boolean").distinct()
 
 
 def overlapping(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", overlap: float = OVERLAP) -> DataFrame:
