@@ -119,6 +119,27 @@ def test_limits_of_parts():
         assert sum(x + 1 for x in words) == limit + 1 and all(sum(x + 1 for x in simhash.shares(w, 4)) == w + 1 for w in words if w >= 0)
 
 
+def test_joined_copies_are_passed_over(monkeypatch):
+    """In a large group of near copies, few of all pairs have their fingerprints compared."""
+    rng = np.random.default_rng(13)
+    fp = rng.integers(0, 2**64, (7000, 4), np.uint64)
+    fp[:6000] = fp[0]
+    for x in fp[:6000]:
+        for b in rng.choice(256, 14, replace=False):
+            x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    looked, alike = [0], simhash._alike
+
+    def counted(fp, i, j):
+        looked[0] += len(i)
+        return alike(fp, i, j)
+
+    monkeypatch.setattr(simhash, "_alike", counted)
+    for word in range(4):
+        root, i, _ = simhash.word_edges(fp, len(fp), word, simhash.MAX_DIFF, simhash.FAR_DIFF)
+        assert (root[:6000] == 0).all() and (root[6000:] == np.arange(6000, 7000)).all() and not len(i)
+    assert looked[0] < 4 * 50 * len(fp)
+
+
 def test_far_pairs_need_common_words(spark):
     """Of pairs in the far range, those without enough common words stay apart."""
     docs = documents(spark, [(1, "a b c d e f g h", "s"), (2, "a b c d e f g x", "s"), (3, "a b p q r s t u", "s"), (4, None, "s")])
