@@ -119,6 +119,13 @@ def test_limits_of_parts():
         assert sum(x + 1 for x in words) == limit + 1 and all(sum(x + 1 for x in simhash.shares(w, 4)) == w + 1 for w in words if w >= 0)
 
 
+def test_a_ninth_of_the_pairs_is_reached():
+    """Of random fingerprints, the blocks of all words together let about 0.11 of the pairs have a word compared."""
+    words = simhash.shares(simhash.FAR_DIFF, 4)
+    reached = sum(sum(len(m) for m in simhash._masks(radius)) for w in words for radius in simhash.shares(w, 4)) / 2**16
+    assert reached < 1 / 9
+
+
 def test_joined_copies_are_passed_over(monkeypatch):
     """In a large group of near copies, few of all pairs have their fingerprints compared."""
     rng = np.random.default_rng(13)
