@@ -154,6 +154,23 @@ def test_far_pairs_need_common_words(spark):
     assert [tuple(r) for r in simhash.overlapping(pairs, docs).collect()] == [(1, 2)]
 
 
+def test_only_words_in_reach_are_compared(monkeypatch):
+    """With full nodes, no more words are compared than the blocks in reach of each other have: none to fill up rows."""
+    rng = np.random.default_rng(14)
+    n = 1 << 18
+    fp = rng.integers(0, 2**64, (2 * n, 4), np.uint64)
+    compared, xor = [0], np.bitwise_xor
+
+    def counted(x, y, out):
+        compared[0] += out.size
+        return xor(x, y, out=out)
+
+    monkeypatch.setattr(np, "bitwise_xor", counted)
+    simhash.word_edges(fp, n, 3, simhash.MAX_DIFF, simhash.FAR_DIFF)
+    reach = sum(sum(len(m) for m in simhash._masks(radius)) for radius in simhash.shares(simhash.shares(simhash.FAR_DIFF, 4)[3], 4)) / 2**16
+    assert 0.95 * reach < compared[0] / n**2 < 1.05 * reach
+
+
 # ---- abuse in all languages
 
 

@@ -12,8 +12,8 @@ counted, and the pair is dropped, with all below it, once they exceed ``max_diff
 Random bits share little, so of a larger table that walk would drop little above its leaves. There the leaves are made
 of equal bits: of a pair that differs in at most 56 bits, one of the four 64-bit words differs in at most 14 in the first or 13 in another
 (57 = 15 + 14 + 14 + 14), and in that word one of its four blocks of 16 bits in at most 3 or 2 (15 = 4 + 4 + 4 + 3, 14 = 4 + 4 + 3 + 3).
-For each block, fingerprints are ordered by the block's Gray rank, those of an equal block are nodes, and nodes
-whose blocks differ in so few bits have their words compared, pair by pair. The fingerprints are dealt to groups
+For each block, those of an equal block are nodes, and a node has its words compared with those of all nodes
+whose blocks differ in so few bits, which are put together for it from runs of sorted words. The fingerprints are dealt to groups
 of at most about ``GROUP``; a task has two groups and one word. The work is quadratic, but reaches a ninth of the pairs, with one word each.
 
 Near pairs become a spanning forest of the task, so thousands of mutual copies give thousands of edges and
@@ -33,6 +33,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import md5
+from itertools import pairwise
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +56,14 @@ FANOUT = 32
 #: Tables of up to so many fingerprints are one walk down the index; larger ones are groups of at least LEAST and about GROUP at most.
 SMALL = 4096
 LEAST = 1 << 18
-GROUP = 1 << 19
-#: Fingerprints that are compared at once with one each.
-STEP = 1 << 14
+GROUP = 3 << 18
+#: Pairs of words that are compared at once, of so many right ones at most, and pairs of a node from which on the joined ones are looked for first.
+STEP = 1 << 16
+WIDE = 1 << 13
+MANY = 1 << 17
+#: Pairs whose words one task compares, and documents whose words it holds, about.
+PAIRS = 1 << 17
+TEXTS = 1 << 15
 _WORDS = BITS // 64
 _BLOCKS = 4
 
@@ -237,42 +244,96 @@ def shares(limit: int, parts: int) -> list[int]:
     return [(limit + 1) // parts + (k < (limit + 1) % parts) - 1 for k in range(parts)]
 
 
-def _gray_rank(x: np.ndarray) -> np.ndarray:
-    for s in (1, 2, 4, 8):
-        x = x ^ (x >> np.int32(s))
-    return x
-
-
 @lru_cache
 def _masks(radius: int) -> list[np.ndarray]:
-    """The Gray ranks of the 16-bit differences of each number of bits up to ``radius``. Ranks of blocks differ by them, as the rank is linear."""
+    """The 16-bit differences of each number of bits up to ``radius``."""
     x = np.arange(1 << 16, dtype=np.int32)
-    return [_gray_rank(x[np.bitwise_count(x) == k]) for k in range(radius + 1)]
-
-
-class _Rows:
-    """The fingerprints of one group in rows of ``wide`` that have one block in common, ordered by its Gray rank and by their roots."""
-
-    def __init__(self, words: np.ndarray, at: np.ndarray, block: int, root: np.ndarray, wide: int) -> None:
-        rank = _gray_rank((words >> np.uint64(16 * block) & np.uint64(0xFFFF)).astype(np.int32))
-        order = np.lexsort((root[at], rank))
-        n = np.bincount(rank, minlength=1 << 16)
-        self.count = (-(-n // wide)).astype(np.int32)
-        self.first = np.cumsum(self.count, dtype=np.int32) - self.count
-        self.rank = np.repeat(np.arange(1 << 16, dtype=np.int32), self.count)
-        place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
-        row, col = np.repeat(self.first, n) + place // wide, place % wide
-        self.words = np.zeros((wide, len(self.rank)), np.uint64)
-        self.at = np.full((wide, len(self.rank)), -1, np.int64)
-        self.words[col, row], self.at[col, row] = words[order], at[order]
-        # as the second of two: places that no fingerprint has differ in all bits from those of the first
-        self.others = np.where(self.at < 0, ~np.uint64(0), self.words)
-
-    def roots(self, root: np.ndarray) -> np.ndarray:
-        """The root that all of a row share, or -1 if they don't or it is alone."""
-        mine = np.where(self.at >= 0, root[self.at], root[self.at[0]])
-        size = np.bincount(root, minlength=len(root))
-        return np.where((mine == mine[0]).all(axis=0) & (size[mine[0]] > 1), mine[0], -1)
+    return [x[np.bitwise_count(x) == k] for k in range(radius + 1)]
+
+
+def _block_pairs(left: np.ndarray, right: np.ndarray, block: int, radius: int, within: int, own: bool, root: np.ndarray, start_of_right: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (left, right) of words that differ in at most ``within`` bits and in ``block`` in at most ``radius``; with ``own``, left is right and each pair comes once or twice.
+
+    Left words of one node, blocks that are equal but for the last bits of their high bytes, are compared with all right ones in its reach at once.
+    Those are put together from runs: for a low byte, the right words whose low bytes differ in at most 0, 1, ... bits lie in the order of their high
+    bytes, so a node whose first bits differ in m has one run, of those that differ in ``radius - m`` more. Small tables have larger nodes.
+    Where many meet, pairs of one root are passed over; ``root`` has right ones from ``start_of_right`` on.
+    """
+    shift = np.uint64(16 * block)
+    last = 0
+    while last < 4 and len(left) << last < 1 << 18:
+        last += 1
+    nodes = 256 >> last
+    key = (left >> shift).astype(np.uint16)
+    order = np.argsort(key.byteswap(), kind="stable").astype(np.int32)
+    start = np.concatenate(([0], np.cumsum(np.bincount(key.byteswap(), minlength=1 << 16))))[:: 1 << last].tolist()
+    words = left[order]
+    key = (right >> shift).astype(np.uint16)
+    other = np.argsort(key, kind="stable").astype(np.int32)
+    others, key = right[other], key[other]
+    low = (key & np.uint16(255)).astype(np.uint8)
+    ends = np.searchsorted(key, np.arange(nodes + 1) << 8 + last)
+    byte = np.arange(256, dtype=np.uint8)
+    reach = [(h, radius - h.bit_count()) for h in np.unique(np.concatenate(_masks(radius)) >> 8 + last).tolist()]
+    xs, counts = np.empty(STEP, np.uint64), np.empty(STEP, np.uint8)
+    for mine in range(256):
+        if start[mine * nodes] == start[(mine + 1) * nodes]:
+            continue
+        apart = np.take(np.bitwise_count(byte ^ np.uint8(mine)), low)
+        at, runs, places = np.flatnonzero(apart <= radius), [], []
+        apart, w, o = apart[at], others[at], other[at]
+        for r in range(radius, -1, -1):
+            if r < radius:
+                some = apart <= r
+                at, apart, w, o = at[some], apart[some], w[some], o[some]
+            bounds = np.searchsorted(at, ends).tolist()
+            runs.append([w[x:y] for x, y in pairwise(bounds)])
+            places.append([o[x:y] for x, y in pairwise(bounds)])
+        runs, places = runs[::-1], places[::-1]
+        for node in range(nodes):
+            lo, hi = start[mine * nodes + node], start[mine * nodes + node + 1]
+            if lo == hi:
+                continue
+            near = [(r, node ^ h) for h, r in reach if not own or node ^ h >= node]
+            y = np.concatenate([runs[r][h] for r, h in near])
+            if not len(y):
+                continue
+            x, i, j = words[lo:hi], order[lo:hi], None
+            sets = [(x, i, y, j)]
+            if len(x) * len(y) > MANY and (often := _often(root[i])):
+                j = np.concatenate([places[r][h] for r, h in near])
+                sets = _unjoined(x, i, y, j, root[i], root[start_of_right + j], often)
+            for x, i, y, j in sets:
+                for b in range(0, len(y), WIDE):
+                    q = y[b : b + WIDE]
+                    rows = STEP // len(q)
+                    for a in range(0, len(x), rows):
+                        p = x[a : a + rows, None]
+                        size = len(p) * len(q)
+                        np.bitwise_xor(p, q, out=xs[:size].reshape(len(p), -1))
+                        found = np.bitwise_count(xs[:size], out=counts[:size]).reshape(len(p), -1)
+                        some = np.flatnonzero(found.min(axis=0) <= within)
+                        if len(some):
+                            if j is None:
+                                j = np.concatenate([places[r][h] for r, h in near])
+                            m, n = np.nonzero(found[:, some] <= within)
+                            yield i[a + m], j[b + some[n]]
+
+
+def _often(root: np.ndarray) -> list[int]:
+    """Roots that many have."""
+    roots, n = np.unique(root, return_counts=True)
+    return roots[n >= 64].tolist()
+
+
+def _unjoined(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, mine: np.ndarray, theirs: np.ndarray, often: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The words x at i and y at j in parts whose pairs are all but those of the roots ``often``; ``mine`` and ``theirs`` are their roots."""
+    parts, rest = [], np.ones(len(x), bool)
+    for r in often:
+        own, ok = mine == r, theirs != r
+        rest &= ~own
+        parts.append((x[own], i[own], y[ok], j[ok]))
+    return [*parts, (x[rest], i[rest], y, j)]
 
 
 def _alike(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -321,7 +382,7 @@ def word_edges(fp: np.ndarray, split: int, word: int, max_diff: int, far_diff: i
         """Keep those of the pairs that are apart and within the limits."""
         nonlocal waiting
         i, j = pairs
-        ok = (i >= 0) & (j >= 0) & (root[i] != root[j])
+        ok = root[i] != root[j]
         i, j = i[ok], j[ok]
         d = _alike(fp, i, j)
         near.append((i[d <= max_diff], j[d <= max_diff]))
@@ -331,49 +392,20 @@ def word_edges(fp: np.ndarray, split: int, word: int, max_diff: int, far_diff: i
         if waiting > 1 << 16:
             settle()
 
-    wide = 1
-    while wide < 16 and wide * (1 << 16) < len(fp) // (1 if own else 2):
-        wide *= 2
-    step = STEP // wide
-    x, count = np.empty((wide, step), np.uint64), np.empty((wide, step), np.uint8)
+    left, right = fp[a, word], fp[b, word]
     for block, radius in enumerate(shares(within, _BLOCKS)):
         if radius < 0:
             continue
-        left = _Rows(fp[a, word], a, block, root, wide)
-        right = left if own else _Rows(fp[b, word], b, block, root, wide)
-        for masks in _masks(radius):
-            settle()
-            # while all of a pair of rows are joined, nothing is left to find in it
-            left_root, right_root = left.roots(root), right.roots(root)
-            some = bool((left_root >= 0).any())
-            for mask in masks:
-                met = left.rank ^ mask
-                u = np.flatnonzero(left.rank < met) if own and mask else np.arange(len(met))
-                met = met[u]
-                n = right.count[met]
-                v = np.repeat(right.first[met] - np.cumsum(n, dtype=np.int32) + n, n)
-                u, v = np.repeat(u.astype(np.int32), n), v + np.arange(len(v), dtype=np.int32)
-                if own and not mask:
-                    u, v = u[u <= v], v[u <= v]
-                if some:
-                    apart = (left_root[u] != right_root[v]) | (left_root[u] < 0)
-                    u, v = u[apart], v[apart]
-                met_by, size = [], 0
-                for lo in range(0, len(u), step):
-                    p, q = u[lo : lo + step], v[lo : lo + step]
-                    one, two = np.take(left.words, p, axis=1), np.take(right.others, q, axis=1)
-                    xs, counts = x[:, : len(p)], count[:, : len(p)]
-                    for k in range(wide):
-                        np.bitwise_xor(one[k], two, out=xs)
-                        np.bitwise_count(xs, out=counts)
-                        if counts.min() > within:
-                            continue
-                        m, at = np.divmod(np.flatnonzero(counts <= within), len(p))
-                        met_by.append((left.at[k, p[at]], right.at[m, q[at]]))
-                        size += len(m)
-                    if size > 1 << 20 or size and lo + step >= len(u):
-                        look([np.concatenate(x) for x in zip(*met_by)])
-                        met_by, size = [], 0
+        settle()
+        met, size = [], 0
+        for i, j in _block_pairs(left, right, block, radius, within, own, root, 0 if own else split):
+            met.append((a[i], b[j]))
+            size += len(i)
+            if size > 1 << 18:
+                look([np.concatenate(x) for x in zip(*met)])
+                met, size = [], 0
+        if met:
+            look([np.concatenate(x) for x in zip(*met)])
     settle()
     i, j = np.divmod(far[0], len(fp))
     return root, i, j
@@ -416,6 +448,7 @@ def _task_edges(words: int, max_diff: int, far_diff: int):
             # two groups: pairs across them; one: any
             diagonal = any(task // words == g * (g + 3) // 2 for g in range(task + 1)) if not parts[1] else False
             split = sum(len(x) // 8 for x, _ in parts[0])
+            del parts
             if not diagonal and not 0 < split < len(ids):
                 continue
             if words == 1:
@@ -433,11 +466,45 @@ def _task_edges(words: int, max_diff: int, far_diff: int):
     return run
 
 
+def _overlaps(overlap: float):
+    """Of each cell, first the words of its documents and then its pairs: the pairs of which two texts overlap."""
+
+    def alike(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+        size = np.array([len(x) for x in many])
+        flat = np.concatenate(many)
+        at = np.searchsorted(one, flat)
+        at[at == len(one)] = 0
+        n = np.add.reduceat(one[at] == flat, np.cumsum(size) - size, dtype=np.int64)
+        return (n > 0) & (n >= overlap * (len(one) + size - n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts = -1, {}
+        for batch in batches:
+            cells, a, b, words = batch.columns
+            cells, a, is_pair = cells.to_numpy(), a.to_numpy(), b.is_valid().to_numpy(zero_copy_only=False)
+            b = b.fill_null(0).to_numpy()
+            found: list[tuple[int, int]] = []
+            for cell in np.unique(cells).tolist():
+                if cell != now:
+                    now, texts = cell, {}
+                for k in np.flatnonzero((cells == cell) & ~is_pair).tolist():
+                    texts.setdefault(int(a[k]), []).append(words[k].values.to_numpy().view(np.uint64))
+                mine = np.flatnonzero((cells == cell) & is_pair)
+                mine = mine[np.argsort(a[mine], kind="stable")]
+                for run_of in np.split(mine, np.flatnonzero(np.diff(a[mine])) + 1):
+                    of = [(y, t) for y in b[run_of].tolist() for t in texts.get(y, ())]
+                    for one in texts.get(int(a[run_of[0]]), ()) if of else ():
+                        found += [(int(a[run_of[0]]), of[k][0]) for k in np.flatnonzero(alike(one, [t for _, t in of])).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def near_edges(distinct: DataFrame, max_diff: int = MAX_DIFF, far_diff: int = FAR_DIFF) -> DataFrame:
     """Rows (a, b, far) among rows (id, fp) of distinct fingerprints: edges that connect all pairs in ``max_diff``, and all pairs in ``far_diff`` that near ones leave apart."""
     n = distinct.count()
     words = 1 if n <= SMALL else _WORDS
-    count = max(1, -(-n // min(GROUP, max(LEAST, n // 4))))
+    count = max(1, -(-n // min(GROUP, max(LEAST, -(-n // 4)))))
     tasks = count * (count + 1) // 2 * words
     dealt = distinct.select("id", "fp").mapInArrow(_deal(count, words), "task int, second boolean, ids binary, fps binary")
     return dealt.repartitionById(tasks, F.col("task")).mapInArrow(_task_edges(words, max_diff, far_diff), "a bigint, b bigint, far boolean").distinct()
@@ -445,13 +512,19 @@ def near_edges(distinct: DataFrame, max_diff: int = MAX_DIFF, far_diff: int = FA
 
 def overlapping(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", overlap: float = OVERLAP) -> DataFrame:
     """The pairs (a, b) of doc_ids of which two texts have at least ``overlap`` of their distinct words in common."""
+    pairs = cut(pairs.distinct())
     # as a table its size is known: a small one is broadcast and the texts of the other documents are not moved
     ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct())
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id") == F.col("i"), "left_semi")
-    words = cut(texts.mapInArrow(_word_batches, "id bigint, words array<bigint>"))
-    both = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    return both.where((common > 0) & (common >= overlap * (F.size("wa") + F.size("wb") - common))).select("a", "b").distinct()
+    words = cut(texts.mapInArrow(_word_batches, "id bigint, words array<bigint>").where(F.size("words") > 0))
+    # a square of cells: a document's words go once to each cell that has a pair of it, and not with every pair
+    side = max(1, ceil((pairs.count() / PAIRS) ** 0.5), ceil(2 * ids.count() / TEXTS))
+    cell = F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side))
+    dealt = pairs.select(cell.cast("int").alias("cell"), "a", "b")
+    sent = dealt.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(words, "id")
+    rows = sent.select("cell", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "words").unionByName(dealt.withColumn("words", F.lit(None).cast("array<bigint>")))
+    sorted_rows = rows.repartitionById(side * side, F.col("cell")).sortWithinPartitions("cell", F.col("b").asc_nulls_first())
+    return sorted_rows.mapInArrow(_overlaps(overlap), "a bigint, b bigint").distinct()
 
 
 def groups(docs: DataFrame, max_diff: int = MAX_DIFF, id_col: str = "doc_id", text_col: str = "text", far_diff: int = FAR_DIFF) -> DataFrame:
