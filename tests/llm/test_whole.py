@@ -171,6 +171,23 @@ def test_only_words_in_reach_are_compared(monkeypatch):
     assert 0.95 * reach < compared[0] / n**2 < 1.05 * reach
 
 
+def test_words_of_far_pairs_go_to_cells(spark, monkeypatch):
+    """Over many cells the overlapping pairs are those of brute force, also of an id with two texts; words are joined to cells and not to every pair."""
+    monkeypatch.setattr(simhash, "PAIRS", 40, raising=False)
+    monkeypatch.setattr(simhash, "TEXTS", 16, raising=False)
+    rng = random.Random(15)
+    texts = [(i % 39, " ".join(rng.sample("abcdefghij", rng.randrange(1, 10)))) for i in range(40)] + [(39, None), (40, "a")]
+    of = {}
+    for i, t in texts:
+        of.setdefault(i, []).append(set((t or "").split()))
+    every = [(a, b) for a in range(41) for b in range(a + 1, 41)]
+    near = lambda x, y: bool(x & y) and len(x & y) >= simhash.OVERLAP * len(x | y)
+    want = {(a, b) for a, b in every if any(near(x, y) for x in of[a] for y in of[b])}
+    got = simhash.overlapping(spark.createDataFrame(every, "a bigint, b bigint"), documents(spark, [(i, t, "s") for i, t in texts]))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 40
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 # ---- abuse in all languages
 
 
