@@ -29,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     document that loses every line stays with an empty text; rows of one doc_id, or of none, count as one document; every row stays;
     further columns are carried, whatever their names; a text of any length takes time linear in its lines.
     """
-    kept = lines.drop_common_lines(docs, groups=simhash.groups(docs))
+    kept = lines.drop_common_lines(docs, near_copies=True)
     return kept.withColumn("n_chars", F.length("text").cast("bigint"))
 
 

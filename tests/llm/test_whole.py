@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from verbena.llm import lines, quality, simhash
+from verbena.llm import groupcount, lines, quality, simhash
 from verbena.llm.common import read
 from verbena.plans import registry
 
@@ -188,6 +188,48 @@ def test_words_of_far_pairs_go_to_cells(spark, monkeypatch):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
 
+# ---- groups of documents that have a line
+
+
+@pytest.mark.parametrize("rows, prefix", [(1 << 19, 4096), (1 << 19, 12), (0, 4096)])
+def test_lines_are_counted_by_groups_without_all_pairs(spark, monkeypatch, rows, prefix):
+    """Near and far copies, chains of them, ids of several texts, none, and texts without words: the lines of the full search, which only what stays open needs."""
+    rng = random.Random(16)
+    bodies, of = [], []
+    for k in range(150):
+        chain = [prose(3000 + k, 50).split()]
+        for _ in range(rng.choice((0, 0, 1, 3, 9))):
+            new = list(rng.choice(chain))
+            for _ in range(rng.choice((1, 3, 6, 9))):
+                new[rng.randrange(50)] = "w%d" % rng.randrange(10**6)
+            chain.append(new)
+        of += [k] * len(chain)
+        bodies += [" ".join(w) for w in chain]
+    held = [[] for _ in bodies]
+    for k in range(60):
+        some = rng.sample(range(150), rng.choice((4, 7, 9, 10, 11, 30)))
+        for i, x in enumerate(of):
+            if x in some and rng.random() < 0.8:
+                held[i].append(f"l{k}.")
+    table = [(i, "\n".join([x, *held[i]])) for i, x in enumerate(bodies)]
+    table += [(i + 1, table[i][1]) for i in range(0, 60, 7)]
+    table += [(None, f"{prose(k, 9)}\nl{k}.\nl{k}.") for k in range(0, 60, 5)]
+    table += [(10_000 + k % 14, "\n".join(["!?!", "-" * (k % 14)] + ["??"] * (k % 14 < 9))) for k in range(20)]
+    docs = documents(spark, [(i, x, "s") for i, x in table]).persist()
+    want = lines.drop_common_lines(docs, groups=simhash.groups(docs)).select("doc_id", "text")
+    by_ids = lines.drop_common_lines(docs).select("doc_id", "text")
+    assert by_ids.exceptAll(want).count() > 50 and docs.select("doc_id", "text").exceptAll(want).count() > 50
+    full, groups = [], simhash.groups
+    monkeypatch.setattr(simhash, "groups", lambda *a, **k: full.append(1) or groups(*a, **k))
+    monkeypatch.setattr(groupcount, "ROWS", rows)
+    monkeypatch.setattr(groupcount, "HELD", prefix)
+    got = corpus_pipeline.line_dedup(spark, docs, "").select("doc_id", "text")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert rows == 0 or prefix < 64 or not full
+    assert rows or full
+    docs.unpersist()
+
+
 # ---- abuse in all languages
 
 

@@ -6,7 +6,7 @@ dropped. Every line that occurs in at least ``min_docs`` documents is dropped fr
 Only hashes are shuffled for the count; texts move once, to meet the hashes that their document
 loses. With ``by_content``, documents of one normalised text count as one, and with ``groups``
 (doc_id, group_id), documents of one group do, so a text that is copied keeps its own lines, and near
-dedup decides which copy stays.
+dedup decides which copy stays. With ``near_copies`` the groups are those of near copies, found only as far as the count needs them.
 
 Defined cases: a null text stays null; an empty text stays empty; a document that loses every
 line stays as a row with an empty text; rows that share a doc_id are one document for the count,
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import let
 from .common import fresh, keep
+from .groupcount import lines_in_groups
 
 MIN_DOCS = 10
 
@@ -44,7 +45,7 @@ def _content(text: Column) -> Column:
     return F.struct(F.xxhash64(t).alias("h"), F.hash(t).alias("g"))
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", by_content: bool = False, groups: DataFrame | None = None) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", by_content: bool = False, groups: DataFrame | None = None, near_copies: bool = False) -> DataFrame:
     """The input with ``text_col`` rewritten without its common lines; same columns, same rows."""
     ident, version, lost = fresh(docs, "id", "v", "lost")
     content = [_content(F.col("text")).alias("c")] if by_content else []
@@ -60,7 +61,10 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "
         counted = hashed.join(of, F.col("id") == F.col("i"), "left").select(F.coalesce("r", "id").alias("id"), *same, "h", "g").distinct()
     if by_content:
         counted = counted.groupBy("h", "g", "c").agg(F.min("id").alias("id")).select("id", "h", "g").distinct()
-    common = counted.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h", "g")
+    if near_copies:
+        common = lines_in_groups(counted.select("h", "g", "id"), docs, min_docs, id_col, text_col)
+    else:
+        common = counted.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h", "g")
     per_doc = (
         hashed.join(common, ["h", "g"], "left_semi")
         .select("id", F.explode("places").alias("p"))
