@@ -61,8 +61,9 @@ def document_terms(docs: DataFrame, id_col: str, tokens: Column, vocabulary: Dat
     return _weights(terms, id_col, lambda n, df: F.log2(n / df))
 
 
-def dictionary(docs: DataFrame, tokens: Column, no_below: int = 15, no_above: float = 0.5, keep_n: int = 100_000) -> DataFrame:
-    """Rows (term, df): in at least ``no_below`` documents and at most the share ``no_above``, the ``keep_n`` most frequent."""
+def dictionary(docs: DataFrame, tokens: Column, no_below: int = 15, no_above: float = 0.5, keep_n: int | None = 100_000) -> DataFrame:
+    """Rows (term, df): in at least ``no_below`` documents and at most the share ``no_above``, the ``keep_n`` most frequent (None: all)."""
     n = docs.count()
     df = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.where((F.col("df") >= no_below) & (F.col("df") <= no_above * n)).orderBy(F.desc("df"), "term").limit(keep_n)
+    found = df.where((F.col("df") >= no_below) & (F.col("df") <= no_above * n))
+    return found if keep_n is None else found.orderBy(F.desc("df"), "term").limit(keep_n)
