@@ -13,3 +13,26 @@ def test_tfidf_keeps_every_term_of_its_sql(spark, tmp_path):
     words = " ".join(f"w{i}" for i in range(100_100))
     spark.range(30).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 15, words).otherwise("other").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
     assert registry.QUERIES["tfidf_documents"](spark, str(tmp_path)).select("term").distinct().count() == 100_101
+
+
+def test_keyword_words_are_held_in_pieces(spark, monkeypatch):
+    from verbena.operators import features
+
+    made = []
+
+    class Counted(features.Words):
+        def __init__(self, texts):
+            made.append(sum(len(t or "") for t in texts))
+            super().__init__(texts)
+
+    import pyarrow as pa
+
+    texts = [f"a b{i % 7} c {'x ' * (i % 50)}" for i in range(40_000)] + [None, "", "y " * features.PIECE]
+    monkeypatch.setattr(features, "Words", Counted)
+    found = next(features.bucket_counts(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    assert max(made[:-1]) <= features.PIECE < sum(made) and made[-1] == 2 * features.PIECE
+    held = pd.DataFrame({c: found.column(c).to_pylist() for c in ("n", "held")}).groupby("n")["held"].sum()
+    sizes = [len((t or "").split()) for t in texts]
+    assert [held[n] for n in (1, 2, 3, 4)] == [sum(max(0, s - n + 1) for s in sizes) for n in (1, 2, 3, 4)]
+    counts = pd.concat(features.vocabulary_counts(["a", "x x"]).func(iter([pd.Series(texts)])))
+    assert np.array_equal(np.stack(counts), [[t.split().count("a"), max(0, t.split().count("x") - 1)] if t else [0, 0] for t in texts])
