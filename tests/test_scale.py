@@ -36,3 +36,56 @@ def test_keyword_words_are_held_in_pieces(spark, monkeypatch):
     assert [held[n] for n in (1, 2, 3, 4)] == [sum(max(0, s - n + 1) for s in sizes) for n in (1, 2, 3, 4)]
     counts = pd.concat(features.vocabulary_counts(["a", "x x"]).func(iter([pd.Series(texts)])))
     assert np.array_equal(np.stack(counts), [[t.split().count("a"), max(0, t.split().count("x") - 1)] if t else [0, 0] for t in texts])
+
+
+def test_fitted_pipeline_annotates_what_is_read(spark):
+    from verbena.operators.pipeline import Pipeline, RuleAnnotator
+    from verbena.sources.io import from_texts
+
+    asked = []
+
+    class Recorded(RuleAnnotator):
+        def annotate(self, text, fields=None):
+            asked.append(fields)
+            return super().annotate(text, fields)
+
+    docs = from_texts(spark, ["Anna's dogs cannot run .", "a  b, c"])
+    config = {"punct": True, "single_char": True, "proper_noun": True, "extra_space": True}
+    model = Pipeline(config, Recorded()).fit(docs)
+    got = [r["words"] for r in model.tokenize().orderBy("doc_id").collect()]
+    assert asked[-1] == {"text", "is_punct", "single_char", "proper_noun", "is_space"}
+    kept = Pipeline(config)
+    kept.docs = Pipeline(config).annotate(docs)
+    assert got == [r["words"] for r in kept.tokenize().orderBy("doc_id").collect()] and "dogs" in got[0]
+    assert [r["text"] for r in model.set(proper_noun=False).transform().orderBy("doc_id").collect()][0].startswith("Anna")
+
+
+def test_short_ways_of_tokens(spark):
+    import random
+
+    from verbena.functions.vectors import let
+    from verbena.operators import pipeline
+    from verbena.sources.io import from_texts
+
+    parts = ["cannot", "can", "not", "n't", "'s", "'VE", "www.", "http://a.b/c", "a@b.co", ".", ",", " ", "  ", "\n", "é", "É", "ß", "İ", "x", "Paul", "paul", "S", "ss", "ies", "ly", "ing", "12", "3.5", "_", "-", "…", "́", "seventeen", "Million"]
+    draw = random.Random(5)
+    docs = from_texts(spark, ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(2000)])
+    slow = pipeline._TOKEN[pipeline._TOKEN.index("|[") + 1 :]
+    for options in ({}, {"given_names": ("paul", ".", "Paul"), "stop_words": (".", "x"), "lemmas": ((".", "dot"), ("x", "why"), ("é", "e"))}, {"keep": ("lemmas",)}):
+        rules = pipeline.RuleAnnotator(**options)
+        whole = lambda raw: F.transform(raw, lambda t, i: F.struct(*[c.alias(k) for k, c in rules._any(t, i, raw).items()]))  # noqa: B023, E731
+        both = docs.select(rules.annotate(F.col("text")).alias("a"), let(F.regexp_extract_all("text", F.lit(slow), F.lit(0)), whole).alias("b"))
+        assert both.where("not (a <=> b)").limit(3).collect() == []
+
+
+def test_pos_features_keep_a_tally(spark, tiny):
+    from verbena.operators.features import BagOfPOS
+    from verbena.operators.pipeline import Pipeline
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id bigint, text string"))
+    annotated = Pipeline().annotate(docs)
+    model = BagOfPOS("tag").fit(annotated)
+    tallied = annotated.select("doc_id", model.tally(F.col("tokens")).alias("tags"))
+    assert BagOfPOS("tag").fit(tallied).feature_names == model.feature_names
+    both = model.transform(tallied).select("doc_id", F.col("features").alias("f")).join(model.transform(annotated), "doc_id")
+    assert both.where("not (f <=> features)").count() == 0 and both.count() == 202

@@ -8,7 +8,10 @@ no new annotation. The default annotator is a set of rules; one with a language
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import asdict, dataclass, fields, replace
+from functools import reduce
+from operator import or_
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -61,8 +64,10 @@ class Annotator(Protocol):
 
 
 #: In this order: e-mail, URL, number, contraction ends, words, white space beyond one space, any other character.
+#: Before them, what is a word by all of them: ASCII letters before a blank or a mark that none of them goes on with (``cannot`` is two).
 _TOKEN = (
-    r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+    r"(?!(?i:cannot)\b)[A-Za-z]++(?=[ \n\r\t,;!?()\"]|\.(?:[ \n\r\t]|\z)|\z)"
+    r"|[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
     r"|(?:https?://|www\.)[^\s<>\"]*[^\s<>\".,;:!?)']"
     r"|\p{Nd}+(?:[.,]\p{Nd}+)*(?![\p{L}_])"
     r"|(?<=[\p{L}])(?i:'(?:s|ve|re|ll|d|m))(?![\p{L}])"
@@ -73,6 +78,15 @@ _TOKEN = (
     r"|[^\s]"
 )
 
+_PLAIN = re.compile("[a-z]+")
+#: The ASCII characters of punctuation.
+_MARKS = tuple("!\"#%&'()*,-./:;?@[\\]_{}")
+#: Closed classes and their tags, in the order of the rules.
+_CLOSED = (
+    (lexicons.NUMBER_WORDS, "CD"), (lexicons.DETERMINERS, "DT"), (lexicons.PRONOUNS, "PRP"), (lexicons.PREPOSITIONS, "IN"),
+    (lexicons.AUXILIARIES, "MD"), (lexicons.CONJUNCTIONS, "CC"), (lexicons.ADVERBS, "RB"),
+)
+
 
 @dataclass(frozen=True)
 class RuleAnnotator:
@@ -95,6 +109,65 @@ class RuleAnnotator:
         return let(raw, lambda all_: F.transform(all_, lambda t, i: self._token(t, i, all_, fields)))
 
     def _token(self, t: Column, i: Column, raw: Column, fields: set[str] | None) -> Column:
+        """Nearly all tokens are lower-case ASCII words, marks, or other words of letters only, for which most tests are settled."""
+        wanted = lambda every: F.struct(*[c.alias(k) for k, c in every.items() if fields is None or k in fields])
+        if fields is not None and not fields - {"pos", "text", "single_char"}:
+            return wanted({"pos": i, "text": t, "single_char": F.length(t) < 2})
+        capital = t.rlike(r"^\p{Lu}")
+        named = self._in(t, self.given_names) | (capital & F.coalesce(F.get(raw, i - 1).isin(*self.given_names), F.lit(False)))
+        plain = wanted(self._word(t, t, F.lit(False), self._in(t, [n for n in self.given_names if _PLAIN.fullmatch(n)]), i))
+        word = let(F.lower(t), lambda low: wanted(self._word(t, low, capital, named, i)))
+        return F.when(t.rlike(r"^[a-z]+\z"), plain).when(t.isin(*_MARKS), wanted(self._mark(t, i))).when(t.rlike(r"^\p{L}+\z"), word).otherwise(wanted(self._any(t, i, raw)))
+
+    @staticmethod
+    def _in(t: Column, values) -> Column:
+        return t.isin(*values) if values else F.lit(False)
+
+    def _mark(self, t: Column, i: Column) -> dict[str, Column]:
+        """The fields of one of ``_MARKS``, as ``_any`` has them."""
+        no, yes = F.lit(False), F.lit(True)
+        person = self._in(t, [n for n in self.given_names if n in _MARKS]) if self._has("entities") else no
+        lemma = reduce(lambda out, x: F.when(t == x[0], F.lit(x[1])).otherwise(out), [x for x in self.lemmas if x[0] in _MARKS] if self._has("lemmas") else [], t)
+        tag = F.lit("." if self._has("tags") else "")
+        return {
+            "pos": i, "text": t, "lemma": lemma, "tag": tag, "pos_tag": self._coarse(tag), "ent_type": F.when(person, F.lit("PERSON")).otherwise(F.lit("")),
+            "is_punct": yes, "is_space": no, "is_stop": self._in(t, [w for w in self.stop_words if w in _MARKS]), "like_email": no, "like_url": no, "like_num": no,
+            "proper_noun": person, "single_char": yes, "phone_number": no,
+        }
+
+    def _word(self, t: Column, low: Column, capital: Column, named: Column, i: Column) -> dict[str, Column]:
+        """The fields of a token of letters only, as ``_any`` has them."""
+        no, number = F.lit(False), low.isin(*lexicons.NUMBER_WORDS)
+        person = named if self._has("entities") else no
+        lemma = t
+        if self._has("lemmas"):
+            known = dict(self.lemmas)
+            table = F.when(low.isin(*known), F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), low)) if known else F.lit(None).cast("string")
+            lemma = F.coalesce(table, F.when(t.endswith("s"), self._singular(t)), t)
+        tag = F.lit("")
+        if self._has("tags"):
+            closed = F.lit(None).cast("string")
+            for words, name in reversed(_CLOSED):
+                closed = F.when(low.isin(*words), F.lit(name)).otherwise(closed)
+            ends = lambda *suffixes: reduce(or_, [low.endswith(x) for x in suffixes])
+            suffix = F.when(capital, "NNP").when(ends("ly"), "RB").when(ends("ing"), "VBG").when(ends("ed"), "VBD").when(ends("ous", "ful", "able", "ible", "ive", "al", "ic"), "JJ")
+            suffix = suffix.when(ends("s") & ~ends("ss") & (F.length(low) > 1), "NNS").otherwise("NN")
+            tag = F.when(low.isin(*{w for words, _ in _CLOSED for w in words}), closed).otherwise(suffix)
+        return {
+            "pos": i, "text": t, "lemma": lemma, "tag": tag, "pos_tag": self._coarse(tag), "ent_type": F.when(person, F.lit("PERSON")).otherwise(F.lit("")),
+            "is_punct": no, "is_space": no, "is_stop": self._in(low, self.stop_words), "like_email": no, "like_url": no, "like_num": number,
+            "proper_noun": person, "single_char": F.length(t) < 2, "phone_number": number & (F.length(t) >= 9),
+        }
+
+    @staticmethod
+    def _coarse(tag: Column) -> Column:
+        coarse = {
+            "CD": "NUM", ".": "PUNCT", "SP": "SPACE", "DT": "DET", "IN": "ADP", "PRP": "PRON", "MD": "AUX", "CC": "CCONJ", "RB": "ADV",
+            "NNP": "PROPN", "VBG": "VERB", "VBD": "VERB", "JJ": "ADJ", "NN": "NOUN", "NNS": "NOUN", "ADD": "X", "SYM": "SYMBOL", "": "",
+        }
+        return F.element_at(F.create_map(*[F.lit(x) for pair in coarse.items() for x in pair]), tag)
+
+    def _any(self, t: Column, i: Column, raw: Column) -> dict[str, Column]:
         low = F.lower(t)
         email = t.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
         url = ~email & t.rlike(r"^(?:https?://|www\.)|^[\p{L}\p{N}-]+\.(?:com|org|net|edu|gov|io)$")
@@ -110,18 +183,11 @@ class RuleAnnotator:
         else:
             lemma = t
         tag = self._tag(t, low, number, punct, space, capital, email | url) if self._has("tags") else F.lit("")
-        coarse = {
-            "CD": "NUM", ".": "PUNCT", "SP": "SPACE", "DT": "DET", "IN": "ADP", "PRP": "PRON", "MD": "AUX", "CC": "CCONJ", "RB": "ADV",
-            "NNP": "PROPN", "VBG": "VERB", "VBD": "VERB", "JJ": "ADJ", "NN": "NOUN", "NNS": "NOUN", "ADD": "X", "SYM": "SYMBOL", "": "",
-        }
-        names = F.create_map(*[F.lit(x) for pair in coarse.items() for x in pair])
-        pos_tag = F.element_at(names, tag)
-        every = {
-            "pos": i, "text": t, "lemma": lemma, "tag": tag, "pos_tag": pos_tag, "ent_type": F.when(person, F.lit("PERSON")).otherwise(F.lit("")),
+        return {
+            "pos": i, "text": t, "lemma": lemma, "tag": tag, "pos_tag": self._coarse(tag), "ent_type": F.when(person, F.lit("PERSON")).otherwise(F.lit("")),
             "is_punct": punct, "is_space": space, "is_stop": low.isin(*self.stop_words), "like_email": email, "like_url": url, "like_num": number,
             "proper_noun": person, "single_char": F.length(t) < 2, "phone_number": number & (F.length(t) >= 9),
         }
-        return F.struct(*[c.alias(k) for k, c in every.items() if fields is None or k in fields])
 
     def _singular(self, t: Column) -> Column:
         """A lower-case word in -s without it, by the rules of English plurals; null for other words, stop words among them."""
@@ -184,6 +250,7 @@ class Pipeline:
         self.annotator = annotator or RuleAnnotator()
         self.tables, self.id_col, self.text_col = tables, id_col, text_col
         self.docs: DataFrame | None = None
+        self._source: tuple[DataFrame, DataFrame] | None = None
 
     def set(self, **actions) -> Pipeline:
         self.config = replace(self.config, **actions)
@@ -195,8 +262,16 @@ class Pipeline:
 
     def fit(self, docs: DataFrame) -> Pipeline:
         self.docs = self.annotate(docs)
+        self._source = self.docs, docs.select(self.id_col, clean(F.col(self.text_col), self.config, self.tables).alias("__text"))
         return self
 
+    def _selected(self) -> DataFrame:
+        """Rows (id, words). An annotation that is not kept anywhere is made with the fields only that the configuration reads."""
+        docs = self._fitted()
+        if self._source is None or self._source[0] is not docs or docs.is_cached:
+            return docs.select(self.id_col, selected(F.col("tokens"), self.config).alias("words"))
+        return self._source[1].select(self.id_col, selected(self.annotator.annotate(F.col("__text"), needed(self.config)), self.config).alias("words"))
+
     def _fitted(self) -> DataFrame:
         if self.docs is None:
             raise NotFitted("call fit first")
@@ -204,11 +279,11 @@ class Pipeline:
 
     def transform(self) -> DataFrame:
         """Rows (id, text)."""
-        return self._fitted().select(self.id_col, rebuilt(selected(F.col("tokens"), self.config)).alias(self.text_col))
+        return self._selected().select(self.id_col, rebuilt(F.col("words")).alias(self.text_col))
 
     def tokenize(self) -> DataFrame:
         """Rows (id, words)."""
-        return self._fitted().select(self.id_col, selected(F.col("tokens"), self.config).alias("words"))
+        return self._selected()
 
     def fit_transform(self, docs: DataFrame) -> DataFrame:
         """``transform`` without keeping the annotation: only the fields that the configuration reads are made. Works on a stream."""
