@@ -89,3 +89,20 @@ def test_pos_features_keep_a_tally(spark, tiny):
     assert BagOfPOS("tag").fit(tallied).feature_names == model.feature_names
     both = model.transform(tallied).select("doc_id", F.col("features").alias("f")).join(model.transform(annotated), "doc_id")
     assert both.where("not (f <=> features)").count() == 0 and both.count() == 202
+
+
+def test_grid_multiplies_strips(spark):
+    from verbena.operators import vectors as G
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 4))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, v array<double>")
+    shapes = G.grid(v, lambda ids, x, ids2, x2, _: {"i": np.array([len(ids)]), "j": np.array([len(ids2)])}, "i bigint, j bigint", 2000).toPandas()
+    assert shapes["i"].max() <= G.STRIP < shapes["j"].max() and (shapes["i"] * shapes["j"]).sum() == 3000 * 3000
+    # a task passes on k rows of a vector at most, and the nearest of all blocks stay
+    got = G.top_k(v, 3, 200).toPandas().sort_values(["i", "sim"], ascending=[True, False])
+    sim = x @ x.T
+    np.fill_diagonal(sim, -np.inf)
+    assert (got["j"].to_numpy().reshape(3000, 3) == np.argsort(-sim, axis=1)[:, :3]).all()
+    near = G.within(v, 0.3, block_rows=700).count()
+    assert near == (np.linalg.norm(x[:, None] - x[None], axis=2) <= 0.3).sum() - 3000
