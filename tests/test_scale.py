@@ -122,3 +122,30 @@ def test_optics_gets_lists_and_no_vectors(spark, metric):
     assert got == C.optics_labels(x[np.argsort(ids)], eps, 4, metric).tolist() and max(got) >= 1
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
     assert C.optics(v.limit(0), eps, 4, metric).count() == 0
+
+
+def test_bm25_is_scored_where_the_documents_lie(spark, monkeypatch):
+    from verbena.operators import counts, retrieval
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.4, rng.integers(0, 30)) % 60) for _ in range(300)] + [None, "", "w1 w2"] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    queries = spark.createDataFrame([("a", "w1 w2 w2"), ("b", "w5 w59 none"), ("c", ""), ("d", "w3")], "item_id string, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    found = retrieval.bm25(queries, docs, 5)
+    assert "Generate" not in found._jdf.queryExecution().toString()  # no row for each posting
+    got = rows(found)
+    monkeypatch.setattr(retrieval, "WEIGHTS", 0)
+    by_join = rows(retrieval.bm25(queries, docs, 5))
+    assert got == by_join and len(got) == 15
+    doubled = docs.union(docs.where("doc_id < 5"))  # rows of one doc_id are one document, by the join
+    by_join = rows(retrieval.bm25(queries, doubled, 5))
+    monkeypatch.setattr(retrieval, "WEIGHTS", 1000)
+    assert rows(retrieval.bm25(queries, doubled, 5)) == by_join
+    assert retrieval.bm25(queries.limit(0), docs, 5).count() == 0 and retrieval.bm25(queries, docs.limit(0), 5).count() == 0
+
+    words = F.split(F.col("text"), " ")
+    table, n, mean = counts.term_statistics(docs, words)
+    lists = [t.split(" ") for t in texts if t is not None]
+    assert n == len(texts) and np.isclose(mean, np.mean([len(w) for w in lists]))
+    assert {r["term"]: (r["df"], r["n"]) for r in table.collect()} == {w: (sum(w in x for x in lists), sum(x.count(w) for x in lists)) for w in {w for x in lists for w in x}}

@@ -2,40 +2,101 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import lower_words
 from ..plans.materialise import cut
+from .counts import term_statistics, word_pieces
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "item_id", doc_id: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Rows (query_id, doc_id, score, rank): Okapi BM25 over an inverted index, ``k`` best documents a query, ties by id.
 
-    A negative idf becomes ``epsilon`` times the mean idf. Document frequencies come from one pass over the
-    distinct words of each document, summed before they are shuffled. Postings are made for the queries' terms
-    only, and meet one row a term with all its queries: a broadcast where Catalyst finds that table small, and
-    else a join whose frequent terms adaptive execution splits. Scores are summed per (query, document).
+    A negative idf becomes ``epsilon`` times the mean idf. Document frequencies come from one pass over the words, summed by
+    batch before they are shuffled. With up to ``WEIGHTS`` pairs of query and term, each batch of documents is scored against all
+    queries where it lies and passes on its best ``k`` of each. With more, or where a doc_id has several rows, postings are made for
+    the queries' terms only, and meet one row a term with all its queries: a broadcast where Catalyst finds that table small, and
+    else a join whose frequent terms adaptive execution splits; scores are then summed per (query, document).
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), lower_words(F.col(text_col)).alias("w"))
-    stats = d.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg_len"))  # one row
-    df = d.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n")))
-    raw = cut(df.select("term", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw")))
+    df, n, avg_len = term_statistics(d, F.col("w"))
+    raw = df.select("term", (F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     q = queries.select(F.col(query_id).alias("query_id"), F.explode(lower_words(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = cut(q.join(idf, "term").groupBy("term").agg(F.collect_list(F.struct("query_id", (F.col("qtf") * F.col("idf")).alias("weight"))).alias("queries")))
-    words_ = d.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(wanted.select("term"), "term", "left_semi")
-    tf = words_.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(stats.select("avg_len")))
-    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    hits = tf.select("doc_id", "term", share.alias("share")).join(wanted, "term").select("doc_id", "share", F.explode("queries").alias("q"))
-    scores = hits.groupBy(F.col("q.query_id").alias("query_id"), "doc_id").agg(F.round(F.sum(F.col("q.weight") * F.col("share")), 6).alias("score"))
+    weights = cut(q.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
+    if weights.count() <= WEIGHTS and d.groupBy("doc_id").count().where("count > 1").isEmpty():
+        schema = StructType([StructField("query_id", weights.schema["query_id"].dataType), StructField("doc_id", d.schema["doc_id"].dataType), StructField("score", DoubleType())])
+        scores = d.mapInArrow(_best(weights.orderBy("query_id", "term").toArrow(), k, k1, b, avg_len), schema).withColumn("score", F.round("score", 6))
+    else:
+        wanted = cut(weights.groupBy("term").agg(F.collect_list(F.struct("query_id", "weight")).alias("queries")))
+        words_ = d.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(wanted.select("term"), "term", "left_semi")
+        tf = words_.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+        share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avg_len)))
+        hits = tf.select("doc_id", "term", share.alias("share")).join(wanted, "term").select("doc_id", "share", F.explode("queries").alias("q"))
+        scores = hits.groupBy(F.col("q.query_id").alias("query_id"), "doc_id").agg(F.round(F.sum(F.col("q.weight") * F.col("share")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scores.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
 
 
+#: Pairs of query and term that are sent to the tasks, and scores that a worker has at a time.
+WEIGHTS = 200_000
+SCORES = 1 << 21
+
+
+def _best(weights: pa.Table, k: int, k1: float, b: float, avg_len: float | None):
+    """(doc_id, words) -> rows (query_id, doc_id, score): of each query the ``k`` best documents of a piece, and those that rounding may put before them."""
+    term, queries = weights.column("term").combine_chunks().dictionary_encode(), weights.column("query_id").combine_chunks().dictionary_encode()
+    by = np.argsort(term.indices.to_numpy(), kind="stable")
+    known, names = term.dictionary, queries.dictionary
+    query, weight = queries.indices.to_numpy()[by].astype(np.int64), weights.column("weight").to_numpy()[by]
+    size = np.bincount(term.indices.to_numpy(), minlength=len(known))
+    first = np.cumsum(size) - size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(known):
+                for rows, words, row in word_pieces(batch.column(1)):
+                    code = pc.index_in(words, value_set=known)
+                    length = np.bincount(row, minlength=rows.stop - rows.start)
+                    held = code.is_valid().to_numpy(zero_copy_only=False)
+                    pairs, tf = np.unique(row[held] * len(known) + code.drop_null().to_numpy(), return_counts=True)
+                    doc, at = np.divmod(pairs, len(known))
+                    share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / avg_len))
+                    step = max(1, SCORES // len(names))
+                    for low in range(0, len(length), step):
+                        own = slice(*np.searchsorted(doc, (low, low + step)))
+                        yield from scored(batch.column(0).slice(rows.start + low, step), doc[own] - low, at[own], share[own])
+
+    def scored(ids: pa.Array, doc: np.ndarray, at: np.ndarray, share: np.ndarray) -> Iterator[pa.RecordBatch]:
+        score, hit = np.zeros((len(ids), len(names))), np.zeros((len(ids), len(names)), bool)
+        ends = np.cumsum(size[at])
+        start = 0
+        while start < len(at):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SCORES, "right")))
+            n = size[at[start:stop]]
+            entry = np.repeat(first[at[start:stop]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            cell = np.repeat(doc[start:stop], n) * len(names) + query[entry]
+            score += np.bincount(cell, np.repeat(share[start:stop], n) * weight[entry], score.size).reshape(score.shape)
+            hit.ravel()[cell] = True
+            start = stop
+        score[~hit] = -np.inf
+        if len(ids) > k:
+            hit &= score >= np.partition(score, len(ids) - k, axis=0)[len(ids) - k] - 2e-6
+        d, q = np.nonzero(hit)
+        if len(d):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(d)), pa.array(score[d, q])], names=["query_id", "doc_id", "score"])
+
+    return run
+
+
 def sentence_pairs(table: DataFrame, first: str, second: str, label: str | None = None, guid: str | None = None) -> DataFrame:
     """Rows (guid, s1, s2, label)."""
     ident = F.col(guid) if guid else F.monotonically_increasing_id()
